@@ -43,8 +43,7 @@ def clock(ts: Column) -> Column:
 
 def clock_text(seconds: Column) -> Column:
     """Civil seconds back to ``yyyy-MM-dd HH:mm:ss``."""
-    zero = F.lit(0)
-    return time_text(F.expr(_ORIGIN) + F.make_dt_interval(zero, zero, zero, seconds))
+    return time_text(F.expr(_ORIGIN) + F.expr("interval '1' second") * seconds)
 
 
 def date_hour(time: Column) -> Column:

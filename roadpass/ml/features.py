@@ -8,11 +8,12 @@ speed in the row's minute.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
 from roadpass.functions.classes import mean_speed, speed_class
+from roadpass.operators.skew import bounded_broadcast
 
 LAGS = 3
 WIDTH = 5
@@ -29,45 +30,21 @@ def minute_means(minutes: DataFrame) -> DataFrame:
     )
 
 
-def _filled(slots: Column, width: int, lags: int) -> Column:
-    """Dense feature array from a slot -> value map."""
-    index = F.sequence(F.lit(0), F.lit(lags * width - 1))
-    return F.transform(index, lambda i: F.coalesce(F.element_at(slots, i), F.lit(MISSING)))
-
-
-def _contributions(
-    means: DataFrame, relations: DataFrame, width: int, lags: int, with_label: bool
-) -> DataFrame:
-    """One row per (camera, minute) that any related minute or the label reaches.
-
-    Each stored minute names the rows it feeds, so nothing is generated for minutes
-    without readings and one shuffle brings a row's at most lags*width+1 values together.
-    """
+def _related(means: DataFrame, relations: DataFrame, width: int, max_relations: int | None) -> DataFrame:
+    """(camera_id, minute, pos, v, own): each stored minute handed to the cameras it informs."""
     rel = relations.where(F.col("pos") < width).select(
         F.col("camera_id").alias("target"), "pos", F.col("related_id").alias("camera_id")
     )
-    fed = [
-        F.struct(
-            (F.col("minute") + lags - i).alias("row"),
-            (F.lit(i * width) + F.col("pos")).cast("int").alias("slot"),
-        )
-        for i in range(lags)
-    ]
-    if with_label:
-        own = F.col("camera_id") == F.col("target")
-        fed.append(F.when(own, F.struct(F.col("minute").alias("row"), F.lit(-1).alias("slot"))))
-    parts = (
-        means.join(rel, "camera_id")
-        .select("target", "v", F.explode(F.array_compact(F.array(*fed))).alias("f"))
-        .select("target", "f.row", "f.slot", "v")
-    )
-    feature = F.when(F.col("slot") >= 0, F.struct("slot", "v"))
-    return parts.groupBy(F.col("target").alias("camera_id"), F.col("row").alias("minute")).agg(
-        F.map_from_entries(F.collect_set(feature)).alias("slots"),
-        F.max(F.when(F.col("slot") < 0, F.col("v"))).alias("label_speed"),
+    own = F.when(F.col("camera_id") == F.col("target"), F.col("v"))
+    return means.join(bounded_broadcast(rel, max_relations), "camera_id").select(
+        F.col("target").alias("camera_id"), "minute", "pos", "v", own.alias("own")
     )
 
 
+def _value_at(pos: int) -> Column:
+    return F.coalesce(F.max(F.when(F.col("pos") == pos, F.col("v"))), F.lit(MISSING))
+
+
 def _keys(minute: Column) -> list[Column]:
     text = K.clock_text(minute * 60)
     return [K.day_key(text).alias("day"), K.minute_key(text).alias("hhmm")]
@@ -80,19 +57,34 @@ def training_rows(
     hours: int = WINDOW_HOURS,
     width: int = WIDTH,
     lags: int = LAGS,
+    max_relations: int | None = None,
 ) -> DataFrame:
     """(camera_id, day, hhmm, features, label_speed, label) for every minute of a camera
     that has both related cameras and an own reading.
 
     ``until`` = (yyyyMMdd, HHmm) keeps the rows whose oldest feature minute lies in the
-    last ``hours`` before it; by default the whole store is used.
+    last ``hours`` before it; by default the whole store is used. ``max_relations`` is
+    the proven row count of ``relations``, if there is one.
     """
     means = minute_means(minutes)
     if until is not None:
         end = K.minute_index(F.lit(until[0]), F.lit(until[1]))
         span = hours * 60
         means = means.where(F.col("minute").between(end - (span - lags), end - 1 + lags))
-    rows = _contributions(means, relations, width, lags, with_label=True)
+    # One shuffle by camera serves both the per-minute grouping and the frames below. A
+    # camera has at most one row per minute, whatever the traffic.
+    informed = _related(means, relations, width, max_relations).repartition("camera_id")
+    minute_rows = informed.groupBy("camera_id", "minute").agg(
+        F.array(*[_value_at(p) for p in range(width)]).alias("values"),
+        F.max("own").alias("label_speed"),
+    )
+    by_camera = Window.partitionBy("camera_id").orderBy("minute")
+    missing = F.array_repeat(F.lit(MISSING), width)
+    earlier = [
+        F.coalesce(F.first("values").over(by_camera.rangeBetween(-lag, -lag)), missing)
+        for lag in range(lags, 0, -1)
+    ]
+    rows = minute_rows.select("camera_id", "minute", "label_speed", F.concat(*earlier).alias("features"))
     rows = rows.where(F.col("label_speed").isNotNull())
     if until is not None:
         first = F.col("minute") - lags
@@ -100,7 +92,7 @@ def training_rows(
     return rows.select(
         "camera_id",
         *_keys(F.col("minute")),
-        _filled(F.col("slots"), width, lags).alias("features"),
+        "features",
         "label_speed",
         speed_class(F.col("label_speed")).alias("label"),
     )
@@ -113,20 +105,22 @@ def rows_at(
     hhmm: str,
     width: int = WIDTH,
     lags: int = LAGS,
+    max_relations: int | None = None,
 ) -> DataFrame:
     """Feature rows of all cameras for predicting the minute after (day, hhmm)."""
     now = K.minute_index(F.lit(day), F.lit(hhmm))
     means = minute_means(minutes).where(F.col("minute").between(now - lags + 1, now))
-    rows = _contributions(means, relations, width, lags, with_label=False)
-    rows = rows.where(F.col("minute") == now + 1).select("camera_id", "slots")
+    rows = _related(means, relations, width, max_relations)
+    slot = (F.col("minute") - (now - lags + 1)) * width + F.col("pos")
+    values = [F.max(F.when(slot == i, F.col("v"))).alias(f"slot{i}") for i in range(lags * width)]
+    known = rows.groupBy("camera_id").agg(*values)
+    filled = [F.coalesce(f"slot{i}", F.lit(MISSING)) for i in range(lags * width)]
     cameras = relations.select("camera_id").distinct()
-    empty = F.expr("map_from_arrays(cast(array() as array<int>), cast(array() as array<double>))")
-    slots = F.coalesce(F.col("slots"), empty)
-    return cameras.join(rows, "camera_id", "left").select(
+    return cameras.join(known, "camera_id", "left").select(
         "camera_id",
         F.lit(day).alias("day"),
         F.lit(hhmm).alias("hhmm"),
-        _filled(slots, width, lags).alias("features"),
+        F.array(*filled).alias("features"),
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadpass.functions import timekeys as K
+from roadpass.functions.text import zero_pad
 from roadpass.operators.skew import bounded_broadcast
 
 # The draw of a car is a hash; its first hex digits name one of 16**3 draw buckets.
@@ -13,33 +13,40 @@ DRAW_DIGITS = 3
 DEFAULT_SEED = 1000
 
 
-def hour_cars(passes: DataFrame) -> DataFrame:
-    """Distinct (date, hour, car), taken from the pass time."""
-    return passes.select(
-        F.substring("action_time", 1, 10).alias("date"),
-        F.substring("action_time", 12, 2).alias("hour"),
-        "car",
-    ).distinct()
+def _hour_cars(passes: DataFrame) -> DataFrame:
+    """Distinct (day, hour, car) from the pass time, days and hours still as numbers."""
+    keys = passes.where(F.col("ts").isNotNull()).select(
+        F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"), "car"
+    )
+    return keys.distinct()
 
 
-def hour_counts(passes: DataFrame) -> DataFrame:
-    """Cars per hour with the day total and the share of the day."""
-    hours = hour_cars(passes).groupBy("date", "hour").agg(F.count("*").alias("hour_cars"))
-    day = Window.partitionBy("date")
-    return hours.withColumn("day_cars", F.sum("hour_cars").over(day))
+def _with_day_totals(hours: DataFrame) -> DataFrame:
+    """Add the cars of the day and the number of days; one row per hour, so few rows."""
+    return hours.select(
+        "*",
+        F.sum("hour_cars").over(Window.partitionBy("day")).alias("day_cars"),
+        F.size(F.collect_set("day").over(Window.partitionBy())).alias("days"),
+    )
 
 
-def _quotas(hours: DataFrame, extract_num: int) -> DataFrame:
-    """Cars to draw per hour: the hour's share of the day's draw, rounded down."""
-    days = hours.agg(F.count_distinct("date")).scalar()
-    per_day = F.floor(F.lit(extract_num) / days)
+def _quota(extract_num: int) -> Column:
+    """Cars to draw from an hour: its share of the day's draw, rounded down."""
+    per_day = F.floor(F.lit(extract_num) / F.col("days"))
     share = F.col("hour_cars").cast("double") / F.col("day_cars").cast("double")
-    quota = F.floor(share * per_day).cast("bigint")
-    return hours.withColumn("quota", F.least(quota, F.col("hour_cars")))
+    return F.least(F.floor(share * per_day).cast("bigint"), F.col("hour_cars"))
+
+
+def _key_text() -> list[Column]:
+    return [F.col("day").cast("string").alias("date"), zero_pad(F.col("hour")).alias("hour")]
 
 
-def hour_quotas(passes: DataFrame, extract_num: int) -> DataFrame:
-    return _quotas(hour_counts(passes), extract_num)
+def hour_quotas(passes: DataFrame, extract_num: int | None = None) -> DataFrame:
+    """Cars per hour with the day total and, for a sample size, the hour's quota."""
+    hours = _hour_cars(passes).groupBy("day", "hour").agg(F.count("*").alias("hour_cars"))
+    hours = _with_day_totals(hours)
+    quota = [_quota(extract_num).alias("quota")] if extract_num is not None else []
+    return hours.select(*_key_text(), "hour_cars", "day_cars", *quota)
 
 
 def sample_cars(passes: DataFrame, extract_num: int, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -49,26 +56,25 @@ def sample_cars(passes: DataFrame, extract_num: int, seed: int = DEFAULT_SEED) -
     shows which buckets the quota reaches, and only cars of those buckets are ranked,
     bucket by bucket.
     """
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "date", "hour", "car"))
-    cars = hour_cars(passes).withColumn("draw", draw)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *_key_text(), "car"))
+    cars = _hour_cars(passes).withColumn("draw", draw)
     cars = cars.withColumn("bucket", F.substring("draw", 1, DRAW_DIGITS))
-    buckets = cars.groupBy("date", "hour", "bucket").agg(F.count("*").alias("n"))
-    totals = buckets.groupBy("date", "hour").agg(F.sum("n").alias("hour_cars"))
-    hours = totals.withColumn("day_cars", F.sum("hour_cars").over(Window.partitionBy("date")))
-    quotas = _quotas(hours, extract_num).select("date", "hour", "quota")
-    upto = Window.partitionBy("date", "hour").orderBy("bucket")
+    buckets = cars.groupBy("day", "hour", "bucket").agg(F.count("*").alias("n"))
+    hours = buckets.groupBy("day", "hour").agg(F.sum("n").alias("hour_cars"))
+    quotas = _with_day_totals(hours).select("day", "hour", _quota(extract_num).alias("quota"))
+    upto = Window.partitionBy("day", "hour").orderBy("bucket")
     reached = (
-        buckets.join(quotas, ["date", "hour"])
+        buckets.join(quotas, ["day", "hour"])
         .withColumn("before", F.sum("n").over(upto) - F.col("n"))
         .where(F.col("before") < F.col("quota"))
-        .select("date", "hour", "bucket", (F.col("quota") - F.col("before")).alias("room"))
+        .select("day", "hour", "bucket", (F.col("quota") - F.col("before")).alias("room"))
     )
-    rank = Window.partitionBy("date", "hour", "bucket").orderBy("draw", "car")
+    rank = Window.partitionBy("day", "hour", "bucket").orderBy("draw", "car")
     return (
-        cars.join(reached, ["date", "hour", "bucket"])
+        cars.join(reached, ["day", "hour", "bucket"])
         .withColumn("rn", F.row_number().over(rank))
         .where(F.col("rn") <= F.col("room"))
-        .select("date", "hour", "car")
+        .select(*_key_text(), "car")
     )
 
 

@@ -34,7 +34,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], clock: str, hot_rows: int = HOT
     counts = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min(clock).alias("lo"), F.max(clock).alias("hi")
     )
-    total = counts.agg(F.sum("n")).scalar()
+    # Uses every column of ``counts``, so the subquery shares its shuffle.
+    whole = F.struct(F.sum("n").alias("n"), F.min("lo"), F.max("hi"))
+    total = counts.agg(whole).scalar()["n"]
     width = F.floor((F.col("hi") - F.col("lo") + 1) * F.lit(float(hot_rows)) / F.col("n"))
     return counts.where((F.col("n") > hot_rows) & (F.col("n") > total / F.lit(MAX_HOT_KEYS))).select(
         *[F.col(k).alias(f"hot_{k}") for k in keys],

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from roadpass.operators import area, filters, funnel, monitors, sampling, speed, tracks
 from roadpass.params import JobParams
+from roadpass.session import stored
 from roadpass.sinks.tables import write_result
 
 
@@ -35,7 +36,7 @@ def monitor_flow(passes: DataFrame, registry: DataFrame, params: JobParams) -> d
 def random_extract(passes: DataFrame, params: JobParams) -> dict[str, DataFrame]:
     """Stratified car sample, the sampled cars' passes and tracks."""
     rows = _passes(passes, params)
-    sample = sampling.sample_cars(rows, params.extract_num)
+    sample = stored(sampling.sample_cars(rows, params.extract_num), "sample")
     detail = sampling.sample_passes(rows, sample, params.extract_num)
     return {
         "random_extract_car": sampling.sampled_rows(sample),

@@ -22,7 +22,7 @@ from roadpass.operators import (
     tracks,
 )
 from roadpass.schemas import DETAIL
-from roadpass.session import scratch_dir
+from roadpass.session import scratch_dir, stored
 from roadpass.sources import events
 from roadpass.streaming import minute_store, parse, run, windows
 
@@ -243,7 +243,7 @@ def companion_encounters(spark, sf):
 
 @query
 def hour_counts(spark, sf):
-    return sampling.hour_counts(events.passes(spark, sf))
+    return sampling.hour_quotas(events.passes(spark, sf))
 
 
 @query
@@ -256,26 +256,25 @@ def hour_sample(spark, sf):
     return sampling.sampled_rows(sampling.sample_cars(events.passes(spark, sf), EXTRACT_NUM))
 
 
+def _sampled_passes(spark: SparkSession, sf: str, keep_multiplicity: bool = False) -> DataFrame:
+    rows = events.passes(spark, sf)
+    sample = stored(sampling.sample_cars(rows, EXTRACT_NUM), "sample")
+    return sampling.sample_passes(rows, sample, EXTRACT_NUM, keep_multiplicity)
+
+
 @query
 def hour_sample_detail(spark, sf):
-    rows = events.passes(spark, sf)
-    sample = sampling.sample_cars(rows, EXTRACT_NUM)
-    return sampling.sample_passes(rows, sample, EXTRACT_NUM).select(*DETAIL, "pass_id")
+    return _sampled_passes(spark, sf).select(*DETAIL, "pass_id")
 
 
 @query
 def hour_sample_detail_repeated(spark, sf):
-    rows = events.passes(spark, sf)
-    sample = sampling.sample_cars(rows, EXTRACT_NUM)
-    detail = sampling.sample_passes(rows, sample, EXTRACT_NUM, keep_multiplicity=True)
-    return detail.select(*DETAIL, "pass_id")
+    return _sampled_passes(spark, sf, keep_multiplicity=True).select(*DETAIL, "pass_id")
 
 
 @query
 def hour_sample_track(spark, sf):
-    rows = events.passes(spark, sf)
-    sample = sampling.sample_cars(rows, EXTRACT_NUM)
-    return tracks.monitor_tracks(sampling.sample_passes(rows, sample, EXTRACT_NUM))
+    return tracks.monitor_tracks(_sampled_passes(spark, sf))
 
 
 # Streams: the events table replayed as log lines until it is used up
@@ -322,8 +321,18 @@ def minute_speed(spark, sf):
     return minute_store.minute_speed(events.passes(spark, sf))
 
 
+# Related cameras per camera times the number of cameras.
+MAX_RELATIONS = features.WIDTH * events.CAMERAS
+
+
 def _feature_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return features.training_rows(minute_speed(spark, sf), events.camera_relations(spark, sf))
+    relations = events.camera_relations(spark, sf)
+    return features.training_rows(minute_speed(spark, sf), relations, max_relations=MAX_RELATIONS)
+
+
+def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Training reads its rows many times, so they are computed once."""
+    return stored(_feature_rows(spark, sf), "features")
 
 
 @query
@@ -343,7 +352,7 @@ def feature_split(spark, sf):
 @query
 def speed_class_model(spark, sf):
     """Confusion counts of the pooled model on the test rows."""
-    training, test = features.split(_feature_rows(spark, sf))
+    training, test = features.split(_stored_features(spark, sf))
     fitted = model.fit(training, max_iter=MODEL_ITERATIONS)
     scored = model.predict(fitted, test)
     return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
@@ -351,6 +360,9 @@ def speed_class_model(spark, sf):
 
 @query
 def speed_class_predictions(spark, sf):
-    fitted = model.fit(_feature_rows(spark, sf), max_iter=MODEL_ITERATIONS)
-    rows = features.rows_at(minute_speed(spark, sf), events.camera_relations(spark, sf), *PREDICT_AT)
+    fitted = model.fit(_stored_features(spark, sf), max_iter=MODEL_ITERATIONS)
+    relations = events.camera_relations(spark, sf)
+    rows = features.rows_at(
+        minute_speed(spark, sf), relations, *PREDICT_AT, max_relations=MAX_RELATIONS
+    )
     return model.predict(fitted, rows).select("camera_id", "day", "hhmm", "prediction")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "roadpass", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,6 +25,17 @@ def build_session(app_name: str = "roadpass", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared scratch folder and read it back.
+
+    For results that several later steps use: the work is done once, later plans know
+    the real size, and a lost executor costs a re-read.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 

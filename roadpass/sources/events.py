@@ -8,31 +8,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from roadpass.functions import timekeys as K
 from roadpass.functions.text import zero_pad
 
-EVENTS = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
-)
+# The columns used of each benchmark table. Stating them saves the footer-reading job
+# that schema inference would run for every query.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint",
+    "nation": "n_nationkey bigint, n_name string, n_regionkey bigint",
+    "region": "r_regionkey bigint",
+    "supplier": "s_suppkey bigint",
+}
+# Number of distinct camera ids ``to_passes`` can produce.
+CAMERAS = 60
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def plate(user_id: Column) -> Column:
     return F.concat(F.lit("C"), zero_pad(user_id, 5))
 
 
+def _padded(number: Column, width: int) -> Column:
+    """Zero padding for numbers known to fit."""
+    return F.lpad(number.cast("string"), width, "0")
+
+
 def to_passes(events: DataFrame) -> DataFrame:
     # Ids are reduced before multiplying, so large ids cannot overflow.
     event, user = F.col("event_id"), F.col("user_id")
@@ -41,13 +45,13 @@ def to_passes(events: DataFrame) -> DataFrame:
     ts = F.col("ts")
     return events.select(
         K.date_text(ts).alias("date"),
-        zero_pad(h1 % 9, 4).alias("monitor_id"),
-        zero_pad(h2 % 60, 5).alias("camera_id"),
+        _padded(h1 % 9, 4).alias("monitor_id"),
+        _padded(h2 % CAMERAS, 5).alias("camera_id"),
         plate(user).alias("car"),
         K.time_text(ts).alias("action_time"),
         (h2 % 260).cast("int").alias("speed"),
         ((h1 % 8) * (h2 % 7) + 1).cast("string").alias("road_id"),
-        zero_pad((h1 + h2) % 8, 2).alias("area_id"),
+        _padded((h1 + h2) % 8, 2).alias("area_id"),
         ts.alias("ts"),
         event.alias("pass_id"),
     )
@@ -68,7 +72,7 @@ def passes(
 def pass_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same passes as a stream of tab-separated log lines."""
     events = (
-        spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
     fields = ["date", "monitor_id", "camera_id", "car", "action_time", "speed", "road_id", "area_id"]
     return to_passes(events).select(F.concat_ws("\t", *fields).alias("value"))
@@ -99,11 +103,11 @@ def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def camera_relations(spark: SparkSession, sf_dir: str, width: int = 5) -> DataFrame:
-    """Each camera with itself and the next cameras in id order (ids wrap at 60)."""
+    """Each camera with itself and the next cameras in id order (ids wrap around)."""
     cameras = passes(spark, sf_dir).select("camera_id").distinct()
     pos = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("pos")
     return cameras.select("camera_id", pos).select(
         "camera_id",
         "pos",
-        zero_pad((F.col("camera_id").cast("bigint") + F.col("pos")) % 60, 5).alias("related_id"),
+        _padded((F.col("camera_id").cast("bigint") + F.col("pos")) % CAMERAS, 5).alias("related_id"),
     )

@@ -26,9 +26,12 @@ def publish(batches: DataFrame, path: str) -> None:
 
 def minute_speed(passes: DataFrame) -> DataFrame:
     """The same table from a batch of passes: all passes of each camera and minute."""
-    time = F.col("action_time")
-    return (
-        passes.where(F.col("speed").isNotNull())
-        .groupBy(K.day_key(time).alias("day"), "camera_id", K.minute_key(time).alias("hhmm"))
+    sums = (
+        passes.where(F.col("speed").isNotNull() & F.col("ts").isNotNull())
+        .groupBy("camera_id", F.floor(K.clock(F.col("ts")) / 60).alias("minute"))
         .agg(F.sum(F.col("speed").cast("bigint")).alias("speed_sum"), F.count("*").alias("n"))
     )
+    time = K.clock_text(F.col("minute") * 60)
+    return sums.select(
+        K.day_key(time).alias("day"), "camera_id", K.minute_key(time).alias("hhmm"), "speed_sum", "n"
+    )
