@@ -64,7 +64,7 @@ def encounters(passes: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """
     base = passes.select("monitor_id", "car", K.clock(F.col("ts")).alias("clock"))
     own = base.groupBy("monitor_id", "car", "clock").agg(F.count("*").alias("n"))
-    everyone = base.groupBy("monitor_id", "clock").agg(F.count("*").alias("all_n"))
+    everyone = own.groupBy("monitor_id", "clock").agg(F.sum("n").alias("all_n"))
     by_monitor = Window.partitionBy("monitor_id").orderBy("clock").rangeBetween(-gap, gap)
     by_car = Window.partitionBy("monitor_id", "car").orderBy("clock").rangeBetween(-gap, gap)
     around = everyone.select("monitor_id", "clock", F.sum("all_n").over(by_monitor).alias("near"))

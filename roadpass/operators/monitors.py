@@ -8,26 +8,22 @@ from pyspark.sql import functions as F
 from roadpass.operators.filters import at_monitors
 
 
-def camera_counts(passes: DataFrame) -> DataFrame:
-    """One row per observed (monitor, camera). Combined map-side, so a busy monitor
-    costs one row per camera and task in the shuffle, not one row per pass."""
-    seen_last = F.max(F.struct("ts", "pass_id", "area_id"))
-    return passes.groupBy("monitor_id", "camera_id").agg(
-        F.count("*").alias("car_count"), seen_last.alias("last")
-    )
-
-
 def monitor_rollup(passes: DataFrame) -> DataFrame:
-    """Per monitor: distinct cameras, their ids, passes, and the area of the latest pass."""
-    return (
-        camera_counts(passes)
-        .groupBy("monitor_id")
-        .agg(
-            F.max("last")["area_id"].alias("area_id"),
-            F.array_join(F.sort_array(F.collect_list("camera_id")), ",").alias("camera_ids"),
-            F.count("camera_id").alias("camera_count"),
-            F.sum("car_count").alias("car_count"),
-        )
+    """Per monitor: distinct cameras, their ids, passes, and the area of the latest pass
+    (of several at the same instant, the highest area id).
+
+    Passes are combined map-side with fixed-width buffers, so a busy monitor costs one
+    row per camera, area and task in the shuffle, not one row per pass.
+    """
+    counts = passes.groupBy("monitor_id", "camera_id", "area_id").agg(
+        F.count("*").alias("n"), F.max("ts").alias("ts")
+    )
+    cameras = F.array_sort(F.collect_set("camera_id"))
+    return counts.groupBy("monitor_id").agg(
+        F.max(F.struct("ts", "area_id"))["area_id"].alias("area_id"),
+        F.array_join(cameras, ",").alias("camera_ids"),
+        F.size(cameras).cast("bigint").alias("camera_count"),
+        F.sum("n").alias("car_count"),
     )
 
 

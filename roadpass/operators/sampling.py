@@ -15,10 +15,10 @@ DEFAULT_SEED = 1000
 
 def _hour_cars(passes: DataFrame) -> DataFrame:
     """Distinct (day, hour, car) from the pass time, days and hours still as numbers."""
-    keys = passes.where(F.col("ts").isNotNull()).select(
-        F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"), "car"
-    )
-    return keys.distinct()
+    keys = passes.select(F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"), "car")
+    # Stated on the join keys: every branch of the sample then has the same filter and
+    # they all read one shuffle of the distinct cars.
+    return keys.where("day is not null and hour is not null").distinct()
 
 
 def _with_day_totals(hours: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def ordered_lists(
     hot_rows: int = HOT_ROWS,
     tie: str = "pass_id",
 ) -> DataFrame:
-    """(keys, part, points): points is the time-ordered array of struct(clock, tie, payload...)."""
+    """(keys, part, points): points is the array of struct(clock, tie, payload...) in that order."""
     cut = with_parts(df.select(*dict.fromkeys([*keys, clock, tie, *payload])), keys, clock, hot_rows)
-    point = F.struct(F.col(clock).alias("clock"), F.col(tie).alias("tie"), *payload)
+    point = F.struct(*dict.fromkeys([clock, tie, *payload]))
     return cut.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(point)).alias("points"))
 
 

@@ -122,21 +122,20 @@ sample AS (
 )"""
 
 
-def _range(source: str) -> str:
+def _range(source: str, tie: str) -> str:
     return f"""
 SELECT monitor_id,
        strftime(make_timestamp(start * 1000000), '%Y-%m-%d %H:%M') || '~' ||
        strftime(make_timestamp((start + 300) * 1000000), '%Y-%m-%d %H:%M') AS range_time,
        CAST(0 AS BIGINT) AS part,
-       string_agg(car || '=' || {_text('clock')}, '|' ORDER BY clock, pass_id) AS cars
+       string_agg(car || '=' || {_text('clock')}, '|' ORDER BY clock, {tie}) AS cars
 FROM (SELECT *, clock - clock % 300 AS start FROM {source})
 GROUP BY monitor_id, start"""
 
 
 LAST_VISITS = """
 visits AS (
-  SELECT car, monitor_id, max(clock) AS clock, arg_max(pass_id, (clock, pass_id)) AS pass_id
-  FROM flow GROUP BY 1, 2
+  SELECT car, monitor_id, max(clock) AS clock FROM flow GROUP BY 1, 2
 )"""
 
 
@@ -256,7 +255,7 @@ FROM (SELECT area_id, monitor_id, count(*) AS n FROM flow GROUP BY 1, 2) GROUP B
 FROM flow f JOIN (
   SELECT monitor_id, area_id FROM (
     SELECT m.*, f.monitor_id, f.area_id,
-           row_number() OVER (PARTITION BY f.monitor_id ORDER BY m.ts DESC, event_id DESC) AS rn
+           row_number() OVER (PARTITION BY f.monitor_id ORDER BY m.ts DESC, f.area_id DESC) AS rn
     FROM m JOIN flow f ON f.pass_id = m.event_id) WHERE rn = 1) l ON l.monitor_id = f.monitor_id
 GROUP BY f.monitor_id""",
         "registry_rollup": _with(FLOW, REGISTRY)
@@ -296,8 +295,8 @@ WHERE rank <= 10""",
   string_agg(monitor_id || '=' || action_time, '|' ORDER BY clock, pass_id) AS track FROM flow GROUP BY car""",
         "track_last_visits": flow
         + "SELECT car, monitor_id, max(action_time) AS action_time FROM flow GROUP BY 1, 2",
-        "range_cars_last": _with(FLOW, LAST_VISITS) + _range("visits"),
-        "range_cars_all": flow + _range("flow"),
+        "range_cars_last": _with(FLOW, LAST_VISITS) + _range("visits", "car"),
+        "range_cars_all": flow + _range("flow", "pass_id"),
         "companions_of_watched": _with(FLOW, WATCHED)
         + """
 SELECT a.car, b.car AS companion, a.monitor_id, a.action_time, b.action_time AS companion_time,
