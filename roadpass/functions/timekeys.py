@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ORIGIN = "timestamp_ntz'1970-01-01 00:00:00'"
+_SECOND = "interval '1' second"
 
 
 def parse_time(text: Column) -> Column:
@@ -19,7 +20,7 @@ def parse_time(text: Column) -> Column:
     day = F.substring(text, 1, 10).try_cast("timestamp_ntz")
     clock = F.split(F.trim(F.substring(text, 11, 32)), ":")
     hour, minute, second = (F.get(clock, F.lit(i)).try_cast("int") for i in range(3))
-    return day + F.make_dt_interval(F.lit(0), hour, minute, second)
+    return day + F.expr(_SECOND) * (hour * 3600 + minute * 60 + second)
 
 
 def time_text(ts: Column) -> Column:
@@ -43,7 +44,7 @@ def clock(ts: Column) -> Column:
 
 def clock_text(seconds: Column) -> Column:
     """Civil seconds back to ``yyyy-MM-dd HH:mm:ss``."""
-    return time_text(F.expr(_ORIGIN) + F.expr("interval '1' second") * seconds)
+    return time_text(F.expr(_ORIGIN) + F.expr(_SECOND) * seconds)
 
 
 def date_hour(time: Column) -> Column:

@@ -11,19 +11,18 @@ from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
 from roadpass.functions.classes import round_rate
-from roadpass.operators.skew import HOT_ROWS, with_parts
+from roadpass.operators.skew import HOT_ROWS, hot_and_cold
 
 
-def _following(cut: DataFrame, depth: int) -> DataFrame:
-    """For each slice of a hot car, its next ``depth`` passes from later slices.
+def _following(hot: DataFrame, depth: int) -> DataFrame:
+    """For each slice of a hot car, the next ``depth`` passes from its later slices.
 
     Works on the first ``depth`` passes of every slice only, so its size follows the
     number of slices, not the number of passes.
     """
     order = Window.partitionBy("car", "part").orderBy("clock", "pass_id")
     heads = (
-        cut.where("is_hot")
-        .withColumn("rn", F.row_number().over(order))
+        hot.withColumn("rn", F.row_number().over(order))
         .where(F.col("rn") <= depth)
         .groupBy("car", "part")
         .agg(F.sort_array(F.collect_list(F.struct("clock", "pass_id", "monitor_id"))).alias("head"))
@@ -44,9 +43,9 @@ def prefix_counts(passes: DataFrame, flow: Sequence[str], hot_rows: int = HOT_RO
     base = passes.select("car", "monitor_id", K.clock(F.col("ts")).alias("clock"), "pass_id")
     if depth == 0:
         return base.agg(F.count_if(F.col("monitor_id") == flow[0]).alias("c1"))
-    cut = with_parts(base, ["car"], "clock", hot_rows)
-    own = cut.select("car", "monitor_id", "clock", "pass_id", "part", F.lit(False).alias("borrowed"))
-    rows = own.unionByName(_following(cut, depth))
+    hot, cold = hot_and_cold(base, ["car"], "clock", "pass_id", hot_rows)
+    own = cold.unionByName(hot).withColumn("borrowed", F.lit(False))
+    rows = own.unionByName(_following(hot, depth))
     order = Window.partitionBy("car", "part").orderBy("clock", "pass_id")
     steps = [F.col("monitor_id") == flow[0]]
     steps += [

@@ -59,12 +59,13 @@ def range_cars(
     if cars:
         passes = for_cars(passes, cars)
     visits = _clocked(passes).select("monitor_id", "car", "clock", "pass_id")
-    tie = "pass_id"
+    tie = spread = "pass_id"
     if last_visit_only:
         visits = visits.groupBy("monitor_id", "car").agg(F.max("clock").alias("clock"))
-        tie = "car"
+        visits = visits.withColumn("spread", F.xxhash64("car"))
+        tie, spread = "car", "spread"
     visits = visits.withColumn("start", K.range_start(F.col("clock"), RANGE_SECONDS))
-    lists = ordered_lists(visits, ["monitor_id", "start"], "clock", ["car"], hot_rows, tie)
+    lists = ordered_lists(visits, ["monitor_id", "start"], "clock", ["car"], hot_rows, tie, spread)
     text = joined_text("points", lambda p: F.concat(p["car"], F.lit("="), K.clock_text(p["clock"])), "|")
     return lists.select(
         "monitor_id",

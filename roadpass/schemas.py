@@ -30,19 +30,15 @@ TASK = T.StructType(
     )
 )
 
-# Columns of the typed ``passes`` frame every operator works on.
-PASSES = (
-    "date",
-    "monitor_id",
-    "camera_id",
-    "car",
-    "action_time",
-    "speed",
-    "road_id",
-    "area_id",
-    "ts",
-    "pass_id",
+# The typed ``passes`` frame every operator works on.
+PASSES = T.StructType(
+    [
+        *[T.StructField(n, T.IntegerType() if n == "speed" else T.StringType()) for n in PASS_LOG.names],
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("pass_id", T.LongType()),
+    ]
 )
+MINUTE_SPEED = "camera_id string, hhmm string, speed_sum bigint, n bigint, day string"
 DETAIL = ("date", "monitor_id", "camera_id", "car", "action_time", "speed", "road_id")
 
 # Output tables, each led by the task that produced the rows.

@@ -28,6 +28,21 @@ def write_result(df: DataFrame, base: str, table: str, task_id: int) -> None:
     )
 
 
+def write_passes(passes: DataFrame, path: str) -> None:
+    """Store typed passes by ``date``, replacing the dates present in the frame.
+
+    Date ranges then prune folders. The rebalance lets adaptive execution split the
+    files of a crowded date and merge those of a quiet one.
+    """
+    (
+        passes.hint("rebalance", "date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date")
+        .parquet(path)
+    )
+
+
 def jdbc_write_options(
     url: str,
     table: str,
@@ -53,6 +68,7 @@ def write_minute_speed(minutes: DataFrame, path: str) -> None:
     """Replace the stored days that ``minutes`` covers."""
     (
         minutes.select("camera_id", "hhmm", "speed_sum", "n", "day")
+        .hint("rebalance", "day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

@@ -37,6 +37,11 @@ def read_pass_log(spark: SparkSession, path: str) -> DataFrame:
     return typed_passes(spark.read.schema(schemas.PASS_LOG).option("sep", "\t").csv(path))
 
 
+def read_passes(spark: SparkSession, path: str) -> DataFrame:
+    """Passes stored by ``write_passes``."""
+    return spark.read.schema(schemas.PASSES).parquet(path).select(*schemas.PASSES.names)
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated camera registry."""
     return spark.read.schema(schemas.REGISTRY).option("sep", "\t").csv(path)
@@ -94,8 +99,7 @@ def read_minute_speed(
     spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None
 ) -> DataFrame:
     """Stored minute speeds (partitioned by day), pruned to the given days."""
-    store = spark.read.parquet(path)
-    store = store.withColumn("day", F.col("day").cast("string"))
+    store = spark.read.schema(schemas.MINUTE_SPEED).parquet(path)
     if first_day is not None:
         store = store.where(F.col("day") >= first_day)
     if last_day is not None:

@@ -37,7 +37,8 @@ def passes(spark, log_dir):
 
 
 def test_log_is_typed(passes):
-    assert tuple(passes.columns) == schemas.PASSES
+    assert passes.columns == schemas.PASSES.names
+    assert [f.dataType for f in passes.schema] == [f.dataType for f in schemas.PASSES]
     assert passes.count() == 120 and passes.where("ts is null or speed is null").count() == 0
     # Hour 24 belongs to the next day.
     assert passes.where("substring(action_time, 1, 10) > date").count() == 15
@@ -55,8 +56,10 @@ def test_date_filter_and_pushdown(spark, passes, tmp_path):
     assert filters.date_range(passes, "2024-01-01", "2024-01-02").count() == 80
     assert filters.date_range(passes, None, None).count() == 120
     path = str(tmp_path / "passes")
-    passes.write.partitionBy("date").parquet(path)
-    stored = filters.date_range(spark.read.parquet(path), "2024-01-02", "2024-01-02").select("car")
+    sinks.write_passes(passes, path)
+    sinks.write_passes(passes.where("date = '2024-01-02'"), path)
+    assert tables.read_passes(spark, path).count() == 120
+    stored = filters.date_range(tables.read_passes(spark, path), "2024-01-02", "2024-01-02").select("car")
     plan = stored._jdf.queryExecution().executedPlan().toString()
     assert stored.count() == 40 and "PartitionFilters: [isnotnull(date" in plan
     assert "ReadSchema: struct<car:string>" in plan

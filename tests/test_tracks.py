@@ -82,11 +82,22 @@ def test_hot_track_is_continued_in_parts(make_passes):
     whole = {r.car: r.track for r in tracks.monitor_tracks(passes).collect()}
     parts = tracks.monitor_tracks(passes, hot_rows=10).collect()
     hot = sorted((r.part, r.track) for r in parts if r.car == "hot")
-    assert len(hot) > 5 and max(t.count(",") for _, t in hot) < 20
+    assert [t.count(",") + 1 for _, t in hot] == [10] * 10
     assert ",".join(t for _, t in hot) == whole["hot"]
     assert [(r.part, r.track) for r in parts if r.car == "cold"] == [(0, whole["cold"])]
 
 
+@pytest.mark.parametrize("last_only", [True, False])
+def test_one_crowded_second_is_cut_too(make_passes, last_only):
+    rows = [(f"c{i:03d}", "m", at(0)) for i in range(200)] + [("late", "m", at(299)), ("x", "m", at(900))]
+    got = tracks.range_cars(make_passes(rows), last_only, hot_rows=20).collect()
+    crowd = [r for r in got if r.range_time.startswith("2024-01-01 08:00")]
+    sizes = [r.cars.count("=") for r in crowd]
+    assert len(sizes) > 5 and max(sizes) < 60 and sum(sizes) == 201
+    listed = [c.split("=")[0] for r in sorted(crowd, key=lambda r: r.part) for c in r.cars.split("|")]
+    assert sorted(listed) == sorted(r[0] for r in rows[:-1]) and listed[-1] == "late"
+
+
 def test_monitor_track_has_last_date(make_passes):
     passes = make_passes([("a", "m1", "2024-01-01 23:59:00"), ("a", "m2", "2024-01-02 00:01:00")])
     row = tracks.monitor_tracks(passes).first()
