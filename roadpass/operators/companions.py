@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
 from roadpass.operators.skew import bounded_broadcast
+from roadpass.session import stored
 
 GAP_SECONDS = 300
 
 
 def companions_of(
-    passes: DataFrame, suspects: DataFrame, gap: int = GAP_SECONDS, max_suspects: int | None = None
+    passes: DataFrame,
+    suspects: DataFrame,
+    gap: int = GAP_SECONDS,
+    max_suspects: int | None = None,
+    store_first: bool = False,
 ) -> DataFrame:
     """Passes of other cars near each pass of a suspect car.
 
     Only the suspects' passes are tripled over neighbouring time slots; the full pass
     table is joined once, on (monitor, slot), and a pair meets in exactly one slot.
+    ``store_first`` writes the suspects' passes before the join is planned: their real
+    size then decides between a broadcast, which spares the pass table its shuffle,
+    and a shuffled join.
     """
     base = passes.select("monitor_id", "car", "action_time", "pass_id", K.clock(F.col("ts")).alias("clock"))
     wanted = bounded_broadcast(suspects.select("car").distinct(), max_suspects)
@@ -31,6 +39,8 @@ def companions_of(
         "pass_id",
         "clock",
     )
+    if store_first:
+        left = stored(left, "suspects")
     right = base.select(
         "monitor_id",
         slot.alias("slot"),
@@ -55,6 +65,15 @@ def companions_of(
     )
 
 
+def _within(n: str, window: WindowSpec, gap: int) -> Column:
+    """Sum over the rows at most ``gap`` seconds away, as a difference of running sums: a
+    sliding frame would add up all its rows again for every row."""
+    start = Window.unboundedPreceding
+    upto = F.sum(n).over(window.rangeBetween(start, gap))
+    before = F.sum(n).over(window.rangeBetween(start, -gap - 1))
+    return upto - F.coalesce(before, F.lit(0))
+
+
 def encounters(passes: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """(car, encounters): how many passes of other cars were near the car's own passes.
 
@@ -65,10 +84,10 @@ def encounters(passes: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     base = passes.select("monitor_id", "car", K.clock(F.col("ts")).alias("clock"))
     own = base.groupBy("monitor_id", "car", "clock").agg(F.count("*").alias("n"))
     everyone = own.groupBy("monitor_id", "clock").agg(F.sum("n").alias("all_n"))
-    by_monitor = Window.partitionBy("monitor_id").orderBy("clock").rangeBetween(-gap, gap)
-    by_car = Window.partitionBy("monitor_id", "car").orderBy("clock").rangeBetween(-gap, gap)
-    around = everyone.select("monitor_id", "clock", F.sum("all_n").over(by_monitor).alias("near"))
-    mine = own.select("monitor_id", "car", "clock", "n", F.sum("n").over(by_car).alias("near_own"))
+    near = _within("all_n", Window.partitionBy("monitor_id").orderBy("clock"), gap)
+    near_own = _within("n", Window.partitionBy("monitor_id", "car").orderBy("clock"), gap)
+    around = everyone.select("monitor_id", "clock", near.alias("near"))
+    mine = own.select("monitor_id", "car", "clock", "n", near_own.alias("near_own"))
     met = F.col("n") * (F.col("near") - F.col("near_own"))
     return (
         mine.join(around, ["monitor_id", "clock"]).groupBy("car").agg(F.sum(met).alias("encounters"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpass.functions.classes import SPEED_BANDS, in_band
 from roadpass.operators.filters import at_monitors
+from roadpass.operators.skew import bounded_broadcast
 
 RANKED_MONITORS = 50
 FASTEST_PER_MONITOR = 10
@@ -33,15 +34,27 @@ def fastest_passes(
 ) -> DataFrame:
     """The fastest passes at each of the ranked monitors.
 
-    The rank filter is applied before the shuffle as a group limit, so a busy monitor
-    sends at most ``per_monitor`` rows per task.
+    Counting passes per speed gives the lowest speed that can still be among a
+    monitor's fastest. Only passes from there up are ranked, so the pass table is read
+    but never sorted. There is one such speed per ranked monitor, at most ``limit``.
     """
+    rows = at_monitors(passes, speed_rank(passes, limit), max_rows=limit)
+    rows = rows.where(F.col("speed").isNotNull())
+    downward = Window.partitionBy("monitor_id").orderBy(F.desc("speed"))
+    floors = (
+        rows.groupBy("monitor_id", "speed")
+        .agg(F.count("*").alias("n"))
+        .withColumn("faster", F.sum("n").over(downward) - F.col("n"))
+        .where(F.col("faster") < per_monitor)
+        .groupBy("monitor_id")
+        .agg(F.min("speed").alias("floor"))
+    )
     best = Window.partitionBy("monitor_id").orderBy(
         F.desc("speed"), "action_time", "car", "camera_id", "pass_id"
     )
-    ranked = at_monitors(passes, speed_rank(passes, limit), max_rows=limit)
+    fast = passes.join(bounded_broadcast(floors, limit), "monitor_id").where(F.col("speed") >= F.col("floor"))
     return (
-        ranked.where(F.col("speed").isNotNull())
+        fast.drop("floor")
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= per_monitor)
     )

@@ -230,7 +230,8 @@ def range_cars_all(spark, sf):
 
 @query
 def companions_of_watched(spark, sf):
-    return companions.companions_of(events.passes(spark, sf), events.watch_list(spark, sf))
+    watched = events.watch_list(spark, sf)
+    return companions.companions_of(events.passes(spark, sf), watched, store_first=True)
 
 
 @query

@@ -143,6 +143,8 @@ def test_companions_against_brute_force(spark, make_passes):
         for r in companions.companions_of(passes, suspects, max_suspects=2).collect()
     )
     assert got == sorted((a[0], b[0], a[1], a[2], b[2]) for a, b in pairs if a[0] in "ab")
+    stored = companions.companions_of(passes, suspects, store_first=True)
+    assert stored.count() == len(got)
     met = {r.car: r.encounters for r in companions.encounters(passes).collect()}
     assert met == {c: sum(a[0] == c for a, _ in pairs) for c in "abcd"}
 
