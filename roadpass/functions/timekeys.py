@@ -14,13 +14,22 @@ _ORIGIN = "timestamp_ntz'1970-01-01 00:00:00'"
 _SECOND = "interval '1' second"
 
 
+def text_clock(text: Column) -> Column:
+    """Civil seconds of a ``yyyy-MM-dd HH:mm:ss`` text. Hours of 24 and more roll into the
+    following days, malformed text gives NULL. Every piece of the text is read once."""
+    day = F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("bigint")
+    hour, minute, second = (F.substring(text, at, 2).try_cast("int") for at in (12, 15, 18))
+    return day * 86400 + hour * 3600 + minute * 60 + second
+
+
+def clock_time(seconds: Column) -> Column:
+    """Civil seconds to TIMESTAMP_NTZ."""
+    return F.expr(_ORIGIN) + F.expr(_SECOND) * seconds
+
+
 def parse_time(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` to TIMESTAMP_NTZ; hours of 24 and more roll into
-    the following days, malformed text gives NULL."""
-    day = F.substring(text, 1, 10).try_cast("timestamp_ntz")
-    clock = F.split(F.trim(F.substring(text, 11, 32)), ":")
-    hour, minute, second = (F.get(clock, F.lit(i)).try_cast("int") for i in range(3))
-    return day + F.expr(_SECOND) * (hour * 3600 + minute * 60 + second)
+    """Time text to TIMESTAMP_NTZ, with the rules of ``text_clock``."""
+    return clock_time(text_clock(text))
 
 
 def time_text(ts: Column) -> Column:
@@ -44,7 +53,7 @@ def clock(ts: Column) -> Column:
 
 def clock_text(seconds: Column) -> Column:
     """Civil seconds back to ``yyyy-MM-dd HH:mm:ss``."""
-    return time_text(F.expr(_ORIGIN) + F.expr(_SECOND) * seconds)
+    return time_text(clock_time(seconds))
 
 
 def date_hour(time: Column) -> Column:
@@ -85,13 +94,13 @@ def minute_index(day: Column, hhmm: Column) -> Column:
 
 
 def is_before(a: Column, b: Column) -> Column:
-    return parse_time(a) < parse_time(b)
+    return text_clock(a) < text_clock(b)
 
 
 def is_after(a: Column, b: Column) -> Column:
-    return parse_time(a) > parse_time(b)
+    return text_clock(a) > text_clock(b)
 
 
 def seconds_between(a: Column, b: Column) -> Column:
     """Seconds from ``b`` to ``a``."""
-    return clock(parse_time(a)) - clock(parse_time(b))
+    return text_clock(a) - text_clock(b)
