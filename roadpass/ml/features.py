@@ -8,6 +8,10 @@ speed in the row's minute.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +49,11 @@ def _value_at(pos: int) -> Column:
     return F.coalesce(F.max(F.when(F.col("pos") == pos, F.col("v"))), F.lit(MISSING))
 
 
+def _minutes_before(day: str, hhmm: str, minutes: int) -> tuple[str, str]:
+    moment = datetime.strptime(day + hhmm, "%Y%m%d%H%M") - timedelta(minutes=minutes)
+    return moment.strftime("%Y%m%d"), moment.strftime("%H%M")
+
+
 def _keys(minute: Column) -> list[Column]:
     text = K.clock_text(minute * 60)
     return [K.day_key(text).alias("day"), K.minute_key(text).alias("hhmm")]
@@ -66,6 +75,10 @@ def training_rows(
     last ``hours`` before it; by default the whole store is used. ``max_relations`` is
     the proven row count of ``relations``, if there is one.
     """
+    if until is not None:
+        first_day, _ = _minutes_before(*until, minutes=hours * 60)
+        last_day, _ = _minutes_before(*until, minutes=-lags)
+        minutes = minutes.where(F.col("day").between(first_day, last_day))
     means = minute_means(minutes)
     if until is not None:
         end = K.minute_index(F.lit(until[0]), F.lit(until[1]))
@@ -108,10 +121,16 @@ def rows_at(
     max_relations: int | None = None,
 ) -> DataFrame:
     """Feature rows of all cameras for predicting the minute after (day, hhmm)."""
-    now = K.minute_index(F.lit(day), F.lit(hhmm))
-    means = minute_means(minutes).where(F.col("minute").between(now - lags + 1, now))
+    keys = [_minutes_before(day, hhmm, lag) for lag in range(lags - 1, -1, -1)]
+    # Compared as stored keys, so the store is pruned to the day's partition.
+    is_at = [(F.col("day") == d) & (F.col("hhmm") == m) for d, m in keys]
+    lag_index = F.coalesce(*[F.when(cond, F.lit(i)) for i, cond in enumerate(is_at)])
+    recent = minutes.where(reduce(or_, is_at) & (F.col("n") > 0))
+    means = recent.select(
+        "camera_id", lag_index.alias("minute"), mean_speed(F.col("speed_sum"), F.col("n")).alias("v")
+    )
     rows = _related(means, relations, width, max_relations)
-    slot = (F.col("minute") - (now - lags + 1)) * width + F.col("pos")
+    slot = F.col("minute") * width + F.col("pos")
     values = [F.max(F.when(slot == i, F.col("v"))).alias(f"slot{i}") for i in range(lags * width)]
     known = rows.groupBy("camera_id").agg(*values)
     filled = [F.coalesce(f"slot{i}", F.lit(MISSING)) for i in range(lags * width)]

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.ml.features import split
+from roadpass.ml.features import LAGS, WIDTH, split
 
 ACCEPTANCE = 0.8
 CAMERA_BUCKETS = 256
@@ -30,10 +30,11 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("speeds", array_to_vector("features"))
 
 
-def _estimator(pooled: bool, max_iter: int) -> Pipeline:
+def _estimator(pooled: bool, max_iter: int, size: int) -> Pipeline:
     """Multinomial logistic regression on the speeds; a pooled model also gets the camera
     as a hashed one-hot vector of fixed width, whatever the number of cameras."""
-    stages, inputs = [], ["speeds"]
+    # The stated size spares the assembler a job that would look at the data for it.
+    stages, inputs = [VectorSizeHint(inputCol="speeds", size=size, handleInvalid="error")], ["speeds"]
     if pooled:
         stages.append(
             FeatureHasher(inputCols=["camera_id"], outputCol="camera", numFeatures=CAMERA_BUCKETS)
@@ -48,8 +49,11 @@ def _estimator(pooled: bool, max_iter: int) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def fit(rows: DataFrame, pooled: bool = True, max_iter: int = 100) -> PipelineModel:
-    return _estimator(pooled, max_iter).fit(_vectors(rows))
+def fit(
+    rows: DataFrame, pooled: bool = True, max_iter: int = 100, size: int = LAGS * WIDTH
+) -> PipelineModel:
+    """Fit on feature rows of ``size`` values."""
+    return _estimator(pooled, max_iter, size).fit(_vectors(rows))
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -63,18 +67,26 @@ def precision(scored: DataFrame) -> float:
     return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
 
 
-def train(rows: DataFrame, pooled: bool = True, max_iter: int = 100, seed: int = 1000) -> Trained:
+def train(
+    rows: DataFrame,
+    pooled: bool = True,
+    max_iter: int = 100,
+    seed: int = 1000,
+    size: int = LAGS * WIDTH,
+) -> Trained:
     """Fit on 60 percent of the rows, measure on the rest, accept above ACCEPTANCE."""
     training, test = split(rows, 0.6, seed)
-    model = fit(training, pooled, max_iter)
+    model = fit(training, pooled, max_iter, size)
     score = precision(predict(model, test))
     return Trained(model, score, score > ACCEPTANCE)
 
 
-def train_cameras(rows: DataFrame, cameras: list[str], max_iter: int = 100) -> dict[str, Trained]:
+def train_cameras(
+    rows: DataFrame, cameras: list[str], max_iter: int = 100, size: int = LAGS * WIDTH
+) -> dict[str, Trained]:
     """One model for each camera of a short, explicit list."""
     return {
-        camera: train(rows.where(F.col("camera_id") == camera), pooled=False, max_iter=max_iter)
+        camera: train(rows.where(F.col("camera_id") == camera), False, max_iter, size=size)
         for camera in cameras
     }
 

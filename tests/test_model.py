@@ -62,6 +62,8 @@ def test_rows_at_covers_every_camera(store, relations):
     assert {r.camera_id for r in rows} == {"a", "b", "z"}
     for r in rows:
         assert list(r.features) == naive(store, r.camera_id, 111)[0]
+    early = features.rows_at(store, relations, DAY, "0001", width=2).collect()
+    assert {tuple(r.features) for r in early} == {(-1.0,) * 6}
     empty = features.rows_at(store, relations, "20300101", "0000", width=2).collect()
     assert {tuple(r.features) for r in empty} == {(-1.0,) * 6}
 
@@ -87,7 +89,7 @@ def steady(spark):
 
 
 def test_accepted_model_is_stored_and_used(spark, steady):
-    trained = model.train(steady, max_iter=20)
+    trained = model.train(steady, max_iter=20, size=6)
     assert trained.accepted and trained.precision == 1.0
     base = scratch_dir(spark, "models")
     assert model.save(spark, trained, base, "20240115T1000")
@@ -107,5 +109,5 @@ def test_models_of_single_cameras(spark, steady):
     mixed = mixed.withColumn(
         "features", F.when(F.col("hhmm") < "0030", F.col("features")).otherwise(F.array_repeat(F.lit(-1.0), 6))
     )
-    got = model.train_cameras(mixed, ["a", "b"], max_iter=30)
+    got = model.train_cameras(mixed, ["a", "b"], max_iter=30, size=6)
     assert set(got) == {"a", "b"} and all(t.accepted for t in got.values())
