@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app_name: str = "roadpass", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; the cluster's own values win
     wherever ``spark-submit`` already set them."""
@@ -18,7 +21,8 @@ def build_session(app_name: str = "roadpass", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Window state on local disk instead of the executors' heap.
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
         **conf,
     }.items():
         builder = builder.config(key, value)

@@ -1,8 +1,8 @@
 """Writers for the result tables.
 
-Results are stored partitioned by ``task_id`` and a write replaces its own task's
-partitions only. A rerun or a retried write therefore never doubles rows, and no
-read-modify-write on the table is needed.
+Results are stored in one folder per task and a write replaces its own task's folder
+only, also when the new result is empty. A rerun or a retried write therefore never
+doubles rows, and no read-modify-write on the table is needed.
 """
 
 from __future__ import annotations
@@ -19,13 +19,8 @@ def shaped(df: DataFrame, table: str, task_id: int) -> DataFrame:
 
 
 def write_result(df: DataFrame, base: str, table: str, task_id: int) -> None:
-    (
-        shaped(df, table, task_id)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("task_id")
-        .parquet(f"{base.rstrip('/')}/{table}")
-    )
+    rows = shaped(df, table, task_id).drop("task_id")
+    rows.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{table}/task_id={task_id}")
 
 
 def write_passes(passes: DataFrame, path: str) -> None:
@@ -59,7 +54,10 @@ def jdbc_write_options(
 
 
 def append_jdbc(df: DataFrame, table: str, task_id: int, url: str, **options) -> None:
-    """Append to a database table, written by the executors in batches per partition."""
+    """Append to a database table, written by the executors in batches per partition.
+
+    A database append cannot replace: a failed and repeated write may leave rows twice.
+    """
     writer = shaped(df, table, task_id).write.format("jdbc").mode("append")
     writer.options(**jdbc_write_options(url, table, **options)).save()
 

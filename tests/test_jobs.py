@@ -150,6 +150,9 @@ def test_rerun_replaces_only_its_own_task(spark):
         sinks.write_result(df, base, "topn_monitor_car_count", task)
     stored = spark.read.parquet(f"{base}/topn_monitor_car_count")
     assert {r.task_id: r["count"] for r in stored.groupBy("task_id").count().collect()} == {1: 2, 2: 2}
+    sinks.write_result(df.limit(0), base, "topn_monitor_car_count", 2)
+    left = spark.read.parquet(f"{base}/topn_monitor_car_count")
+    assert {r.task_id for r in left.collect()} == {1}
 
 
 def test_minute_store_and_predictions_replace_partitions(spark):

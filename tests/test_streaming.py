@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from roadpass.session import scratch_dir
+from roadpass.session import ROCKSDB_PROVIDER, scratch_dir
 from roadpass.sources.streams import StreamSpec, kafka_options, read_lines
 from roadpass.streaming import minute_store, parse, run, windows
 
@@ -66,7 +66,19 @@ def stamp(seconds):
     return (START + timedelta(seconds=seconds)).strftime("%Y-%m-%d %H:%M:%S")
 
 
-def test_congestion_equals_batch_over_several_batches(spark, feed):
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@pytest.fixture(params=["default", "rocksdb"])
+def state_store(spark, request):
+    before = spark.conf.get(PROVIDER)
+    if request.param == "rocksdb":
+        spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
+    yield request.param
+    spark.conf.set(PROVIDER, before)
+
+
+def test_congestion_equals_batch_over_several_batches(spark, feed, state_store):
     folder, add = feed
     everything = lines_of(120)
     for i in range(3):
