@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
@@ -18,6 +18,15 @@ from roadpass.operators.skew import HOT_ROWS, joined_text, ordered_lists
 RANGE_SECONDS = 300
 
 
+def _entry(key: Column, clock: Column) -> Column:
+    """``key=time``; a pass without id or readable time keeps its place in the list."""
+    return F.concat(_text(key), F.lit("="), _text(K.clock_text(clock)))
+
+
+def _text(value: Column) -> Column:
+    return F.coalesce(value, F.lit(""))
+
+
 def _clocked(passes: DataFrame) -> DataFrame:
     return passes.withColumn("clock", K.clock(F.col("ts")))
 
@@ -29,9 +38,7 @@ def car_tracks(
     if cars:
         passes = for_cars(passes, cars)
     lists = ordered_lists(_clocked(passes), ["car"], "clock", ["monitor_id"], hot_rows)
-    text = joined_text(
-        "points", lambda p: F.concat(p["monitor_id"], F.lit("="), K.clock_text(p["clock"])), "|"
-    )
+    text = joined_text("points", lambda p: _entry(p["monitor_id"], p["clock"]), "|")
     return lists.select("car", "part", text.alias("track"))
 
 
@@ -42,7 +49,7 @@ def monitor_tracks(passes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "car",
         "part",
         F.element_at("points", -1)["date"].alias("date"),
-        joined_text("points", lambda p: p["monitor_id"], ",").alias("track"),
+        joined_text("points", lambda p: _text(p["monitor_id"]), ",").alias("track"),
     )
 
 
@@ -66,7 +73,7 @@ def range_cars(
         tie, spread = "car", "spread"
     visits = visits.withColumn("start", K.range_start(F.col("clock"), RANGE_SECONDS))
     lists = ordered_lists(visits, ["monitor_id", "start"], "clock", ["car"], hot_rows, tie, spread)
-    text = joined_text("points", lambda p: F.concat(p["car"], F.lit("="), K.clock_text(p["clock"])), "|")
+    text = joined_text("points", lambda p: _entry(p["car"], p["clock"]), "|")
     return lists.select(
         "monitor_id",
         K.range_label(F.col("start"), RANGE_SECONDS).alias("range_time"),

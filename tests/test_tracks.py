@@ -110,6 +110,12 @@ def test_null_car_is_kept(make_passes):
     assert got["a"] == "m1" and None in got
 
 
+def test_unreadable_time_keeps_its_place(make_passes):
+    passes = make_passes([("a", "m1", "unknown"), ("a", None, at(0))])
+    assert [r.track for r in tracks.car_tracks(passes).collect()] == [f"m1=|={at(0)}"]
+    assert [r.track for r in tracks.monitor_tracks(passes).collect()] == ["m1,"]
+
+
 @pytest.mark.parametrize("last_only", [True, False])
 def test_range_cars(make_passes, last_only):
     rows = [("a", "m", at(10)), ("b", "m", at(20)), ("a", "m", at(400))]
