@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import substring_dedup
+from roadpass.llm import near_dup, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,3 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_substring_dedup(spark, sf):
     cut = substring_dedup.remove_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_minhash_near_dedup(spark, sf):
+    return near_dup.near_duplicates(table(spark, sf, "documents"), shingle=3, percent=85)
