@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import near_dup, substring_dedup
+from roadpass.llm import mixing, near_dup, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,3 +33,14 @@ def op10_substring_dedup(spark, sf):
 @query
 def op8_minhash_near_dedup(spark, sf):
     return near_dup.near_duplicates(table(spark, sf, "documents"), shingle=3, percent=85)
+
+
+@query
+def op1_entropy_mixing(spark, sf):
+    mixed = mixing.mix_sources(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op2_best_fit_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
