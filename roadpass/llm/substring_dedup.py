@@ -17,8 +17,9 @@ smaller ``doc_id``. Fingerprints have 128 bits.
 
 Edge cases: a null text has no words; a document shorter than a window keeps all words; a
 null ``doc_id`` neither removes words elsewhere nor loses any; rows that share a
-``doc_id`` count as one document when looking for a smaller one; an empty table gives an
-empty result; other columns are ignored.
+``doc_id`` are one document (copies of one text; where their texts differ, each row loses
+the places found in any of them); an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpass.llm.scratch import stored
+from roadpass.llm.scratch import release, stored
 from roadpass.llm.words import Words, joined, places, slices, window_sums
 
 WINDOW = 13
@@ -51,7 +52,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
             for row, found in enumerate(part.column("ranges").to_pylist()):
                 merged = maximal([(x["start"], x["start"] + x["length"]) for x in found or ()])
                 for a, b in merged:
-                    keep[words.bounds[row] + a : words.bounds[row] + b] = False
+                    keep[words.bounds[row] + a : min(words.bounds[row] + b, words.bounds[row + 1])] = False
                 spans.append([{"start": a, "length": b - a} for a, b in merged])
             gone = np.concatenate([[0], np.cumsum(~keep)])
             yield pa.record_batch(
@@ -97,31 +98,32 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_W
         "shared-anchors",
     )
     at = stored(seeds.join(shared, "seed").select("doc_id", "pos"), "anchor-places")
+    release(shared)
     by_doc = at.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
     extended = stored(
         texts.join(by_doc, "doc_id").mapInArrow(
-            _extensions(window, seed_words),
-            "doc_id long, start int, whole1 long, whole2 long, windows array<struct<w1:long,w2:long>>",
+            _extensions(window, seed_words), "doc_id long, start int, n int, whole1 long, whole2 long"
         ),
         "extensions",
     )
+    release(at)
     whole = stored(
         extended.groupBy("whole1", "whole2").agg(F.min("doc_id").alias("first_doc")), "whole-extensions"
     )
     judged = stored(
         extended.join(whole, ["whole1", "whole2"]).select(
-            "doc_id",
-            "start",
-            (F.size("windows") + (window - 1)).alias("length"),
-            (F.col("doc_id") > F.col("first_doc")).alias("repeated"),
-            F.when(F.col("doc_id") == F.col("first_doc"), F.col("windows")).alias("windows"),
+            "doc_id", "start", "n", (F.col("doc_id") > F.col("first_doc")).alias("repeated")
         ),
         "judged-extensions",
     )
+    release(extended, whole)
     # Every different extension is present in its smallest document, so these rows hold
     # every different window together with the smallest document that has it.
-    single = judged.where("not repeated").select("doc_id", "start", F.posexplode("windows").alias("k", "w"))
-    single = single.select("doc_id", (F.col("start") + F.col("k")).alias("start"), "w.w1", "w.w2")
+    to_split = judged.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    single = stored(
+        texts.join(to_split, "doc_id").mapInArrow(_windows(window), "doc_id long, start int, w1 long, w2 long"),
+        "single-windows",
+    )
     first = stored(
         single.groupBy("w1", "w2")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
@@ -129,10 +131,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_W
         .drop("last_doc"),
         "first-windows",
     )
-    late = single.join(first, ["w1", "w2"]).where("doc_id > first_doc")
-    return judged.where("repeated").select("doc_id", "start", "length").unionByName(
-        late.select("doc_id", "start", F.lit(window).alias("length"))
+    late = stored(
+        single.join(first, ["w1", "w2"]).where("doc_id > first_doc").select("doc_id", "start", F.lit(window).alias("length")),
+        "late-windows",
     )
+    release(single, first)
+    whole_runs = judged.where("repeated").select("doc_id", "start", (F.col("n") + (window - 1)).alias("length"))
+    return whole_runs.unionByName(late)
 
 
 class _Anchors:
@@ -183,8 +188,6 @@ def _seeds(window: int, seed_words: int):
 
 
 def _extensions(window: int, seed_words: int):
-    struct = pa.struct([("w1", pa.int64()), ("w2", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part.column("text"))
@@ -196,30 +199,55 @@ def _extensions(window: int, seed_words: int):
             wanted = np.repeat(words.bounds[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
             keep = np.isin(found.place, wanted)
             low, high, row = found.low[keep], found.high[keep], found.row[keep]
-            one, two = (window_sums(found.hashes, window, seed=s).view(np.int64) for s in (2, 3))
-            count = high - low + 1
-            # Each extension is the run of its windows; hash the run window by window.
-            owner = np.repeat(np.arange(len(low)), count)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            window_at = low[owner] + offset
+            n = high - low + 1
+            place, offset = _spread(low, n)
             whole = []
-            for codes, seed in ((one, 5), (two, 6)):
-                factor = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**62, window, dtype=np.int64) * 2 + 1
-                terms = codes[window_at] * factor[offset]
-                sums = np.add.reduceat(terms, np.cumsum(count) - count) if len(count) else terms
-                whole.append(sums + count)
+            # The run of an anchor's windows is hashed window by window.
+            for seed in (2, 3):
+                codes = window_sums(found.hashes, window, seed)
+                factor = np.random.Generator(np.random.PCG64(seed + 3)).integers(0, 2**63, window, dtype=np.uint64)
+                terms = codes[place] * (factor[offset] * np.uint64(2) + np.uint64(1))
+                sums = np.add.reduceat(terms, np.cumsum(n) - n) if len(n) else terms
+                whole.append(pa.array((sums + n.astype(np.uint64)).view(np.int64)))
             yield pa.record_batch(
                 [
                     pa.array(ids[row]),
                     pa.array((low - words.bounds[row]).astype(np.int32)),
-                    pa.array(whole[0]),
-                    pa.array(whole[1]),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.append(0, np.cumsum(count)).astype(np.int32)),
-                        pa.StructArray.from_arrays([pa.array(one[window_at]), pa.array(two[window_at])], fields=list(struct)),
-                    ),
+                    pa.array(n.astype(np.int32)),
+                    *whole,
+                ],
+                ["doc_id", "start", "n", "whole1", "whole2"],
+            )
+
+    return run
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places first, first + 1, ... of each run of ``n``, and their number in the run."""
+    offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(first, n) + offset, offset
+
+
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words = Words(part.column("text"))
+            hashes = words.hashes()
+            lists = part.column("runs")
+            row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            starts, n = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            # A repeated doc_id brings the runs of all its texts; those past the end are not this one's.
+            fits = starts + n + window - 1 <= words.counts[row]
+            row, starts, n = row[fits], starts[fits], n[fits]
+            place, offset = _spread(words.bounds[row] + starts, n)
+            codes = [window_sums(hashes, window, s).view(np.int64) for s in (2, 3)]
+            yield pa.record_batch(
+                [
+                    pa.array(np.repeat(part.column("doc_id").to_numpy()[row], n)),
+                    pa.array((np.repeat(starts, n) + offset).astype(np.int32)),
+                    *(pa.array(c[place] if len(place) else np.zeros(0, np.int64)) for c in codes),
                 ],
-                ["doc_id", "start", "whole1", "whole2", "windows"],
+                ["doc_id", "start", "w1", "w2"],
             )
 
     return run
