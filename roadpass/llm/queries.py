@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import mixing, near_dup, packing, substring_dedup
+from roadpass.llm import ann, exact_topk, mixing, near_dup, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +44,13 @@ def op1_entropy_mixing(spark, sf):
 @query
 def op2_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_segment_topk(spark, sf):
+    return exact_topk.exact_topk(table(spark, sf, "embeddings"))
+
+
+@query
+def op4_adaptive_scan_ann(spark, sf):
+    return ann.nearest(table(spark, sf, "embeddings"))
