@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import ann, exact_topk, mixing, near_dup, packing, substring_dedup
+from roadpass.llm import ann, exact_topk, lm, mixing, near_dup, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,3 +54,8 @@ def op3_segment_topk(spark, sf):
 @query
 def op4_adaptive_scan_ann(spark, sf):
     return ann.nearest(table(spark, sf, "embeddings"))
+
+
+@query
+def op6_context_mixing_lm(spark, sf):
+    return lm.score_texts(table(spark, sf, "documents"))

@@ -110,7 +110,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches by rows so that a slice holds few text bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -120,7 +120,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[pa
         i = 0
         while i < batch.num_rows:
             before = int(total[i - 1]) if i else 0
-            j = max(i + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+            j = max(i + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(i, j - i)
             i = j
 
