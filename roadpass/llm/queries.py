@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import ann, exact_topk, lm, mixing, near_dup, packing, substring_dedup
+from roadpass.llm import ann, exact_topk, lm, mixing, near_dup, packing, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,3 +59,9 @@ def op4_adaptive_scan_ann(spark, sf):
 @query
 def op6_context_mixing_lm(spark, sf):
     return lm.score_texts(table(spark, sf, "documents"))
+
+
+@query
+def op7_weak_label_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.fit(docs, table(spark, sf, "labels")).score(docs)
