@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import ann, exact_topk, lm, mixing, near_dup, packing, quality, substring_dedup
+from roadpass.llm import ann, exact_topk, lm, mixing, near_dup, packing, pii, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,3 +65,28 @@ def op6_context_mixing_lm(spark, sf):
 def op7_weak_label_quality(spark, sf):
     docs = table(spark, sf, "documents")
     return quality.fit(docs, table(spark, sf, "labels")).score(docs)
+
+
+@query
+def op9_semi_markov_pii(spark, sf):
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    kinds = F.array(*(F.lit(k) for k in pii.KINDS))
+
+    def joined(spans):
+        placed = F.transform(
+            spans, lambda s: F.struct(s["start"].alias("a"), F.array_position(kinds, s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("kind"))
+        )
+        return F.array_join(
+            F.transform(F.array_sort(placed), lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ","
+        )
+
+    def count(kind):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(k) for k in pii.KINDS),
+        F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"),
+        joined(F.concat("base_spans", "added_spans")).alias("spans"),
+        F.size("added_spans").cast("long").alias("n_added"),
+    )
