@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import ann, exact_topk, lm, mixing, near_dup, packing, pii, quality, substring_dedup
+from roadpass.llm import ann, exact_topk, line_dedup, lm, mixing, near_dup, packing, pii, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +90,9 @@ def op9_semi_markov_pii(spark, sf):
         joined(F.concat("base_spans", "added_spans")).alias("spans"),
         F.size("added_spans").cast("long").alias("n_added"),
     )
+
+
+@query
+def op5_log_template_line_dedup(spark, sf):
+    cut = line_dedup.drop_recurring_lines(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
