@@ -21,7 +21,9 @@ are ignored.
 
 from __future__ import annotations
 
+import base64
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,18 +37,17 @@ from roadpass.llm.scratch import stored
 from roadpass.llm.words import slices
 
 CAPACITY = 2048
-# Cached chunks of text; a bound on memory only.
-CACHE_ENTRIES = 300_000
+_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u024f]|<\|")
 
 PLAN_COLUMNS = ("length", "rank_from", "first_bin", "per_bin", "offset")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = stored(
         texts.mapInArrow(
-            _pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
+            _pieces(tokenizer_path, ranks_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
         ),
         "pieces",
     )
@@ -156,57 +157,43 @@ def _places(plan: np.ndarray):
     return run
 
 
-class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, with a cache of chunks.
+class Encoder:
+    """Token ids of texts as little-endian 32-bit bytes, as the tokenizer file gives them.
 
-    The byte-level pre-tokeniser always starts a new token at a single space between two
-    characters that are not white space, so a text is encoded chunk by chunk. A text with
-    white space next to a cut is encoded as a whole.
+    With ``ranks_path``, the same vocabulary's rank file, texts of common Latin characters
+    go through the faster library; both split them alike. Other texts, and such that hold a
+    special token's string, use the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer_path: str, ranks_path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split(" ") for t in texts]
-        if len(self.later) > CACHE_ENTRIES:
-            self.later, self.first = {}, {}
-        self._learn(self.first, {p[0] for p in split}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in split)), " ")
-        first, later = self.first, self.later
-        for text, parts in zip(texts, split, strict=True):
-            head = first[parts[0]]
-            if len(parts) == 1:
-                yield head if head is not None else self._ids([text])[0]
-                continue
-            found = [later[p] for p in parts[1:]]
-            yield self._ids([text])[0] if head is None or None in found else head + b"".join(found)
+        self.exact = Tokenizer.from_file(tokenizer_path)
+        self.fast = None
+        if ranks_path:
+            import public_tokenizers
+            import tiktoken
 
-    def _learn(self, cache: dict, parts: set[str], before: str) -> None:
-        new = [p for p in parts if p not in cache]
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(plain, self._ids([before + p for p in plain]), strict=True))
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.encoder.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def encode(self, text: str) -> bytes:
+        if self.fast and not _UNUSUAL.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path: str, ranks_path: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = Encoder(path, ranks_path)
         for part in slices(batches):
             doc, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = part.column("doc_id").to_pylist()
-            for doc_id, data in zip(ids, encoder.encode(texts), strict=True):
-                data += b"\0\0\0\0"
+            for doc_id, text in zip(ids, texts, strict=True):
+                data = encoder.encode(text) + b"\0\0\0\0"
                 n = len(data) // 4
                 at = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
