@@ -39,10 +39,28 @@ TOLERANCE = 1e-7
 MAX_ITERATIONS = 80
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken for every row."""
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    # Equal rows are told apart by nothing, so together they are taken as often as their sum.
+    keyed = docs.select(F.struct("*").alias("d")).withColumn("row", F.xxhash64("d"))
+    plain = docs.select("doc_id", "source", "text", F.xxhash64(F.struct("*")).alias("row"))
+    copies = mix_sources(plain, weights, share, ["row"]).groupBy("row").agg(F.sum("copies").cast("int").alias("copies"))
+    taken = stored(copies.where("copies > 0"), "copies")
+    repeated = keyed.join(taken, "row").dropDuplicates(["row"]).select("d", F.explode(F.sequence(F.lit(1), "copies")))
+    return repeated.select("d.*")
+
+
+def mix_sources(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, carry: list[str] | None = None
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies and taken for every row.
+
+    Columns named in ``carry`` are added unchanged.
+    """
+    carry = carry or []
     sized = stored(
         docs.select(
+            *carry,
             F.col("doc_id").cast("long").alias("doc_id"),
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
@@ -71,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     # Each class spreads its copies evenly over its documents, in whole numbers.
     upto = F.expr("(rank + 1) * extra div n") - F.expr("rank * extra div n")
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "rate", upto.cast("int").alias("copies")
+        *carry, "doc_id", "source", "size", "source_size", "target", "rate", upto.cast("int").alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
