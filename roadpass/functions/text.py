@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +44,30 @@ def drop_prefix(value: Column) -> Column:
     return F.regexp_replace(value, "^[0-9]+_", "")
 
 
-def last_pairs(df: DataFrame, keys: list[str], column: str, sep: str = "|") -> DataFrame:
-    """Explode ``k=v|k=v`` text to (keys, k, v), the last duplicate of k winning."""
-    pieces = df.select(*keys, F.posexplode(F.split(column, F.lit("\\" + sep))).alias("pos", "piece"))
+def last_pairs(
+    df: DataFrame, keys: list[str], column: str, sep: str = "|", order: Sequence[str] = ()
+) -> DataFrame:
+    """Explode ``k=v|k=v`` text to (keys, k, v), the last duplicate of k winning.
+
+    Several texts of one key follow each other by the ``order`` columns.
+    """
+    pieces = df.select(*keys, *order, F.posexplode(F.split(column, F.lit("\\" + sep))).alias("pos", "piece"))
     cut = F.instr("piece", "=")
     pairs = pieces.where(cut > 0).select(
         *keys,
-        "pos",
+        F.struct(*order, "pos").alias("at"),
         F.expr("substring(piece, 1, instr(piece, '=') - 1)").alias("k"),
         F.expr("substring(piece, instr(piece, '=') + 1)").alias("v"),
     )
-    return pairs.groupBy(*keys, "k").agg(F.max_by("v", "pos").alias("v"))
+    return pairs.groupBy(*keys, "k").agg(F.max_by("v", "at").alias("v"))
+
+
+def tab_fields(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Text columns of tab-separated lines (column ``value``); NULL where a line is too
+    short. Quote marks are ordinary characters and an empty field stays empty.
+
+    Exploding a one-element array keeps Catalyst from copying the split into every later
+    filter: a line is split once.
+    """
+    fields = lines.select(F.explode(F.array(F.split("value", "\t", -1))).alias("field"))
+    return fields.select(*[F.get("field", F.lit(i)).alias(n) for i, n in enumerate(names)])

@@ -20,7 +20,6 @@ from roadpass.functions.classes import mean_speed, speed_class
 from roadpass.operators.skew import bounded_broadcast
 
 LAGS = 3
-WIDTH = 5
 MISSING = -1.0
 WINDOW_HOURS = 6
 
@@ -34,14 +33,38 @@ def minute_means(minutes: DataFrame) -> DataFrame:
     )
 
 
+def relation_width(relations: DataFrame) -> int:
+    """Number of positions the relations use: the largest one plus one."""
+    return int(relations.agg(F.max("pos")).first()[0] or 0) + 1
+
+
+def _checked(pos: Column, width: int) -> Column:
+    """The position, or an error when it does not fit: no related camera is left out."""
+    message = F.concat(F.lit(f"related camera at a position beyond width {width}: "), pos.cast("string"))
+    return F.when(pos < width, pos).otherwise(F.raise_error(message).cast("int"))
+
+
 def _related(means: DataFrame, relations: DataFrame, width: int, max_relations: int | None) -> DataFrame:
-    """(camera_id, minute, pos, v, own): each stored minute handed to the cameras it informs."""
-    rel = relations.where(F.col("pos") < width).select(
-        F.col("camera_id").alias("target"), "pos", F.col("related_id").alias("camera_id")
+    """(camera_id, minute, pos, v, own): each stored minute handed to the cameras it informs.
+
+    A camera's own reading comes with position NULL, whether or not the camera stands in
+    its own list.
+    """
+    rel = relations.select(
+        F.col("camera_id").alias("target"),
+        _checked(F.col("pos"), width).alias("pos"),
+        F.col("related_id").alias("camera_id"),
+    )
+    itself = relations.select("camera_id").distinct().select(
+        F.col("camera_id").alias("target"), F.lit(None).cast("int").alias("pos"), "camera_id"
     )
-    own = F.when(F.col("camera_id") == F.col("target"), F.col("v"))
-    return means.join(bounded_broadcast(rel, max_relations), "camera_id").select(
-        F.col("target").alias("camera_id"), "minute", "pos", "v", own.alias("own")
+    both = bounded_broadcast(rel.unionByName(itself), 2 * max_relations if max_relations else None)
+    return means.join(both, "camera_id").select(
+        F.col("target").alias("camera_id"),
+        "minute",
+        "pos",
+        "v",
+        F.when(F.col("pos").isNull(), F.col("v")).alias("own"),
     )
 
 
@@ -62,9 +85,9 @@ def _keys(minute: Column) -> list[Column]:
 def training_rows(
     minutes: DataFrame,
     relations: DataFrame,
+    width: int,
     until: tuple[str, str] | None = None,
     hours: int = WINDOW_HOURS,
-    width: int = WIDTH,
     lags: int = LAGS,
     max_relations: int | None = None,
 ) -> DataFrame:
@@ -72,8 +95,10 @@ def training_rows(
     that has both related cameras and an own reading.
 
     ``until`` = (yyyyMMdd, HHmm) keeps the rows whose oldest feature minute lies in the
-    last ``hours`` before it; by default the whole store is used. ``max_relations`` is
-    the proven row count of ``relations``, if there is one.
+    last ``hours`` before it; by default the whole store is used. ``width`` is the number
+    of positions in the relations (``relation_width``); a shorter list leaves the rest
+    missing, a position beyond it is an error. ``max_relations`` is the proven row count
+    of ``relations``, if there is one.
     """
     if until is not None:
         first_day, _ = _minutes_before(*until, minutes=hours * 60)
@@ -85,7 +110,7 @@ def training_rows(
         span = hours * 60
         means = means.where(F.col("minute").between(end - (span - lags), end - 1 + lags))
     # One shuffle by camera serves both the per-minute grouping and the frames below. A
-    # camera has at most one row per minute, whatever the traffic.
+    # camera has at most one row per minute, however many passes there are.
     informed = _related(means, relations, width, max_relations).repartition("camera_id")
     minute_rows = informed.groupBy("camera_id", "minute").agg(
         F.array(*[_value_at(p) for p in range(width)]).alias("values"),
@@ -116,7 +141,7 @@ def rows_at(
     relations: DataFrame,
     day: str,
     hhmm: str,
-    width: int = WIDTH,
+    width: int,
     lags: int = LAGS,
     max_relations: int | None = None,
 ) -> DataFrame:

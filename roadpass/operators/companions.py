@@ -6,32 +6,22 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
-from roadpass.operators.skew import bounded_broadcast
-from roadpass.session import stored
 
 GAP_SECONDS = 300
+DAY_SECONDS = 86_400
 
 
-def companions_of(
-    passes: DataFrame,
-    suspects: DataFrame,
-    gap: int = GAP_SECONDS,
-    max_suspects: int | None = None,
-    store_first: bool = False,
-) -> DataFrame:
+def companions_of(passes: DataFrame, suspects: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """Passes of other cars near each pass of a suspect car.
 
     Only the suspects' passes are tripled over neighbouring time slots; the full pass
-    table is joined once, on (monitor, slot), and a pair meets in exactly one slot.
-    ``store_first`` writes the suspects' passes before the join is planned: their real
-    size then decides between a broadcast, which spares the pass table its shuffle,
-    and a shuffled join.
+    table is joined once, on (monitor, slot), and a pair meets in exactly one slot. The
+    output follows the suspects' passes, so the list should be a short one.
     """
     base = passes.select("monitor_id", "car", "action_time", "pass_id", K.clock(F.col("ts")).alias("clock"))
-    wanted = bounded_broadcast(suspects.select("car").distinct(), max_suspects)
     slot = F.floor(F.col("clock") / gap)
     near = F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot")
-    left = base.join(wanted, "car", "left_semi").select(
+    left = base.join(suspects.select("car").distinct(), "car", "left_semi").select(
         "monitor_id",
         near,
         "car",
@@ -39,8 +29,6 @@ def companions_of(
         "pass_id",
         "clock",
     )
-    if store_first:
-        left = stored(left, "suspects")
     right = base.select(
         "monitor_id",
         slot.alias("slot"),
@@ -65,6 +53,25 @@ def companions_of(
     )
 
 
+def meetings(passes: DataFrame, suspects: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
+    """(car, companion, meetings, monitors, first_time, last_time) of each suspect car.
+
+    ``meetings`` counts the pairs of passes, ``monitors`` the different monitors.
+    """
+    return (
+        companions_of(passes, suspects, gap)
+        .groupBy("car", "companion", "monitor_id")
+        .agg(F.count("*").alias("n"), F.min("action_time").alias("a"), F.max("action_time").alias("b"))
+        .groupBy("car", "companion")
+        .agg(
+            F.sum("n").alias("meetings"),
+            F.count("*").alias("monitors"),
+            F.min("a").alias("first_time"),
+            F.max("b").alias("last_time"),
+        )
+    )
+
+
 def _within(n: str, window: WindowSpec, gap: int) -> Column:
     """Sum over the rows at most ``gap`` seconds away, as a difference of running sums: a
     sliding frame would add up all its rows again for every row."""
@@ -74,21 +81,39 @@ def _within(n: str, window: WindowSpec, gap: int) -> Column:
     return upto - F.coalesce(before, F.lit(0))
 
 
+def _by_day(rows: DataFrame, gap: int) -> DataFrame:
+    """Rows with their ``day``, and again for a neighbouring day that starts or ended at
+    most ``gap`` seconds away."""
+    days = [F.floor((F.col("clock") + shift) / DAY_SECONDS) for shift in (-gap, 0, gap)]
+    # A pass without a time meets nobody but is kept, with a day of NULL.
+    return rows.withColumn("day", F.explode(F.array_distinct(F.array(*days))))
+
+
+def _own_day() -> Column:
+    return F.col("day").eqNullSafe(F.floor(F.col("clock") / DAY_SECONDS))
+
+
 def encounters(passes: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """(car, encounters): how many passes of other cars were near the car's own passes.
 
     Covers the whole network without producing pairs. Passes are first counted per
-    second; the range frames then run over those counts, whose number per monitor is
-    bounded by the seconds in the period.
+    second; the range frames then run over those counts day by day, each day with
+    ``gap`` seconds lent from its neighbours, so a frame never holds more than a day's
+    seconds of one monitor.
     """
+    if gap >= DAY_SECONDS:
+        raise ValueError("gap must be shorter than a day")
     base = passes.select("monitor_id", "car", K.clock(F.col("ts")).alias("clock"))
     own = base.groupBy("monitor_id", "car", "clock").agg(F.count("*").alias("n"))
     everyone = own.groupBy("monitor_id", "clock").agg(F.sum("n").alias("all_n"))
-    near = _within("all_n", Window.partitionBy("monitor_id").orderBy("clock"), gap)
-    near_own = _within("n", Window.partitionBy("monitor_id", "car").orderBy("clock"), gap)
-    around = everyone.select("monitor_id", "clock", near.alias("near"))
-    mine = own.select("monitor_id", "car", "clock", "n", near_own.alias("near_own"))
-    met = F.col("n") * (F.col("near") - F.col("near_own"))
-    return (
-        mine.join(around, ["monitor_id", "clock"]).groupBy("car").agg(F.sum(met).alias("encounters"))
+    near = _within("all_n", Window.partitionBy("monitor_id", "day").orderBy("clock"), gap)
+    near_own = _within("n", Window.partitionBy("monitor_id", "car", "day").orderBy("clock"), gap)
+    around = _by_day(everyone, gap).select("monitor_id", "clock", "day", near.alias("near")).where(_own_day())
+    mine = (
+        _by_day(own, gap)
+        .select("monitor_id", "car", "clock", "n", "day", near_own.alias("near_own"))
+        .where(_own_day())
     )
+    met = F.col("n") * (F.col("near") - F.col("near_own"))
+    same = ["monitor_id", "clock"]
+    return mine.drop("day").join(around.drop("day"), same).groupBy("car").agg(F.sum(met).alias("encounters"))

@@ -45,10 +45,19 @@ def search(
     ranges: Mapping[str, tuple[int | None, int | None]] | None = None,
     any_of: Mapping[str, str | None] | None = None,
     equal: Mapping[str, str | None] | None = None,
+    shared: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
     """Multi-attribute search: optional range, list and equality conditions, all of
-    which must hold. A condition whose parameter is None does not filter."""
-    conds = [P.in_range(F.col(c), lo, hi) for c, (lo, hi) in (ranges or {}).items()]
-    conds += [P.overlaps(F.col(c), wanted) for c, wanted in (any_of or {}).items()]
+    which must hold. A condition whose parameter is None does not filter. ``any_of`` is
+    for single values, ``shared`` for columns that hold comma lists themselves."""
+    kinds = dict(passes.dtypes)
+    conds = [P.in_range(F.col(c), lo, hi, kinds[c] == "string") for c, (lo, hi) in (ranges or {}).items()]
+    conds += [P.one_of(F.col(c), wanted) for c, wanted in (any_of or {}).items()]
+    conds += [P.overlaps(F.col(c), wanted) for c, wanted in (shared or {}).items()]
     conds += [P.equals(F.col(c), wanted) for c, wanted in (equal or {}).items()]
     return date_range(passes, start, end).where(reduce(and_, conds, F.lit(True)))
+
+
+def cars_in_range(passes: DataFrame, start: str | None, end: str | None, cars: Sequence[str]) -> DataFrame:
+    """Passes of the listed cars in a date range; both conditions reach the scan."""
+    return for_cars(date_range(passes, start, end), cars)

@@ -11,48 +11,54 @@ from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
 from roadpass.functions.classes import round_rate
-from roadpass.operators.skew import HOT_ROWS, hot_and_cold
 
+SLICE_SECONDS = 3600
 
-def _following(hot: DataFrame, depth: int) -> DataFrame:
-    """For each slice of a hot car, the next ``depth`` passes from its later slices.
 
-    Works on the first ``depth`` passes of every slice only, so its size follows the
-    number of slices, not the number of passes.
+def _lent(base: DataFrame, depth: int) -> DataFrame:
+    """For each hour of a car, the next ``depth`` passes from its later hours.
+
+    Only the first ``depth`` passes of every hour can be among them, so the second window
+    sees hours, not passes.
     """
-    order = Window.partitionBy("car", "part").orderBy("clock", "pass_id")
+    order = Window.partitionBy("car", "slice").orderBy("clock", "pass_id")
     heads = (
-        hot.withColumn("rn", F.row_number().over(order))
+        base.withColumn("rn", F.row_number().over(order))
         .where(F.col("rn") <= depth)
-        .groupBy("car", "part")
+        .groupBy("car", "slice")
         .agg(F.sort_array(F.collect_list(F.struct("clock", "pass_id", "monitor_id"))).alias("head"))
     )
-    later = Window.partitionBy("car").orderBy("part").rowsBetween(1, depth)
+    later = Window.partitionBy("car").orderBy("slice").rowsBetween(1, depth)
     ahead = F.slice(F.flatten(F.collect_list("head").over(later)), 1, depth)
     return (
-        heads.select("car", "part", ahead.alias("ahead"))
-        .select("car", "part", F.explode("ahead").alias("p"))
-        .select("car", "p.monitor_id", "p.clock", "p.pass_id", "part", F.lit(True).alias("borrowed"))
+        heads.select("car", "slice", ahead.alias("ahead"))
+        .select("car", "slice", F.explode("ahead").alias("p"))
+        .select("car", "p.monitor_id", "p.clock", "p.pass_id", "slice", F.lit(True).alias("lent"))
     )
 
 
-def prefix_counts(passes: DataFrame, flow: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def prefix_counts(passes: DataFrame, flow: Sequence[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """One row (c1, c2, ...): how often a car passes the first k monitors of ``flow``
-    directly one after the other, overlaps included, summed over all cars."""
+    directly one after the other, overlaps included, summed over all cars.
+
+    A car's passes are cut into hours, each with the few passes that follow it, so the
+    counts are those of the whole track and no task sees more than one hour of a car.
+    """
     depth = len(flow) - 1
-    base = passes.select("car", "monitor_id", K.clock(F.col("ts")).alias("clock"), "pass_id")
+    clock = K.clock(F.col("ts"))
+    base = passes.select(
+        "car", "monitor_id", clock.alias("clock"), "pass_id", F.floor(clock / slice_seconds).alias("slice")
+    )
     if depth == 0:
         return base.agg(F.count_if(F.col("monitor_id") == flow[0]).alias("c1"))
-    hot, cold = hot_and_cold(base, ["car"], "clock", "pass_id", hot_rows)
-    own = cold.unionByName(hot).withColumn("borrowed", F.lit(False))
-    rows = own.unionByName(_following(hot, depth))
-    order = Window.partitionBy("car", "part").orderBy("clock", "pass_id")
+    rows = base.withColumn("lent", F.lit(False)).unionByName(_lent(base, depth))
+    order = Window.partitionBy("car", "slice").orderBy("clock", "pass_id")
     steps = [F.col("monitor_id") == flow[0]]
     steps += [
         F.coalesce(F.lead("monitor_id", k).over(order) == flow[k], F.lit(False))
         for k in range(1, len(flow))
     ]
-    hits = rows.select("borrowed", *[s.alias(f"s{i}") for i, s in enumerate(steps)]).where(~F.col("borrowed"))
+    hits = rows.select("lent", *[s.alias(f"s{i}") for i, s in enumerate(steps)]).where(~F.col("lent"))
     return hits.agg(
         *[
             F.count_if(reduce(and_, [F.col(f"s{i}") for i in range(k)])).alias(f"c{k}")
@@ -62,12 +68,12 @@ def prefix_counts(passes: DataFrame, flow: Sequence[str], hot_rows: int = HOT_RO
 
 
 def conversion(
-    passes: DataFrame, flow: Sequence[str], rates_only: bool = False, hot_rows: int = HOT_ROWS
+    passes: DataFrame, flow: Sequence[str], rates_only: bool = False, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:
     """(flow, step, match_count, rate): rate = matches of k monitors / matches of k-1, two
     decimals. It is NULL for the first step and after a step without matches;
     ``rates_only`` leaves those rows out."""
-    counts = prefix_counts(passes, flow, hot_rows)
+    counts = prefix_counts(passes, flow, slice_seconds)
     steps = [
         F.struct(
             F.lit(",".join(flow[:k])).alias("flow"),

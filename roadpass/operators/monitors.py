@@ -75,11 +75,11 @@ def monitor_status(registry: DataFrame, passes: DataFrame, mode: str = "cameras"
     return per_monitor.where(F.col("camera_count") > 0).withColumn("status", status)
 
 
-def network_state(status: DataFrame, skip_missing: bool = False) -> DataFrame:
-    """One row of network totals with the rendered list of abnormal cameras.
+def network_state(status: DataFrame, skip_missing: bool = False, infos: bool = False) -> DataFrame:
+    """One row of network totals; ``unseen_cameras`` has the abnormal cameras as rows.
 
-    The list grows with the unseen part of the registry, not with the passes; use
-    ``unseen_cameras`` for the same facts as rows.
+    ``infos`` adds them as one text, for tables that want it. The text grows with the
+    unseen part of the registry.
     """
     if skip_missing:
         status = status.where(F.col("status") != "missing")
@@ -89,12 +89,13 @@ def network_state(status: DataFrame, skip_missing: bool = False) -> DataFrame:
         ~normal & (F.col("unseen_cameras") != ""),
         F.concat("monitor_id", F.lit(":"), "unseen_cameras"),
     )
+    text = F.array_join(F.sort_array(F.collect_list(entry)), "~").alias("abnormal_monitor_camera_infos")
     return status.agg(
         F.count_if(normal).alias("normal_monitor_count"),
         F.coalesce(F.sum(F.col("camera_count") - unseen), F.lit(0)).alias("normal_camera_count"),
         F.count_if(~normal).alias("abnormal_monitor_count"),
         F.coalesce(F.sum(unseen), F.lit(0)).alias("abnormal_camera_count"),
-        F.array_join(F.sort_array(F.collect_list(entry)), "~").alias("abnormal_monitor_camera_infos"),
+        *([text] if infos else []),
     )
 
 

@@ -23,10 +23,9 @@ def _hour_cars(passes: DataFrame) -> DataFrame:
 
 def _with_day_totals(hours: DataFrame) -> DataFrame:
     """Add the cars of the day and the number of days; one row per hour, so few rows."""
+    days = hours.agg(F.count_distinct("day")).scalar()
     return hours.select(
-        "*",
-        F.sum("hour_cars").over(Window.partitionBy("day")).alias("day_cars"),
-        F.size(F.collect_set("day").over(Window.partitionBy())).alias("days"),
+        "*", F.sum("hour_cars").over(Window.partitionBy("day")).alias("day_cars"), days.alias("days")
     )
 
 
@@ -49,6 +48,12 @@ def hour_quotas(passes: DataFrame, extract_num: int | None = None) -> DataFrame:
     return hours.select(*_key_text(), "hour_cars", "day_cars", *quota)
 
 
+def untimed_passes(passes: DataFrame) -> DataFrame:
+    """One row (untimed): passes without a readable time. They belong to no hour, so hour
+    counts and samples leave them out, while tracks keep them."""
+    return passes.agg(F.count_if(F.col("ts").isNull()).alias("untimed"))
+
+
 def sample_cars(passes: DataFrame, extract_num: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """(date, hour, car): the cars with the smallest draws of each hour, quota many.
 

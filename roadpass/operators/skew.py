@@ -1,25 +1,18 @@
-"""Hot-key handling shared by the operators.
+"""Small helpers against skew that the operators share.
 
-Spark's map-side combine already protects counts, sums and maxima from hot keys.
-What it cannot protect is an operator that needs a key's rows *together*: ordered
-lists and row-to-row comparisons. For those, a key with more than ``hot_rows`` rows
-is cut into consecutive slices of about ``hot_rows`` rows (``part`` 0, 1, 2, ...);
-every other key stays whole (``part`` 0). No row is dropped: the parts of a key, in
-order, are its complete sequence.
+Counts, sums and maxima are protected by Spark's map-side combine. Operators that need
+rows together group them by a rule that does not depend on how many there are: tracks by
+car and day, ranges by monitor and five minutes, row-to-row comparisons by car and hour
+with the next rows lent from the following hours (``funnel``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 100_000
-# A key is only marked hot above total/MAX_HOT_KEYS rows, so at most this many are.
-MAX_HOT_KEYS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -31,80 +24,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, as columns hot_<key>."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.where((F.col("n") > hot_rows) & (F.col("n") > total / F.lit(MAX_HOT_KEYS)))
-    return hot.select(*[F.col(k).alias(f"hot_{k}") for k in keys])
-
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    return reduce(and_, [left[k].eqNullSafe(right[f"{prefix}{k}"]) for k in keys])
-
-
-def _sliced(hot: DataFrame, keys: Sequence[str], clock: str, spread: str, hot_rows: int) -> DataFrame:
-    """Number the slices of hot keys by the position of each row in its key.
-
-    The position is the key's rows before the row's second plus the row's place in
-    that second, estimated from ``spread``. It never decreases in (clock, spread), so
-    slices are consecutive, and a single crowded second is cut as well.
-    """
-    per_second = hot.groupBy(*keys, clock).agg(
-        F.count("*").alias("n"), F.min(spread).alias("lo"), F.max(spread).alias("hi")
-    )
-    upto = Window.partitionBy(*keys).orderBy(clock)
-    names = [*keys, clock]
-    seconds = per_second.select(
-        *[F.col(c).alias(f"at_{c}") for c in names],
-        (F.sum("n").over(upto) - F.col("n")).alias("before"),
-        "n",
-        F.col("lo").cast("double").alias("lo"),
-        F.col("hi").cast("double").alias("hi"),
-    )
-    within = (F.col(spread).cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
-    part = F.floor((F.col("before") + F.col("n") * within) / F.lit(hot_rows))
-    return hot.join(seconds, _same(hot, seconds, names, "at_")).select(
-        *[hot[c] for c in hot.columns], part.cast("bigint").alias("part")
-    )
-
-
-def hot_and_cold(
-    df: DataFrame, keys: Sequence[str], clock: str, spread: str, hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Split rows by whether their key is hot and add ``part`` to both.
-
-    The hot-key table has at most MAX_HOT_KEYS rows by construction, which is the
-    size proof for broadcasting it. Without hot keys adaptive execution drops the hot
-    branch before it reads anything.
-    """
-    hot = bounded_broadcast(hot_keys(df, keys, hot_rows), MAX_HOT_KEYS)
-    same = _same(df, hot, keys, "hot_")
-    cold = df.join(hot, same, "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    return _sliced(df.join(hot, same, "left_semi"), keys, clock, spread, hot_rows), cold
-
-
-def ordered_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    clock: str,
-    payload: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    tie: str = "pass_id",
-    spread: str = "pass_id",
-) -> DataFrame:
-    """(keys, part, points): points is the array of struct(clock, tie, payload...) in that order."""
-    rows = df.select(*dict.fromkeys([*keys, clock, tie, spread, *payload]))
-    hot, cold = hot_and_cold(rows, keys, clock, spread, hot_rows)
-    point = F.struct(*dict.fromkeys([clock, tie, *payload]))
-    return (
-        cold.unionByName(hot)
-        .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(point)).alias("points"))
-    )
-
-
-def joined_text(points: str, render, sep: str) -> Column:
+def joined_text(points: str | Column, render, sep: str) -> Column:
     return F.array_join(F.transform(points, render), sep)
 
 

@@ -21,7 +21,7 @@ def speed_classes(passes: DataFrame) -> DataFrame:
 
 
 def speed_rank(passes: DataFrame, limit: int = RANKED_MONITORS) -> DataFrame:
-    """Monitors by fast traffic: high, medium, normal, low counts, all descending."""
+    """Monitors by fast vehicles: high, medium, normal, low counts, all descending."""
     return (
         speed_classes(passes)
         .orderBy(F.desc("high"), F.desc("medium"), F.desc("normal"), F.desc("low"), "monitor_id")

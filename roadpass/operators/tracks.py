@@ -1,7 +1,7 @@
 """Car tracks and cars per monitor and five-minute range.
 
-Rows carry a ``part`` number. It is 0 for every ordinary key; a key with more than
-``hot_rows`` points is continued over parts 0, 1, 2, ... in time order.
+``points`` is the main form: one row per pass. The texts are renderings of it, one row per
+car and day or per monitor and five minutes, for every car alike.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
 from roadpass.operators.filters import for_cars
-from roadpass.operators.skew import HOT_ROWS, joined_text, ordered_lists
+from roadpass.operators.skew import joined_text
 
 RANGE_SECONDS = 300
 
@@ -27,56 +27,65 @@ def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def _clocked(passes: DataFrame) -> DataFrame:
-    return passes.withColumn("clock", K.clock(F.col("ts")))
+def _chosen(passes: DataFrame, cars: Sequence[str] | None) -> DataFrame:
+    rows = for_cars(passes, cars) if cars else passes
+    return rows.withColumn("clock", K.clock(F.col("ts")))
 
 
-def car_tracks(
-    passes: DataFrame, cars: Sequence[str] | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """(car, part, track) with track ``monitor=time|monitor=time`` in time order."""
-    if cars:
-        passes = for_cars(passes, cars)
-    lists = ordered_lists(_clocked(passes), ["car"], "clock", ["monitor_id"], hot_rows)
+def _in_order(*fields: str) -> Column:
+    return F.sort_array(F.collect_list(F.struct(*fields)))
+
+
+def points(passes: DataFrame, cars: Sequence[str] | None = None) -> DataFrame:
+    """(car, monitor_id, action_time, pass_id): the tracks as rows."""
+    rows = for_cars(passes, cars) if cars else passes
+    return rows.select("car", "monitor_id", "action_time", "pass_id")
+
+
+def car_tracks(passes: DataFrame, cars: Sequence[str] | None = None) -> DataFrame:
+    """(car, date, track) with track ``monitor=time|monitor=time`` of one day in time order."""
+    lists = _chosen(passes, cars).groupBy("car", "date").agg(
+        _in_order("clock", "pass_id", "monitor_id").alias("points")
+    )
     text = joined_text("points", lambda p: _entry(p["monitor_id"], p["clock"]), "|")
-    return lists.select("car", "part", text.alias("track"))
+    return lists.select("car", "date", text.alias("track"))
 
 
-def monitor_tracks(passes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(car, part, date, track) with track ``m1,m2,...`` and the date of its last pass."""
-    lists = ordered_lists(_clocked(passes), ["car"], "clock", ["monitor_id", "date"], hot_rows)
+def monitor_tracks(passes: DataFrame) -> DataFrame:
+    """(car, date, track) with track ``m1,m2,...`` of one day in time order."""
+    lists = _chosen(passes, None).groupBy("car", "date").agg(
+        _in_order("clock", "pass_id", "monitor_id").alias("points")
+    )
     return lists.select(
-        "car",
-        "part",
-        F.element_at("points", -1)["date"].alias("date"),
-        joined_text("points", lambda p: _text(p["monitor_id"]), ",").alias("track"),
+        "car", "date", joined_text("points", lambda p: _text(p["monitor_id"]), ",").alias("track")
     )
 
 
+def last_visits(passes: DataFrame) -> DataFrame:
+    """(car, monitor_id, action_time): the latest pass of each car at each monitor."""
+    rows = passes.groupBy("car", "monitor_id").agg(F.max("ts").alias("ts"))
+    return rows.select("car", "monitor_id", K.time_text(F.col("ts")).alias("action_time"))
+
+
 def range_cars(
-    passes: DataFrame,
-    last_visit_only: bool = True,
-    cars: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    passes: DataFrame, last_visit_only: bool = True, cars: Sequence[str] | None = None
 ) -> DataFrame:
-    """(monitor_id, range_time, part, cars) with cars ``car=time|car=time``.
+    """(monitor_id, range_time, cars) with cars ``car=time|car=time``.
 
     With ``last_visit_only`` a car counts once per monitor, at its latest pass there.
     """
-    if cars:
-        passes = for_cars(passes, cars)
-    visits = _clocked(passes).select("monitor_id", "car", "clock", "pass_id")
-    tie = spread = "pass_id"
+    visits = _chosen(passes, cars).select("monitor_id", "car", "clock", "pass_id")
+    tie = "pass_id"
     if last_visit_only:
         visits = visits.groupBy("monitor_id", "car").agg(F.max("clock").alias("clock"))
-        visits = visits.withColumn("spread", F.xxhash64("car"))
-        tie, spread = "car", "spread"
-    visits = visits.withColumn("start", K.range_start(F.col("clock"), RANGE_SECONDS))
-    lists = ordered_lists(visits, ["monitor_id", "start"], "clock", ["car"], hot_rows, tie, spread)
-    text = joined_text("points", lambda p: _entry(p["car"], p["clock"]), "|")
+        tie = "car"
+    lists = (
+        visits.withColumn("start", K.range_start(F.col("clock"), RANGE_SECONDS))
+        .groupBy("monitor_id", "start")
+        .agg(_in_order(*dict.fromkeys(("clock", tie, "car"))).alias("points"))
+    )
     return lists.select(
         "monitor_id",
         K.range_label(F.col("start"), RANGE_SECONDS).alias("range_time"),
-        "part",
-        text.alias("cars"),
+        joined_text("points", lambda p: _entry(p["car"], p["clock"]), "|").alias("cars"),
     )

@@ -26,7 +26,7 @@ flow AS (
 
 REGISTRY = """
 registry AS (
-  SELECT DISTINCT monitor_id, camera_id FROM flow
+  SELECT DISTINCT monitor_id, camera_id FROM flow WHERE monitor_id <> '0008' AND CAST(camera_id AS INTEGER) % 7 <> 0
   UNION ALL
   SELECT lpad(CAST(n_regionkey AS VARCHAR), 4, '0'), lpad(CAST(n_nationkey + 60 AS VARCHAR), 5, '0') FROM nation
   UNION ALL
@@ -36,6 +36,7 @@ registry AS (
 AREAS = """
 areas AS (
   SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS area_id, n_name AS area_name FROM nation
+  WHERE n_nationkey <> 5
 )"""
 
 WATCHED = """
@@ -75,14 +76,19 @@ STATUS_COLUMNS = """
            coalesce(string_agg(r.camera_id, ',' ORDER BY r.camera_id) FILTER (s.camera_id IS NULL), '')
              AS unseen_cameras
     FROM {registry} r
-    LEFT JOIN (SELECT DISTINCT monitor_id, camera_id FROM flow) s USING (monitor_id, camera_id)
+    LEFT JOIN (SELECT DISTINCT monitor_id, camera_id FROM {flow}) s USING (monitor_id, camera_id)
     LEFT JOIN (SELECT monitor_id, count(DISTINCT camera_id) AS cameras, count(*) AS cars
-               FROM flow GROUP BY 1) o ON o.monitor_id = r.monitor_id
+               FROM {flow} GROUP BY 1) o ON o.monitor_id = r.monitor_id
     GROUP BY r.monitor_id
   )"""
 
-STATUS = STATUS_COLUMNS.format(healthy="unseen_count = 0", registry="(SELECT DISTINCT * FROM registry)")
-STATUS_BY_COUNT = STATUS_COLUMNS.format(healthy="observed_count = camera_count", registry="registry")
+DISTINCT = "(SELECT DISTINCT * FROM registry)"
+STATUS = STATUS_COLUMNS.format(healthy="unseen_count = 0", registry=DISTINCT, flow="flow")
+STATUS_BY_COUNT = STATUS_COLUMNS.format(healthy="observed_count = camera_count", registry="registry", flow="flow")
+ONE_DAY = f" day_flow AS (SELECT * FROM flow WHERE date = '{Q.STATUS_DAY}')"
+STATUS_OF_DAY = STATUS_COLUMNS.format(healthy="unseen_count = 0", registry=DISTINCT, flow="day_flow")
+TASK_FLOW = f" task_flow AS (SELECT * FROM flow WHERE date BETWEEN '{Q.FIRST_DAY}' AND '{Q.LAST_DAY}')"
+STATUS_OF_TASK = STATUS_COLUMNS.format(healthy="unseen_count = 0", registry=DISTINCT, flow="task_flow")
 
 SPEEDS = """
 speeds AS (
@@ -127,7 +133,6 @@ def _range(source: str, tie: str) -> str:
 SELECT monitor_id,
        strftime(make_timestamp(start * 1000000), '%Y-%m-%d %H:%M') || '~' ||
        strftime(make_timestamp((start + 300) * 1000000), '%Y-%m-%d %H:%M') AS range_time,
-       CAST(0 AS BIGINT) AS part,
        string_agg(car || '=' || {_text('clock')}, '|' ORDER BY clock, {tie}) AS cars
 FROM (SELECT *, clock - clock % 300 AS start FROM {source})
 GROUP BY monitor_id, start"""
@@ -139,7 +144,7 @@ visits AS (
 )"""
 
 
-def _conversion() -> str:
+def _conversion(source: str = "flow") -> str:
     flow = Q.ROAD_FLOW
     leads = ", ".join(
         f"lead(monitor_id, {k}) OVER w AS l{k}" if k else "monitor_id AS l0" for k in range(len(flow))
@@ -157,7 +162,7 @@ def _conversion() -> str:
     return (
         _with(
             FLOW,
-            f" s AS (SELECT {leads} FROM flow WINDOW w AS (PARTITION BY car ORDER BY clock, pass_id))",
+            f" s AS (SELECT {leads} FROM {source} WINDOW w AS (PARTITION BY car ORDER BY clock, pass_id))",
             f" c AS (SELECT {', '.join(counts)} FROM s)",
         )
         + "\n"
@@ -186,16 +191,19 @@ minutes AS (
 
 
 def _features() -> str:
+    width = Q.WIDTH
     cols = ", ".join(
         f"coalesce(max(CASE WHEN m.minute = l.minute - {3 - i} AND r.pos = {p} "
-        f"THEN m.speed_sum::DOUBLE / m.n END), -1.0::DOUBLE) AS f{i * 5 + p}"
+        f"THEN m.speed_sum::DOUBLE / m.n END), -1.0::DOUBLE) AS f{i * width + p}"
         for i in range(3)
-        for p in range(5)
+        for p in range(width)
     )
-    relations = """
+    relations = f"""
 relations AS (
-  SELECT camera_id, pos, lpad(CAST((CAST(camera_id AS BIGINT) + pos) % 60 AS VARCHAR), 5, '0') AS related_id
-  FROM (SELECT DISTINCT camera_id FROM flow) CROSS JOIN (SELECT unnest(range(5)) AS pos)
+  SELECT camera_id, pos, lpad(CAST((c + pos - c % 6 + 60) % 60 AS VARCHAR), 5, '0') AS related_id
+  FROM (SELECT DISTINCT camera_id, CAST(camera_id AS BIGINT) AS c FROM flow)
+  CROSS JOIN (SELECT unnest(range({width})) AS pos)
+  WHERE pos < 3 + c % 5
 )"""
     return (
         _with(FLOW, MINUTES, relations)
@@ -220,6 +228,7 @@ def sql() -> dict[str, str]:
         "pass_count": "SELECT CAST(count(*) AS BIGINT) AS pass_count FROM events",
         "date_range_passes": flow + f"SELECT monitor_id, car, road_id, area_id, pass_id FROM flow WHERE {in_days}",
         "listed_car_passes": flow + f"SELECT {DETAIL} FROM flow WHERE car IN ({cars})",
+        "listed_cars_in_range": flow + f"SELECT {DETAIL} FROM flow WHERE car IN ({cars}) AND {in_days}",
         "vehicle_search": flow
         + f"""SELECT {DETAIL}, area_id FROM flow WHERE {in_days}
 AND speed BETWEEN {Q.SPEED_RANGE[0]} AND {Q.SPEED_RANGE[1]} AND monitor_id IN ({monitors}) AND area_id = '{Q.AREA_ID}'""",
@@ -275,12 +284,18 @@ SELECT CAST(count(*) FILTER (status = 'normal') AS BIGINT) AS normal_monitor_cou
   coalesce(string_agg(monitor_id || ':' || unseen_cameras, '~' ORDER BY monitor_id)
     FILTER (status <> 'normal' AND unseen_cameras <> ''), '') AS abnormal_monitor_camera_infos
 FROM status""",
-        "monitor_topn": flow
-        + f"""SELECT monitor_id, CAST(count(*) AS BIGINT) AS car_count FROM flow
+        "monitor_status_of_day": _with(FLOW, REGISTRY, ONE_DAY) + STATUS_OF_DAY,
+        "abnormal_cameras_of_day": _with(FLOW, REGISTRY, ONE_DAY)
+        + "\nSELECT DISTINCT monitor_id, camera_id FROM registry r ANTI JOIN day_flow f USING (monitor_id, camera_id)",
+        "monitor_topn": _with(FLOW, REGISTRY)
+        + f"""
+SELECT monitor_id, CAST(count(*) AS BIGINT) AS car_count FROM flow SEMI JOIN registry USING (monitor_id)
 GROUP BY 1 ORDER BY car_count DESC, monitor_id LIMIT {Q.TOP_NUM}""",
-        "monitor_topn_detail": flow
-        + f"""SELECT {DETAIL} FROM flow WHERE monitor_id IN (SELECT monitor_id FROM (
-  SELECT monitor_id, count(*) AS n FROM flow GROUP BY 1 ORDER BY n DESC, monitor_id LIMIT {Q.TOP_NUM}))""",
+        "monitor_topn_detail": _with(FLOW, REGISTRY)
+        + f"""
+SELECT {DETAIL} FROM flow WHERE monitor_id IN (SELECT monitor_id FROM (
+  SELECT monitor_id, count(*) AS n FROM flow SEMI JOIN registry USING (monitor_id)
+  GROUP BY 1 ORDER BY n DESC, monitor_id LIMIT {Q.TOP_NUM}))""",
         "speed_rank": _with(FLOW, SPEEDS) + "\nSELECT * FROM ranked",
         "speed_top10": _with(FLOW, SPEEDS)
         + f"""
@@ -291,18 +306,26 @@ SELECT {DETAIL}, CAST(rank AS INTEGER) AS rank FROM (
 WHERE rank <= 10""",
         "flow_conversion": _conversion(),
         "car_track": flow
-        + """SELECT car, CAST(0 AS BIGINT) AS part,
-  string_agg(monitor_id || '=' || action_time, '|' ORDER BY clock, pass_id) AS track FROM flow GROUP BY car""",
+        + """SELECT car, date,
+  string_agg(monitor_id || '=' || action_time, '|' ORDER BY clock, pass_id) AS track FROM flow GROUP BY car, date""",
+        "track_points": flow + "SELECT car, monitor_id, action_time, pass_id FROM flow",
+        "last_visits": flow + "SELECT car, monitor_id, max(action_time) AS action_time FROM flow GROUP BY 1, 2",
         "track_last_visits": flow
         + "SELECT car, monitor_id, max(action_time) AS action_time FROM flow GROUP BY 1, 2",
         "range_cars_last": _with(FLOW, LAST_VISITS) + _range("visits", "car"),
         "range_cars_all": flow + _range("flow", "pass_id"),
-        "companions_of_watched": _with(FLOW, WATCHED)
-        + """
-SELECT a.car, b.car AS companion, a.monitor_id, a.action_time, b.action_time AS companion_time,
+        "companions_of_watched": flow
+        + f"""SELECT a.car, b.car AS companion, CAST(count(*) AS BIGINT) AS meetings,
+  CAST(count(DISTINCT a.monitor_id) AS BIGINT) AS monitors, min(a.action_time) AS first_time, max(a.action_time) AS last_time
+FROM flow a
+JOIN flow b ON a.monitor_id = b.monitor_id AND b.clock BETWEEN a.clock - 300 AND a.clock + 300 AND a.car <> b.car
+WHERE a.car IN ({cars}) GROUP BY a.car, b.car""",
+        "companion_passes": flow
+        + f"""SELECT a.car, b.car AS companion, a.monitor_id, a.action_time, b.action_time AS companion_time,
   a.pass_id, b.pass_id AS companion_pass_id
-FROM flow a SEMI JOIN watched w USING (car)
-JOIN flow b ON a.monitor_id = b.monitor_id AND b.clock BETWEEN a.clock - 300 AND a.clock + 300 AND a.car <> b.car""",
+FROM flow a
+JOIN flow b ON a.monitor_id = b.monitor_id AND b.clock BETWEEN a.clock - 300 AND a.clock + 300 AND a.car <> b.car
+WHERE a.car IN ({cars})""",
         "companion_encounters": flow
         + """SELECT a.car, CAST(count(b.pass_id) AS BIGINT) AS encounters
 FROM flow a LEFT JOIN flow b
@@ -312,6 +335,7 @@ GROUP BY a.car""",
         + "SELECT date, hour, CAST(hour_cars AS BIGINT) AS hour_cars, day_cars FROM quotas",
         "hour_quotas": sample
         + "SELECT date, hour, CAST(hour_cars AS BIGINT) AS hour_cars, day_cars, CAST(quota AS BIGINT) AS quota FROM quotas",
+        "untimed_passes": "SELECT CAST(count(*) FILTER (ts IS NULL) AS BIGINT) AS untimed FROM events",
         "hour_sample": sample + "SELECT car, date, date || '_' || hour AS date_hour FROM sample",
         "hour_sample_detail": sample
         + f"SELECT {DETAIL} FROM flow WHERE car IN (SELECT car FROM sample)",
@@ -319,9 +343,8 @@ GROUP BY a.car""",
         + """SELECT f.date, f.monitor_id, f.camera_id, f.car, f.action_time, f.speed, f.road_id, f.pass_id
 FROM flow f JOIN sample s ON s.car = f.car""",
         "hour_sample_track": sample
-        + """SELECT car, CAST(0 AS BIGINT) AS part, max(date) AS date,
-  string_agg(monitor_id, ',' ORDER BY clock, pass_id) AS track
-FROM flow WHERE car IN (SELECT car FROM sample) GROUP BY car""",
+        + """SELECT car, date, string_agg(monitor_id, ',' ORDER BY clock, pass_id) AS track
+FROM flow WHERE car IN (SELECT car FROM sample) GROUP BY car, date""",
         "stream_congestion": _with(FLOW, _windows("monitor_id", 6))
         + f"""
 SELECT {_text('start')} AS window_start, {_text('stop')} AS window_end, monitor_id, n AS car_count,
@@ -344,4 +367,44 @@ SELECT camera_id, day, hhmm,
   CASE WHEN substr(md5('1000|' || camera_id || '|' || day || '|' || hhmm), 1, 8) < '99999999'
        THEN 'train' ELSE 'test' END AS side
 FROM minutes""",
+        "speed_class_model": _with(FLOW, MINUTES)
+        + """
+SELECT CAST(least(floor(floor(speed_sum::DOUBLE / n) / 10), 10) AS DOUBLE) AS label,
+  CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS predicted, true AS gate_sound
+FROM minutes WHERE substr(md5('1000|' || camera_id || '|' || day || '|' || hhmm), 1, 8) >= '99999999' GROUP BY 1""",
+        "speed_class_predictions": flow
+        + f"""SELECT DISTINCT camera_id, '{Q.PREDICT_AT[0]}' AS day, '{Q.PREDICT_AT[1]}' AS hhmm, true AS valid FROM flow""",
+        "pass_log_round_trip": flow
+        + """SELECT date, monitor_id, camera_id, CASE WHEN pass_id % 3 = 0 THEN '"' || car ELSE car END AS car,
+  action_time, speed, CASE WHEN pass_id % 5 = 0 THEN '' ELSE road_id END AS road_id, area_id FROM flow""",
+        "registry_round_trip": _with(FLOW, REGISTRY) + "\nSELECT * FROM registry",
+        "catalog_round_trip": flow + f"SELECT {DETAIL}, area_id FROM flow",
+        "pass_store_round_trip": flow + f"SELECT {DETAIL}, area_id FROM flow",
+        "minute_store_round_trip": _with(FLOW, MINUTES) + "\nSELECT day, camera_id, hhmm, speed_sum, n FROM minutes",
+        "task_parameters": f"""SELECT n_nationkey AS task_id, '{Q.FIRST_DAY}' AS start_date, '{Q.LAST_DAY}' AS end_date,
+  CAST(n_nationkey AS INTEGER) AS top_num, CAST({Q.EXTRACT_NUM} AS INTEGER) AS extract_num,
+  '{",".join(Q.ROAD_FLOW)}' AS road_flow FROM nation WHERE n_nationkey = {Q.TASK_ID}""",
+        "job_monitor_flow": _with(FLOW, REGISTRY, TASK_FLOW, f" status AS ({STATUS_OF_TASK})")
+        + f"""
+SELECT CAST({Q.TASK_ID} AS BIGINT) AS task_id, monitor_id, CAST(count(*) AS BIGINT) AS car_count,
+  (SELECT CAST(count(*) FILTER (status = 'normal') AS BIGINT) FROM status) AS normal_monitor_count,
+  (SELECT CAST(count(*) FILTER (status <> 'normal') AS BIGINT) FROM status) AS abnormal_monitor_count
+FROM task_flow SEMI JOIN registry USING (monitor_id)
+GROUP BY monitor_id ORDER BY car_count DESC, monitor_id LIMIT {Q.TASK_ID}""",
+        "job_random_extract": _with(FLOW.replace("flow AS (", "all_flow AS ("),
+            f" flow AS (SELECT * FROM all_flow WHERE {in_days})", SAMPLE)
+        + "\nSELECT car, date, date || '_' || hour AS date_hour FROM sample",
+        "job_with_the_car": flow
+        + f"""SELECT car, date, string_agg(monitor_id || '=' || action_time, '|' ORDER BY clock, pass_id) AS track
+FROM flow WHERE {in_days} GROUP BY car, date""",
+        "job_area_top3": _with(FLOW, AREAS, TASK_FLOW)
+        + """
+SELECT area_id, road_id, car_count,
+  CASE WHEN car_count > 170 THEN 'A LEVEL' WHEN car_count > 160 THEN 'B LEVEL'
+       WHEN car_count > 150 THEN 'C LEVEL' ELSE 'D LEVEL' END AS flow_level
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY car_count DESC, road_id) AS rn
+  FROM (SELECT area_id, road_id, CAST(count(*) AS BIGINT) AS car_count FROM task_flow JOIN areas USING (area_id) GROUP BY 1, 2))
+WHERE rn <= 3""",
+        "job_flow_conversion": _conversion(f"flow WHERE {in_days}"),
     }

@@ -38,7 +38,12 @@ PASSES = T.StructType(
         T.StructField("pass_id", T.LongType()),
     ]
 )
-MINUTE_SPEED = "camera_id string, hhmm string, speed_sum bigint, n bigint, day string"
+# The minute store, partitioned by day. ``window_end`` and ``batch_id`` say which write a row
+# came from, so a later one wins and a repeated one changes nothing.
+MINUTE_SPEED = (
+    "camera_id string, hhmm string, speed_sum bigint, n bigint, window_end string, batch_id bigint, day string"
+)
+MINUTE_KEYS = ("day", "camera_id", "hhmm")
 DETAIL = ("date", "monitor_id", "camera_id", "car", "action_time", "speed", "road_id")
 
 # Output tables, each led by the task that produced the rows.
@@ -53,11 +58,12 @@ OUTPUTS = {
         "abnormal_camera_count",
         "abnormal_monitor_camera_infos",
     ),
+    "abnormal_camera": ("task_id", "monitor_id", "camera_id"),
     "top10_speed_detail": ("task_id", *DETAIL),
     "random_extract_car": ("task_id", "car", "date", "date_hour"),
     "random_extract_car_detail_info": ("task_id", *DETAIL),
-    "car_track": ("task_id", "date", "car", "part", "track"),
-    "monitor_range_time_car": ("task_id", "monitor_id", "range_time", "part", "cars"),
+    "car_track": ("task_id", "date", "car", "track"),
+    "monitor_range_time_car": ("task_id", "monitor_id", "range_time", "cars"),
     "area_top3_road_flow": (
         "task_id",
         "area_id",

@@ -7,10 +7,13 @@ doubles rows, and no read-modify-write on the table is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadpass import schemas
 from roadpass.schemas import OUTPUTS
+from roadpass.session import stored
 
 
 def shaped(df: DataFrame, table: str, task_id: int) -> DataFrame:
@@ -23,12 +26,28 @@ def write_result(df: DataFrame, base: str, table: str, task_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{table}/task_id={task_id}")
 
 
-def write_passes(passes: DataFrame, path: str) -> None:
-    """Store typed passes by ``date``, replacing the dates present in the frame.
+def _stored_at(spark: SparkSession, path: str, schema, column: str, values: DataFrame) -> DataFrame:
+    """Rows of a partitioned table whose ``column`` is among ``values``; none without a table."""
+    try:
+        table = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return table.join(values.select(column).distinct(), column, "left_semi").select(*table.columns)
 
-    Date ranges then prune folders. The rebalance lets adaptive execution split the
-    files of a crowded date and merge those of a quiet one.
+
+def write_passes(passes: DataFrame, path: str, replace: bool = False) -> None:
+    """Store typed passes by ``date``.
+
+    Dates that are stored already are refused, since a part of a date would erase the
+    rest; ``replace`` says that the frame holds its dates whole, ``add_passes`` is for late
+    ones. Date ranges prune folders. The rebalance lets adaptive execution split the files
+    of a crowded date and merge those of a quiet one.
     """
+    spark = passes.sparkSession
+    if not replace:
+        old = _stored_at(spark, path, schemas.PASSES, "date", passes).select("date").first()
+        if old is not None:
+            raise ValueError(f"passes of {old.date} are stored already; use replace=True or add_passes")
     (
         passes.hint("rebalance", "date")
         .write.mode("overwrite")
@@ -38,6 +57,16 @@ def write_passes(passes: DataFrame, path: str) -> None:
     )
 
 
+def add_passes(passes: DataFrame, path: str) -> None:
+    """Add late passes to their dates. A pass (date and pass_id) that is stored stays as it
+    is, so a repeated call adds nothing."""
+    old = _stored_at(passes.sparkSession, path, schemas.PASSES, "date", passes)
+    new = passes.select(*schemas.PASSES.names).join(old.select("date", "pass_id"), ["date", "pass_id"], "left_anti")
+    # Written elsewhere first: a table cannot be read and overwritten by one query.
+    whole = stored(old.select(*schemas.PASSES.names).unionByName(new.select(*schemas.PASSES.names)), "passes")
+    write_passes(whole, path, replace=True)
+
+
 def jdbc_write_options(
     url: str,
     table: str,
@@ -62,11 +91,27 @@ def append_jdbc(df: DataFrame, table: str, task_id: int, url: str, **options) ->
     writer.options(**jdbc_write_options(url, table, **options)).save()
 
 
-def write_minute_speed(minutes: DataFrame, path: str) -> None:
-    """Replace the stored days that ``minutes`` covers."""
+def upsert_minute_speed(minutes: DataFrame, path: str) -> None:
+    """Merge minutes into the store by (day, camera_id, hhmm).
+
+    Of a stored and a new row the one with the later ``window_end`` stays, then the later
+    ``batch_id``; frames without these columns win over what is stored. Other minutes of
+    the day stay, and repeating a merge changes nothing.
+    """
+    for column, kind in (("window_end", "string"), ("batch_id", "bigint")):
+        if column not in minutes.columns:
+            # Sorts after every time text and batch number.
+            last = F.lit("~") if kind == "string" else F.lit(2**62)
+            minutes = minutes.withColumn(column, last.cast(kind))
+    names = ["camera_id", "hhmm", "speed_sum", "n", "window_end", "batch_id", "day"]
+    new = minutes.select(*names)
+    old = _stored_at(minutes.sparkSession, path, schemas.MINUTE_SPEED, "day", new).select(*names)
+    values = F.struct(*names[2:6])
+    both = old.withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1)))
+    kept = both.groupBy(*schemas.MINUTE_KEYS).agg(F.max_by(values, F.struct("window_end", "batch_id", "new")).alias("v"))
+    merged = stored(kept.select(*schemas.MINUTE_KEYS, "v.*").select(*names), "minutes")
     (
-        minutes.select("camera_id", "hhmm", "speed_sum", "n", "day")
-        .hint("rebalance", "day")
+        merged.hint("rebalance", "day")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

@@ -22,6 +22,8 @@ SCHEMAS = {
 }
 # Number of distinct camera ids ``to_passes`` can produce.
 CAMERAS = 60
+# Longest list of ``camera_relations``.
+RELATED = 7
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,18 +71,39 @@ def passes(
     return to_passes(events)
 
 
-def pass_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same passes as a stream of tab-separated log lines."""
-    events = (
-        spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+LINE_FIELDS = ("date", "monitor_id", "camera_id", "car", "action_time", "speed", "road_id", "area_id")
+
+
+def log_lines(rows: DataFrame) -> DataFrame:
+    """Passes as tab-separated log lines."""
+    return rows.select(F.concat_ws("\t", *LINE_FIELDS).alias("value"))
+
+
+def pass_lines(spark: SparkSession, sf_dir: str, base: str, days: tuple[str, ...]) -> DataFrame:
+    """The same passes as a stream of log lines that arrives in several files.
+
+    The passes are written to the folder ``base``, one batch of files for each period
+    between ``days``; the stream reads a few files at a time, oldest first.
+    """
+    rows = passes(spark, sf_dir)
+    starts, ends = (None, *days), (*days, None)
+    for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
+        part = rows if start is None else rows.where(F.col("date") >= start)
+        part = part if end is None else part.where(F.col("date") < end)
+        log_lines(part).coalesce(1).write.text(f"{base}/part={k}")
+    return (
+        spark.readStream.schema("value string")
+        .option("maxFilesPerTrigger", 1)
+        .text(f"{base}/part=*")
+        .select("value")
     )
-    fields = ["date", "monitor_id", "camera_id", "car", "action_time", "speed", "road_id", "area_id"]
-    return to_passes(events).select(F.concat_ws("\t", *fields).alias("value"))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every observed camera, five more at each of monitors 0000-0004 and an unused monitor 0009."""
+    """Registered cameras. Observed ones of monitor 0008 and with an id divisible by 7 are
+    left out; five more at each of monitors 0000-0004 and an unused monitor 0009 are added."""
     seen = passes(spark, sf_dir).select("monitor_id", "camera_id").distinct()
+    seen = seen.where((F.col("monitor_id") != "0008") & (F.col("camera_id").cast("int") % 7 != 0))
     extra = read(spark, sf_dir, "nation").select(
         zero_pad(F.col("n_regionkey"), 4).alias("monitor_id"),
         zero_pad(F.col("n_nationkey") + 60, 5).alias("camera_id"),
@@ -92,8 +115,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(
-        zero_pad(F.col("n_nationkey"), 2).alias("area_id"), F.col("n_name").alias("area_name")
+    """Named areas; passes of area 05 have none."""
+    return (
+        read(spark, sf_dir, "nation")
+        .where("n_nationkey <> 5")
+        .select(zero_pad(F.col("n_nationkey"), 2).alias("area_id"), F.col("n_name").alias("area_name"))
     )
 
 
@@ -102,12 +128,11 @@ def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(plate(F.col("s_suppkey")).alias("car"))
 
 
-def camera_relations(spark: SparkSession, sf_dir: str, width: int = 5) -> DataFrame:
-    """Each camera with itself and the next cameras in id order (ids wrap around)."""
-    cameras = passes(spark, sf_dir).select("camera_id").distinct()
-    pos = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("pos")
-    return cameras.select("camera_id", pos).select(
-        "camera_id",
-        "pos",
-        _padded((F.col("camera_id").cast("bigint") + F.col("pos")) % CAMERAS, 5).alias("related_id"),
-    )
+def camera_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of three to seven related cameras (ids wrap around). A camera stands in its own
+    list at a position from 0 to 5, or not at all."""
+    cameras = passes(spark, sf_dir).select("camera_id", F.col("camera_id").cast("bigint").alias("c")).distinct()
+    last = F.pmod("c", F.lit(5)).cast("int") + 2
+    placed = cameras.select("camera_id", "c", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    related = F.pmod(F.col("c") + F.col("pos") - F.pmod("c", F.lit(6)), F.lit(CAMERAS))
+    return placed.select("camera_id", "pos", _padded(related, 5).alias("related_id"))

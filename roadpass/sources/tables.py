@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpass import schemas
 from roadpass.functions import timekeys as K
-from roadpass.functions.text import to_int
+from roadpass.functions.text import tab_fields, to_int
 
 
 def typed_passes(raw: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def typed_passes(raw: DataFrame) -> DataFrame:
 
 
 def read_pass_log(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated pass log."""
-    return typed_passes(spark.read.schema(schemas.PASS_LOG).option("sep", "\t").csv(path))
+    """Tab-separated pass log; quote marks are ordinary characters."""
+    return typed_passes(tab_fields(spark.read.text(path), schemas.PASS_LOG.names))
 
 
 def read_passes(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +44,7 @@ def read_passes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated camera registry."""
-    return spark.read.schema(schemas.REGISTRY).option("sep", "\t").csv(path)
+    return tab_fields(spark.read.text(path), schemas.REGISTRY.names)
 
 
 def read_catalog_passes(spark: SparkSession, table: str = "monitor_flow_action") -> DataFrame:
@@ -99,7 +99,7 @@ def read_minute_speed(
     spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None
 ) -> DataFrame:
     """Stored minute speeds (partitioned by day), pruned to the given days."""
-    store = spark.read.schema(schemas.MINUTE_SPEED).parquet(path)
+    store = spark.read.schema(schemas.MINUTE_SPEED).parquet(path).select(*schemas.MINUTE_KEYS, "speed_sum", "n")
     if first_day is not None:
         store = store.where(F.col("day") >= first_day)
     if last_day is not None:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from roadpass.functions import timekeys as K
-from roadpass.sinks.tables import write_minute_speed
-from roadpass.streaming.run import latest
+from roadpass.schemas import MINUTE_KEYS
+from roadpass.sinks.tables import upsert_minute_speed
+from roadpass.streaming.run import latest, start
 
-KEYS = ("day", "camera_id", "hhmm")
+KEYS = MINUTE_KEYS
 
 
 def minute_store(batches: DataFrame) -> DataFrame:
@@ -19,9 +21,17 @@ def minute_store(batches: DataFrame) -> DataFrame:
     return rows.where(F.col("n") > 0).select(*KEYS, "speed_sum", "n")
 
 
-def publish(batches: DataFrame, path: str) -> None:
-    """Rewrite the store's days covered by the written batches."""
-    write_minute_speed(minute_store(batches), path)
+def start_minute_store(
+    windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Merge the camera windows of every micro-batch into the store. A batch that is
+    replayed after a failure changes nothing."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.where(F.col("n") > 0).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        upsert_minute_speed(numbered, path)
+
+    return start(windows, merge, checkpoint, "update", trigger or {"availableNow": True})
 
 
 def minute_speed(passes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _write_batch(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _start(
+def start(
     stream: DataFrame, write: Callable, checkpoint: str, mode: str, trigger: dict
 ) -> StreamingQuery:
     return (
@@ -39,7 +39,7 @@ def start_updates(
     stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Write every changed row of an aggregation; read it back with ``latest``."""
-    return _start(stream, _write_batch(out), checkpoint, "update", trigger or {"availableNow": True})
+    return start(stream, _write_batch(out), checkpoint, "update", trigger or {"availableNow": True})
 
 
 def start_watch_list(
@@ -54,7 +54,7 @@ def start_watch_list(
         listed = read_watch_list(batch.sparkSession, watch_path)
         write(batch.join(listed, "car", "left_semi"), batch_id)
 
-    return _start(passes, matched, checkpoint, "append", trigger or {"availableNow": True})
+    return start(passes, matched, checkpoint, "append", trigger or {"availableNow": True})
 
 
 def start_console(stream: DataFrame, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -68,6 +68,20 @@ def start_console(stream: DataFrame, checkpoint: str, mode: str = "append") -> S
     )
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed their window and were not counted."""
+    return sum(
+        int(state.numRowsDroppedByWatermark) for p in query.recentProgress for state in p.stateOperators
+    )
+
+
+def finish(query: StreamingQuery) -> None:
+    """Wait for the end of a run over available data; late rows that were dropped are an error."""
+    query.awaitTermination()
+    if dropped := dropped_rows(query):
+        raise RuntimeError(f"{dropped} late rows were dropped; use a longer watermark or rebuild from the passes")
+
+
 def read_batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
     """All rows a stream has written so far, with their ``batch_id``."""
     return spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(out)

@@ -113,12 +113,13 @@ def test_last_pairs(spark):
 def test_predicates(spark):
     field = F.col("v")
     rows = [("5",), ("50",), (None,), ("x",)]
-    assert values(spark, rows, "v string", P.in_range(field, 1, 10)) == [True, False, False, False]
+    assert values(spark, rows, "v string", P.in_range(field, 1, 10, text=True)) == [True, False, None, None]
     assert values(spark, rows, "v string", P.in_range(field, None, 10)) == [True] * 4
     lists = [("a,b",), ("c",), (None,)]
-    assert values(spark, lists, "v string", P.overlaps(field, "b,d")) == [True, False, False]
+    assert values(spark, lists, "v string", P.overlaps(field, "b,d")) == [True, False, None]
+    assert values(spark, lists, "v string", P.one_of(field, "c,d")) == [False, True, None]
     assert values(spark, lists, "v string", P.overlaps(field, None)) == [True] * 3
-    assert values(spark, lists, "v string", P.equals(field, "c")) == [False, True, False]
+    assert values(spark, lists, "v string", P.equals(field, "c")) == [False, True, None]
     assert values(spark, lists, "v string", P.equals(field, None)) == [True] * 3
 
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from roadpass import schemas
 from roadpass.operators import filters
@@ -9,6 +12,7 @@ from roadpass.plans import jobs
 from roadpass.session import scratch_dir
 from roadpass.sinks import tables as sinks
 from roadpass.sources import tables
+from roadpass.streaming import parse
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +61,9 @@ def test_date_filter_and_pushdown(spark, passes, tmp_path):
     assert filters.date_range(passes, None, None).count() == 120
     path = str(tmp_path / "passes")
     sinks.write_passes(passes, path)
-    sinks.write_passes(passes.where("date = '2024-01-02'"), path)
+    with pytest.raises(ValueError, match="stored already"):
+        sinks.write_passes(passes.where("date = '2024-01-02'"), path)
+    sinks.write_passes(passes.where("date = '2024-01-02'"), path, replace=True)
     assert tables.read_passes(spark, path).count() == 120
     stored = filters.date_range(tables.read_passes(spark, path), "2024-01-02", "2024-01-02").select("car")
     plan = stored._jdf.queryExecution().executedPlan().toString()
@@ -65,6 +71,43 @@ def test_date_filter_and_pushdown(spark, passes, tmp_path):
     assert "ReadSchema: struct<car:string>" in plan
 
 
+def test_late_passes_are_added_once(spark, passes, tmp_path):
+    path = str(tmp_path / "late")
+    sinks.write_passes(passes.where("speed > 40"), path)
+    for _ in range(2):
+        sinks.add_passes(passes.where("speed <= 80"), path)
+    got = tables.read_passes(spark, path)
+    assert got.count() == 120 and got.select("pass_id").distinct().count() == 120
+
+
+def test_quote_marks_and_empty_fields(spark, tmp_path):
+    line = '2024-01-01\t0001\t00001\t"A1\t2024-01-01 08:00:00\t50\t\t00'
+    (tmp_path / "log.txt").write_text(line + "\n" + line.replace('"', "'") + "\nshort\n")
+    batch = tables.read_pass_log(spark, str(tmp_path)).orderBy("car").collect()
+    assert [(r.car, r.speed, r.road_id, r.area_id) for r in batch] == [
+        (None, None, None, None), ('"A1', 50, "", "00"), ("'A1", 50, "", "00")
+    ]
+    stream = parse.parse_passes(spark.read.text(str(tmp_path))).orderBy("car").collect()
+    assert stream == batch
+
+
+def test_missing_parameters_are_named(passes):
+    with pytest.raises(ValueError, match="top_num"):
+        jobs.monitor_flow(passes, passes, JobParams(1))
+    with pytest.raises(ValueError, match="extract_num"):
+        jobs.random_extract(passes, JobParams(1))
+    with pytest.raises(ValueError, match="road_flow"):
+        jobs.flow_conversion(passes, JobParams(1))
+
+
+def test_job_removes_its_scratch_folders(spark, passes, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    jobs.run_job(spark, lambda: jobs.random_extract(passes, JobParams(5, extract_num=10)), str(tmp_path), 5)
+    assert set(os.listdir(shared)) == before
+    assert spark.read.parquet(f"{tmp_path}/random_extract_car").count() > 0
+
+
 def test_long_car_list_becomes_a_join(passes):
     cars = ["car1", "car2"] + [f"other{i}" for i in range(filters.IN_LIST_LIMIT)]
     assert filters.for_cars(passes, cars).count() == filters.for_cars(passes, ["car1", "car2"]).count() == 42
@@ -120,7 +163,7 @@ def test_all_jobs_write_their_tables(spark, passes, registry_path):
         jobs.flow_conversion(passes, params),
     ):
         jobs.write_all(results, base, params.task_id)
-    jobs.write_all(jobs.with_the_car(passes, params, run_date="2024-02-01"), base, 2)
+    jobs.write_all(jobs.with_the_car(passes, params), base, 2)
 
     def read(table):
         return spark.read.parquet(f"{base}/{table}")
@@ -135,7 +178,7 @@ def test_all_jobs_write_their_tables(spark, passes, registry_path):
     assert sampled and {r.car for r in read("random_extract_car_detail_info").collect()} == sampled
     assert {r.car for r in read("car_track").where("task_id = 1").collect()} == sampled
     own = read("car_track").where("task_id = 2").collect()
-    assert [(r.car, r.date) for r in own] == [("car1", "2024-02-01")]
+    assert sorted((r.car, str(r.date)) for r in own) == [("car1", "2024-01-01"), ("car1", "2024-01-02")]
     assert read("monitor_range_time_car").where("cars not like 'car1=%'").count() == 0
     assert read("area_top3_road_flow").count() == 2
     assert read("flow_conversion").count() == 2
@@ -161,11 +204,15 @@ def test_minute_store_and_predictions_replace_partitions(spark):
         [("20240101", "k", "0800", 10, 2), ("20240102", "k", "0800", 10, 2)],
         "day string, camera_id string, hhmm string, speed_sum long, n long",
     )
-    sinks.write_minute_speed(minutes, f"{base}/minutes")
-    sinks.write_minute_speed(minutes.where("day = '20240102'").withColumn("n", minutes["n"] + 1), f"{base}/minutes")
-    got = {r.day: r.n for r in tables.read_minute_speed(spark, f"{base}/minutes", "20240101", "20240102").collect()}
+    sinks.upsert_minute_speed(minutes, f"{base}/minutes")
+    sinks.upsert_minute_speed(minutes.where("day = '20240102'").withColumn("n", minutes["n"] + 1), f"{base}/minutes")
+    other = minutes.where("day = '20240102'").withColumn("hhmm", F.lit("0801"))
+    sinks.upsert_minute_speed(other, f"{base}/minutes")
+    assert tables.read_minute_speed(spark, f"{base}/minutes").count() == 3
+    stored = tables.read_minute_speed(spark, f"{base}/minutes", "20240101", "20240102")
+    got = {r.day: r.n for r in stored.where("hhmm = '0800'").collect()}
     assert got == {"20240101": 2, "20240102": 3}
-    assert tables.read_minute_speed(spark, f"{base}/minutes", first_day="20240102").count() == 1
+    assert tables.read_minute_speed(spark, f"{base}/minutes", first_day="20240102").count() == 2
     scores = spark.createDataFrame(
         [("k", "20240101", "0800", 4.0)], "camera_id string, day string, hhmm string, prediction double"
     )

@@ -68,6 +68,29 @@ def test_rows_at_covers_every_camera(store, relations):
     assert {tuple(r.features) for r in empty} == {(-1.0,) * 6}
 
 
+def test_lists_of_any_length_and_own_camera_anywhere(spark, store):
+    listed = [("a", k, "b") for k in range(6)] + [("a", 6, "a"), ("b", 0, "q"), ("q", 0, "a"), ("q", 1, "b")]
+    relations = spark.createDataFrame(listed, "camera_id string, pos int, related_id string")
+    assert features.relation_width(relations) == 7
+    rows = features.training_rows(store, relations, width=7).collect()
+    known = {(r.camera_id, r.hhmm): r.speed_sum / r.n for r in store.collect()}
+    # Every own reading gives a row, whether or not the camera stands in its list.
+    assert {(r.camera_id, r.hhmm) for r in rows} == {(c, m) for c, m in known if c in "abq"}
+    for r in rows:
+        minute = int(r.hhmm[:2]) * 60 + int(r.hhmm[2:])
+        want = []
+        for lag in (3, 2, 1):
+            lists = {p: related for c, p, related in listed if c == r.camera_id}
+            want += [known.get((lists.get(p), hhmm(minute - lag)), -1.0) for p in range(7)]
+        assert list(r.features) == want and r.label_speed == known[(r.camera_id, r.hhmm)]
+
+
+def test_position_beyond_the_width_is_an_error(spark, store):
+    relations = spark.createDataFrame([("a", 5, "b")], "camera_id string, pos int, related_id string")
+    with pytest.raises(Exception, match="beyond width 5"):
+        features.training_rows(store, relations, width=5).collect()
+
+
 def test_split_is_complete_and_stable(store, relations):
     rows = features.training_rows(store, relations, width=2)
     train, test = features.split(rows)
@@ -92,8 +115,11 @@ def test_accepted_model_is_stored_and_used(spark, steady):
     trained = model.train(steady, max_iter=20, size=6)
     assert trained.accepted and trained.precision == 1.0
     base = scratch_dir(spark, "models")
-    assert model.save(spark, trained, base, "20240115T1000")
-    assert model.save(spark, trained, base, "20240115T1100")
+    assert model.save(spark, trained, base, "v9")
+    untrained = model.Trained(model.fit(steady.withColumn("label", F.lit(0.0)), 6, max_iter=1), 1.0, True)
+    assert model.save(spark, untrained, base, "v11")
+    # The newest by time, not by name.
+    assert model.save(spark, trained, base, "v10")
     again = model.load(spark, base)
     scored = model.predict(again, steady.drop("label"))
     assert scored.where(F.col("prediction") != F.floor(F.col("label_speed") / 10)).count() == 0

@@ -52,7 +52,7 @@ def test_status_by_count_uses_counts_only(network):
 def test_network_state(network):
     passes, registry = network
     status = monitors.monitor_status(registry, passes)
-    row = monitors.network_state(status).first()
+    row = monitors.network_state(status, infos=True).first()
     assert row.asDict() == {
         "normal_monitor_count": 1,
         "normal_camera_count": 3,
@@ -61,6 +61,7 @@ def test_network_state(network):
         "abnormal_monitor_camera_infos": "B:4~C:5,6",
     }
     assert monitors.network_state(status, skip_missing=True).first().abnormal_monitor_count == 1
+    assert "abnormal_monitor_camera_infos" not in monitors.network_state(status).columns
     total = row.normal_monitor_count + row.abnormal_monitor_count
     assert total == registry.select("monitor_id").distinct().count()
 

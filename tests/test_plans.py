@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadpass import session
-from roadpass.operators import monitors, skew, speed
+from roadpass.operators import filters, monitors, skew, speed
 from roadpass.queries import REGISTERED
-from roadpass.sources import events
+from roadpass.sinks import tables as sinks
+from roadpass.sources import events, tables
 
 SF_DIR = "/root/testdata/sf0.001"
-EAGER = {name for name in REGISTERED if name.startswith(("stream_", "speed_class_"))}
+EAGER = {name for name in REGISTERED if name.startswith(("stream_", "speed_class_", "job_", "task_")) or name.endswith("_trip")}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="benchmark tables not present")
 
@@ -29,6 +30,25 @@ def test_no_pairwise_join_and_no_python(spark, name):
         assert operator not in text
 
 
+def test_search_conditions_reach_the_scan(spark, tmp_path):
+    sinks.write_passes(events.passes(spark, SF_DIR), str(tmp_path))
+    found = filters.search(
+        tables.read_passes(spark, str(tmp_path)),
+        ranges={"speed": (60, 120)},
+        any_of={"monitor_id": "0001,0003", "car": None},
+        equal={"area_id": "03"},
+    )
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    pushed = plan(found).split("PushedFilters")[1].split("ReadSchema")[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(speed,60)" in pushed and "LessThanOrEqual(speed,120)" in pushed
+    assert "In(monitor_id, [0001,0003])" in pushed and "EqualTo(area_id,03)" in pushed
+
+
+def test_conversion_reads_the_passes_twice_at_most(spark):
+    assert plan(REGISTERED["flow_conversion"](spark, SF_DIR)).count("FileScan") <= 2
+
+
 def test_date_range_reaches_the_scan(spark):
     text = plan(events.passes(spark, SF_DIR, "2024-01-05", "2024-01-06").select("car"))
     assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in text and "LessThan(ts,2024-01-07T00:00)" in text

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from roadpass import schemas
 from roadpass.session import ROCKSDB_PROVIDER, scratch_dir
+from roadpass.sinks import tables as sinks
+from roadpass.sources import tables
 from roadpass.sources.streams import StreamSpec, kafka_options, read_lines
 from roadpass.streaming import minute_store, parse, run, windows
 
@@ -111,10 +115,45 @@ def test_minute_store_keeps_last_window_of_each_minute(spark, feed, tmp_path):
         last[(end[:10].replace("-", ""), camera, end[11:13] + end[14:16])] = value
     got = {(r.day, r.camera_id, r.hhmm): (r.speed_sum, r.n) for r in minute_store.minute_store(batches).collect()}
     assert got == last
+
+
+def test_minute_store_is_merged_batch_by_batch(spark, feed, tmp_path):
+    folder, add = feed
+    everything = lines_of(90, seed=3)
+    for k in range(3):
+        add(everything[k::3])
+    stream = windows.camera_windows(readings(spark, folder, 2), watermark="20 minutes")
     path = str(tmp_path / "store")
-    minute_store.publish(batches, path)
-    minute_store.publish(batches, path)
-    assert spark.read.parquet(path).count() == len(last)
+    query = minute_store.start_minute_store(stream, path, str(tmp_path / "checkpoint"))
+    run.finish(query)
+    last = {}
+    for (start, camera), value in sorted(expected(everything, 2, 20).items()):
+        end = stamp(start + 20)
+        last[(end[:10].replace("-", ""), camera, end[11:13] + end[14:16])] = value
+
+    def stored():
+        rows = tables.read_minute_speed(spark, path).collect()
+        assert len(rows) == len(last)
+        return {(r.day, r.camera_id, r.hhmm): (r.speed_sum, r.n) for r in rows}
+
+    assert stored() == last
+    # A replayed batch of stale windows changes nothing.
+    stale = spark.read.schema(schemas.MINUTE_SPEED).parquet(path).withColumn("n", F.lit(99)).withColumn("window_end", F.lit("2000"))
+    sinks.upsert_minute_speed(stale, path)
+    assert stored() == last
+
+
+def test_dropped_rows_are_reported(spark, feed, tmp_path):
+    folder, add = feed
+    add([line("c", "m", "k", 5000, 50)])
+    add([line("c", "m", "k", 6000, 50)])
+    add([line("c", "m", "k", 1, 50)])
+    for k, name in enumerate(sorted(os.listdir(folder))):
+        os.utime(f"{folder}/{name}", (1_700_000_000 + 60 * k,) * 2)
+    lines = read_lines(spark, StreamSpec("text", path=folder, options={"maxFilesPerTrigger": "1"}))
+    stream = windows.camera_windows(parse.parse_readings(lines, key_at=2, speed_at=5, time_at=4))
+    with pytest.raises(RuntimeError, match="late rows"):
+        run.finish(run.start_updates(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
 
 
 def test_malformed_lines_give_no_reading(spark):

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from roadpass.functions import text
 from roadpass.operators import companions, funnel, sampling, tracks
 
 START = datetime(2024, 1, 1, 8)
@@ -48,70 +49,70 @@ def naive_counts(track: list[str], flow: list[str]) -> list[int]:
 @given(
     track=st.lists(st.sampled_from(["1", "2"]), min_size=1, max_size=40),
     flow=st.lists(st.sampled_from(["1", "2"]), min_size=1, max_size=4),
-    hot_rows=st.sampled_from([1, 3, 7, 1000]),
+    seconds=st.sampled_from([1, 30, 90, 3600]),
 )
-def test_prefix_counts_match_naive_scan(make_passes, track, flow, hot_rows):
+def test_prefix_counts_match_naive_scan(make_passes, track, flow, seconds):
     passes = make_passes(drive("c", " ".join(track), step=13))
-    assert counts(funnel.conversion(passes, flow, hot_rows=hot_rows)) == naive_counts(track, flow)
+    assert counts(funnel.conversion(passes, flow, slice_seconds=seconds)) == naive_counts(track, flow)
 
 
-def test_hot_car_with_uneven_slices(make_passes):
+def test_counts_do_not_depend_on_slices(make_passes):
     rng = random.Random(3)
     times = sorted(rng.sample(range(50_000), 300))
     track = [rng.choice("123") for _ in times]
     rows = [("hot", m, at(t)) for m, t in zip(track, times)] + drive("cold", "1 2 3 1 2")
     flow = ["1", "2", "3", "1"]
     want = [a + b for a, b in zip(naive_counts(track, flow), naive_counts("1 2 3 1 2".split(), flow))]
-    for hot_rows in (2, 20, 10_000):
-        assert counts(funnel.conversion(make_passes(rows), flow, hot_rows=hot_rows)) == want
+    # The last one has a far pass alone in its slice.
+    for seconds in (20, 600, 3600, 49_000):
+        assert counts(funnel.conversion(make_passes(rows), flow, slice_seconds=seconds)) == want
 
 
 def test_track_text_and_listed_cars(make_passes):
     passes = make_passes(drive("a", "m1 m2") + drive("b", "m3"))
-    got = {r.car: (r.part, r.track) for r in tracks.car_tracks(passes).collect()}
+    got = {(r.car, r.date): r.track for r in tracks.car_tracks(passes).collect()}
     assert got == {
-        "a": (0, "m1=2024-01-01 08:00:00|m2=2024-01-01 08:01:00"),
-        "b": (0, "m3=2024-01-01 08:00:00"),
+        ("a", "2024-01-01"): "m1=2024-01-01 08:00:00|m2=2024-01-01 08:01:00",
+        ("b", "2024-01-01"): "m3=2024-01-01 08:00:00",
     }
     assert [r.car for r in tracks.car_tracks(passes, cars=["b"]).collect()] == ["b"]
 
 
-def test_hot_track_is_continued_in_parts(make_passes):
-    rows = [("hot", f"m{i}", at(i * 7)) for i in range(100)] + drive("cold", "m1 m2")
+def test_every_car_has_one_row_a_day(make_passes):
+    rows = [("busy", f"m{i}", at(i * 997)) for i in range(200)] + drive("calm", "m1 m2")
     passes = make_passes(rows)
-    whole = {r.car: r.track for r in tracks.monitor_tracks(passes).collect()}
-    parts = tracks.monitor_tracks(passes, hot_rows=10).collect()
-    hot = sorted((r.part, r.track) for r in parts if r.car == "hot")
-    assert [t.count(",") + 1 for _, t in hot] == [10] * 10
-    assert ",".join(t for _, t in hot) == whole["hot"]
-    assert [(r.part, r.track) for r in parts if r.car == "cold"] == [(0, whole["cold"])]
+    got = {(r.car, r.date): r.track for r in tracks.monitor_tracks(passes).collect()}
+    assert {d for c, d in got if c == "busy"} == {"2024-01-01", "2024-01-02", "2024-01-03"}
+    whole = ",".join(t for (c, _), t in sorted(got.items()) if c == "busy")
+    assert whole == ",".join(f"m{i}" for i in range(200))
+    assert got[("calm", "2024-01-01")] == "m1,m2"
+    assert tracks.points(passes, ["calm"]).count() == 2
 
 
-@pytest.mark.parametrize("last_only", [True, False])
-def test_one_crowded_second_is_cut_too(make_passes, last_only):
-    rows = [(f"c{i:03d}", "m", at(0)) for i in range(200)] + [("late", "m", at(299)), ("x", "m", at(900))]
-    got = tracks.range_cars(make_passes(rows), last_only, hot_rows=20).collect()
-    crowd = [r for r in got if r.range_time.startswith("2024-01-01 08:00")]
-    sizes = [r.cars.count("=") for r in crowd]
-    assert len(sizes) > 5 and max(sizes) < 60 and sum(sizes) == 201
-    listed = [c.split("=")[0] for r in sorted(crowd, key=lambda r: r.part) for c in r.cars.split("|")]
-    assert sorted(listed) == sorted(r[0] for r in rows[:-1]) and listed[-1] == "late"
+def test_last_visit_over_several_days(make_passes):
+    rows = [("a", "m1", "2024-01-02 00:05:00"), ("a", "m2", at(0)), ("a", "m1", "2024-01-01 23:59:00")]
+    passes = make_passes(rows + [("a", "m2", "2024-01-03 09:00:00"), ("b", "m1", at(5))])
+    want = {("a", "m1"): "2024-01-02 00:05:00", ("a", "m2"): "2024-01-03 09:00:00", ("b", "m1"): at(5)}
+    direct = {(r.car, r.monitor_id): r.action_time for r in tracks.last_visits(passes).collect()}
+    assert direct == want
+    texts = text.last_pairs(tracks.car_tracks(passes), ["car"], "track", order=["date"])
+    assert {(r.car, r.k): r.v for r in texts.collect()} == want
 
 
-def test_monitor_track_has_last_date(make_passes):
+def test_monitor_track_ends_at_midnight(make_passes):
     passes = make_passes([("a", "m1", "2024-01-01 23:59:00"), ("a", "m2", "2024-01-02 00:01:00")])
-    row = tracks.monitor_tracks(passes).first()
-    assert (row.date, row.track) == ("2024-01-02", "m1,m2")
+    got = {r.date: r.track for r in tracks.monitor_tracks(passes).collect()}
+    assert got == {"2024-01-01": "m1", "2024-01-02": "m2"}
 
 
 def test_null_car_is_kept(make_passes):
     passes = make_passes(drive(None, "m1 m2 m1") + drive("a", "m1"))
-    got = {r.car: r.track for r in tracks.monitor_tracks(passes, hot_rows=2).collect() if r.part == 0}
-    assert got["a"] == "m1" and None in got
+    got = {r.car: r.track for r in tracks.monitor_tracks(passes).collect()}
+    assert got == {"a": "m1", None: "m1,m2,m1"}
 
 
 def test_unreadable_time_keeps_its_place(make_passes):
-    passes = make_passes([("a", "m1", "unknown"), ("a", None, at(0))])
+    passes = make_passes([("a", "m1", "unknown", {"date": "2024-01-01"}), ("a", None, at(0))])
     assert [r.track for r in tracks.car_tracks(passes).collect()] == [f"m1=|={at(0)}"]
     assert [r.track for r in tracks.monitor_tracks(passes).collect()] == ["m1,"]
 
@@ -146,15 +147,26 @@ def test_companions_against_brute_force(spark, make_passes):
     suspects = spark.createDataFrame([("a",), ("b",)], "car string")
     got = sorted(
         (r.car, r.companion, r.monitor_id, r.action_time, r.companion_time)
-        for r in companions.companions_of(passes, suspects, max_suspects=2).collect()
+        for r in companions.companions_of(passes, suspects).collect()
     )
     assert got == sorted((a[0], b[0], a[1], a[2], b[2]) for a, b in pairs if a[0] in "ab")
-    stored = companions.companions_of(passes, suspects, store_first=True)
-    assert stored.count() == len(got)
+    met = {(r.car, r.companion): (r.meetings, r.monitors) for r in companions.meetings(passes, suspects).collect()}
+    for (car, other), (n, monitors) in met.items():
+        mine = [a for a, b in pairs if a[0] == car and b[0] == other]
+        assert (n, monitors) == (len(mine), len({a[1] for a in mine}))
+    assert sum(n for n, _ in met.values()) == len(got)
     met = {r.car: r.encounters for r in companions.encounters(passes).collect()}
     assert met == {c: sum(a[0] == c for a, _ in pairs) for c in "abcd"}
 
 
+def test_encounters_over_midnight(make_passes):
+    rows = [("a", "m", "2024-01-01 23:58:00"), ("b", "m", "2024-01-02 00:01:00"), ("c", "m", "2024-01-02 00:04:00")]
+    rows += [("a", "m", "2024-01-02 00:02:30"), ("d", "m", "2024-01-01 12:00:00"), ("b", "m", "unknown")]
+    met = {r.car: r.encounters for r in companions.encounters(make_passes(rows)).collect()}
+    want = {c: sum(a[0] == c for a, _ in near([r for r in rows if r[2] != "unknown"])) for c in "abcd"}
+    assert met == want
+
+
 def sampled(make_passes, rows, n, **kw):
     return sampling.sample_cars(make_passes(rows), n, **kw)
 
