@@ -204,8 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         counts = {r[0]: r[1] for r in judged.groupBy(family).count().collect()}
         posterior[family] = expectation_maximisation(counts, size)
     total = votes.count()
-    picked = sampled(judged.where("doc_id is not null"), SAMPLE, total)
-    table = picked.dropDuplicates(["doc_id"]).join(F.broadcast(sampled(texts, SAMPLE, total)), "doc_id")
+    # About SAMPLE ids and patterns.
+    picked = F.broadcast(sampled(judged.where("doc_id is not null"), SAMPLE, total).dropDuplicates(["doc_id"]))
+    table = sampled(texts, SAMPLE, total).join(picked, "doc_id")
     scorer = _train(table, posterior)
     release(known, votes, judged)
     return scorer
@@ -278,45 +279,72 @@ def expectation_maximisation(counts: dict[int, int], labellers: int, rounds: int
 
 
 def _train(table: DataFrame, posterior: dict[str, dict[int, float]]) -> Scorer:
-    """Fit on at most about ``SAMPLE`` documents."""
+    """Fit on at most about ``SAMPLE`` documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words are counted on the executors; the driver gets the chosen ones, and for each
+    document its measures and which chosen words it has.
+    """
+    table = stored(table.dropDuplicates(["text"]), "scorer-sample")
+
+    def badness(part: pa.RecordBatch) -> np.ndarray:
+        clean = [1 - np.array([posterior[f].get(c, 0.0) for c in part.column(f).to_pylist()]) for f in ("junk", "abuse")]
+        return 1 - clean[0] * clean[1]
+
+    def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             m = Measured(part.column("text"))
-            clean = [
-                1 - np.array([posterior[f].get(c, 0.0) for c in part.column(f).to_pylist()]) for f in ("junk", "abuse")
-            ]
-            order = np.argsort(m.rows[m.distinct], kind="stable")
-            words = m.hashes[m.distinct][order]
-            cut = np.searchsorted(m.rows[m.distinct][order], np.arange(part.num_rows + 1))
-            yield pa.record_batch(
-                [
-                    pa.array(1 - clean[0] * clean[1]),
-                    pa.array(dense(m).tolist(), pa.list_(pa.float64())),
-                    pa.array([words[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                ],
-                ["bad", "dense", "words"],
-            )
-
-    rows = table.dropDuplicates(["text"]).mapInArrow(run, "bad double, dense array<double>, words binary").toArrow()
-    bad = rows.column("bad").to_numpy()
+            bad = badness(part)[m.rows[m.distinct]]
+            yield pa.record_batch([pa.array(m.hashes[m.distinct].view(np.int64)), pa.array(bad)], ["word", "bad"])
+
+    def document_rows(listed: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                m = Measured(part.column("text"))
+                order = np.argsort(m.rows[m.distinct], kind="stable")
+                words, rows = m.hashes[m.distinct][order], m.rows[m.distinct][order]
+                hit, at = found(words, listed) if len(listed) else (np.zeros(len(words), bool), rows)
+                cut = np.searchsorted(rows[hit], np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.record_batch(
+                    [
+                        pa.array(badness(part)),
+                        pa.array(dense(m).tolist(), pa.list_(pa.float64())),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(at[hit].astype(np.int32))),
+                    ],
+                    ["bad", "dense", "words"],
+                )
+
+        return run
+
     k = len(MEASURES) + 1
-    if not len(bad):
+    patterns = table.groupBy("junk", "abuse").count().collect()
+    total = sum(r["count"] for r in patterns)
+    if not total:
         return Scorer(np.zeros(0, np.uint64), np.append(np.zeros(k - 1), -1.0))
-    x = np.array(rows.column("dense").to_pylist())
-    sets = [np.frombuffer(w.as_buffer(), np.uint64) for w in rows.column("words")]
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    words, number = np.unique(np.concatenate(sets), return_inverse=True)
-    support, badness = np.bincount(number), np.bincount(number, bad[owner])
-    mean = bad.mean()
-    z = (badness - support * mean) / np.sqrt(support * mean * (1 - mean) + 1e-9)
-    chosen = np.sort(np.argsort(-np.where(support >= 5, np.abs(z), 0), kind="stable")[:FEATURES])
-    chosen = chosen[(support[chosen] >= 5) & (np.abs(z[chosen]) > 4)]
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[number] >= 0
-    row, column = owner[used], place[number][used]
-    return Scorer(words[chosen], logistic(x, row, column, len(chosen), bad))
+    mean = sum(
+        r["count"] * (1 - (1 - posterior["junk"].get(r["junk"], 0.0)) * (1 - posterior["abuse"].get(r["abuse"], 0.0)))
+        for r in patterns
+    ) / total
+    # How many standard deviations a word's documents are worse or better than all.
+    z = (F.col("bad") - F.col("n") * mean) / F.sqrt(F.col("n") * (mean * (1 - mean) + 1e-9))
+    chosen = (
+        table.mapInArrow(word_rows, "word long, bad double")
+        .groupBy("word")
+        .agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
+        .where("n >= 5")
+        .select("word", F.abs(z).alias("z"))
+        .where("z > 4")
+        .orderBy(F.desc("z"), "word")
+        .limit(FEATURES)
+        .collect()
+    )
+    listed = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
+    rows = table.mapInArrow(document_rows(listed), "bad double, dense array<double>, words array<int>").toArrow()
+    release(table)
+    lists = rows.column("words").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    x = rows.column("dense").combine_chunks().flatten().to_numpy().reshape(-1, k)
+    return Scorer(listed, logistic(x, row, lists.flatten().to_numpy(), len(listed), rows.column("bad").to_numpy()))
 
 
 def logistic(x: np.ndarray, row: np.ndarray, column: np.ndarray, n: int, target: np.ndarray, rounds: int = 300) -> np.ndarray:
