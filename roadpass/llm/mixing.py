@@ -74,8 +74,9 @@ def mix_sources(
         summary.join(keyed, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source"), "numbered-summary"
     )
     tilts = solve(summary)
+    # Rounded, so that the order in which sums were added up cannot show.
     rates = summary.join(tilts, "source_no").withColumn(
-        "rate", _rate(F.col("tilt"), F.col("size") / F.col("unit"), F.col("full"))
+        "rate", F.round(_rate(F.col("tilt"), F.col("size") / F.col("unit"), F.col("full")), 7)
     )
     classes = stored(
         rates.select("source_no", "size", "n", "rate")
