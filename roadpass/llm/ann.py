@@ -7,13 +7,15 @@ space is then rotated at random, and
 1. a k-means of a bounded sample (``SAMPLE`` rows, smallest hashes of their ids) gives the
    lists; every row is assigned to its nearest centre;
 2. the number of lists to probe is calibrated on the sample: as many as hold ``RECALL`` of
-   the sample's own nearest neighbours, and at least enough for k candidates;
+   the sample's own nearest neighbours, and at least enough for k candidates; lists that
+   hold a query's nearest rows of the sample are probed as well;
 3. lists are cut into blocks and each pair of a query block and a candidate block of one
    list is a cell, so a list of any size is spread;
 4. in a cell, rotated components are scanned in blocks of columns. After d of D components a
    candidate is abandoned when its partial distance shows, by the test of a random
-   projection, that its whole distance exceeds the query's limit. The limit is the 4k-th
-   distance among the sample at first and falls with the candidates found;
+   projection, that its whole distance exceeds the query's limit. The limit is at
+   first the distance within which the sample suggests 4k of all candidates, and falls
+   with the candidates found;
 5. survivors get the exact inner product of the original vectors.
 
 Edge cases: see ``vectors.usable`` for rows that take no part (zero vectors too); rows that
@@ -98,6 +100,7 @@ class Index:
         self.sample = sample
         points = lifted(sample, norm2)
         self.centres = k_means(points, min(lists, len(points)), rng)
+        self.home = np.argmin(distances(points, self.centres), axis=1)
         self.sizes = np.zeros(len(self.centres), np.int64)
         self.k = k
         self.probes = self._calibrate(points, rng)
@@ -114,7 +117,7 @@ class Index:
         near = np.argsort(-score, axis=1)[:, : min(self.k, len(points) - 1)]
         if not near.size:
             return len(self.centres)
-        home = np.argmin(distances(points, self.centres), axis=1)
+        home = self.home
         place = np.argsort(self.order(self.sample[ask]), axis=1)
         needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel()) + 1
         return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))])
@@ -162,14 +165,21 @@ def _probe(index: Index):
                 order = index.order(q)
                 enough = (np.cumsum(index.sizes[order], axis=1) < index.k + 1).sum(axis=1) + 1
                 count = np.minimum(np.maximum(index.probes, enough), order.shape[1])
-                # A limit that leaves several times k candidates in the sample alone, so that
-                # unprobed lists and wrong tests do not leave a query with too few.
+                probed = np.zeros(order.shape, bool)
+                np.put_along_axis(probed, order, np.arange(order.shape[1])[None, :] < count[:, None], axis=1)
+                # Lists that hold the sample's nearest are probed however far their centres are.
                 flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-                bound, far = np.full(len(q), np.inf), 4 * index.k
+                away = distances(flat, points)
+                near = np.argpartition(away, min(index.k, len(points) - 1), axis=1)[:, : index.k + 1]
+                np.put_along_axis(probed, index.home[near], True, axis=1)
+                # A limit that about 4k of the candidates in these lists keep, so that wrong tests
+                # do not leave a query with too few; one more for the query's own row.
+                bound = np.full(len(q), np.inf)
+                far = max(8, -(-4 * index.k * len(points) // int(index.sizes.sum()))) + 1
                 if len(points) > far:
-                    bound = np.partition(distances(flat, points), far, axis=1)[:, far]
-                row = np.repeat(np.arange(len(q)), count)
-                chosen = order[np.arange(order.shape[1])[None, :] < count[:, None]]
+                    away[~probed[:, index.home]] = np.inf
+                    bound = np.partition(away, far, axis=1)[:, far]
+                row, chosen = np.nonzero(probed)
                 # A list without rows has no cell.
                 some = index.sizes[chosen] > 0
                 row, chosen = row[some], chosen[some]
