@@ -82,18 +82,19 @@ def log_lines(rows: DataFrame) -> DataFrame:
 def pass_lines(spark: SparkSession, sf_dir: str, base: str, days: tuple[str, ...]) -> DataFrame:
     """The same passes as a stream of log lines that arrives in several files.
 
-    The passes are written to the folder ``base``, one batch of files for each period
-    between ``days``; the stream reads a few files at a time, oldest first.
+    The passes are written to the folder ``base``, as many files for each period between
+    ``days`` as the stream reads at a time, oldest first: one micro-batch for each period.
     """
     rows = passes(spark, sf_dir)
+    files = max(4, spark.sparkContext.defaultParallelism)
     starts, ends = (None, *days), (*days, None)
     for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
         part = rows if start is None else rows.where(F.col("date") >= start)
         part = part if end is None else part.where(F.col("date") < end)
-        log_lines(part).coalesce(1).write.text(f"{base}/part={k}")
+        log_lines(part).repartition(files).write.text(f"{base}/part={k}")
     return (
         spark.readStream.schema("value string")
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files)
         .text(f"{base}/part=*")
         .select("value")
     )
