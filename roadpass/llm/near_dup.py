@@ -43,7 +43,9 @@ from roadpass.llm.words import Words, mix, places, slices, window_sums
 
 ROWS = 4  # coordinates in a band
 MISS = 1e-5
+# Members and shingles of a block, about; a cell holds two blocks.
 BLOCK = 512
+BLOCK_SHINGLES = 400_000
 
 
 def near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -247,7 +249,7 @@ def _cross_links(busy: DataFrame, comps: DataFrame, sets: DataFrame, sketches: D
     below ``MISS``. The members that stay are compared on their full sets.
     """
     named = busy.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("comp")
+        "bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")
     )
     named = stored(named.distinct(), "bucket-components")
     least = _least_agreement(bins, percent / 100)
@@ -255,7 +257,7 @@ def _cross_links(busy: DataFrame, comps: DataFrame, sets: DataFrame, sketches: D
         _cells(named).join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_plausible(bins, least), "bucket long, rep long, comp long"),
+        .mapInArrow(_plausible(bins, least), "bucket long, rep long, n long, comp long"),
         "plausible-members",
     )
     rows = _cells(near.distinct()).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
@@ -272,15 +274,15 @@ def _cells(named: DataFrame) -> DataFrame:
     the cells of i with every block, so a cell holds two blocks however large the bucket is."""
     mixed = stored(
         named.groupBy("bucket")
-        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
+        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.sum("n").alias("n"))
         .where("c0 < c1")
-        .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
+        .select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")),
         "mixed-buckets",
     )
     dealt = named.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return spread.select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp"
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "comp"
     )
 
 
@@ -314,7 +316,10 @@ def _plausible(bins: int, least: int):
             some = np.flatnonzero((mine & (agree >= least)).any(axis=1))
             if len(some):
                 bucket = np.full(len(some), cell.column("bucket")[0].as_py())
-                yield pa.record_batch([pa.array(bucket), pa.array(rep[some]), pa.array(comp[some])], ["bucket", "rep", "comp"])
+                n = cell.column("n").to_numpy()[some]
+                yield pa.record_batch(
+                    [pa.array(bucket), pa.array(rep[some]), pa.array(n), pa.array(comp[some])], ["bucket", "rep", "n", "comp"]
+                )
 
     return run
 
