@@ -47,21 +47,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part.column("text"))
-            keep = np.ones(int(words.bounds[-1]), bool)
-            spans = []
-            for row, found in enumerate(part.column("ranges").to_pylist()):
-                merged = maximal([(x["start"], x["start"] + x["length"]) for x in found or ()])
-                for a, b in merged:
-                    keep[words.bounds[row] + a : min(words.bounds[row] + b, words.bounds[row + 1])] = False
-                spans.append([{"start": a, "length": b - a} for a, b in merged])
-            gone = np.concatenate([[0], np.cumsum(~keep)])
+            covered = cover(words.bounds, part.column("ranges"))
+            keep = ~covered
+            gone = np.concatenate([[0], np.cumsum(covered)])
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
                     pa.array(words.counts.astype(np.int64)),
                     pa.array((gone[words.bounds[1:]] - gone[words.bounds[:-1]]).astype(np.int64)),
                     joined(words, keep),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))),
+                    maximal(words.bounds, covered),
                 ],
                 ["doc_id", "n_words", "n_removed", "kept_text", "spans"],
             )
@@ -72,21 +67,36 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
     )
 
 
-def maximal(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching ranges joined."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def cover(bounds: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Which words the ranges (start, length) of their text cover."""
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    start, length = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+    first = np.minimum(bounds[row] + start, bounds[row + 1])
+    last = np.minimum(first + length, bounds[row + 1])
+    size = int(bounds[-1]) + 1
+    open_ = np.cumsum(np.bincount(first, minlength=size) - np.bincount(last, minlength=size))
+    return open_[:-1] > 0
+
+
+def maximal(bounds: np.ndarray, covered: np.ndarray) -> pa.ListArray:
+    """The runs of covered words of each text, as (start, length)."""
+    edge = np.zeros(len(covered) + 1, bool)
+    edge[bounds] = True
+    begins, finishes = covered.copy(), covered.copy()
+    begins[1:] &= ~covered[:-1] | edge[1:-1]
+    finishes[:-1] &= ~covered[1:] | edge[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+    row = np.searchsorted(bounds, first, "right") - 1
+    spans = pa.StructArray.from_arrays(
+        [pa.array((first - bounds[row]).astype(np.int32)), pa.array((last - first).astype(np.int32))], ["start", "length"]
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, bounds).astype(np.int32)), spans)
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
     """Ranges (doc_id, start, length in words) whose windows occur in a smaller document.
 
-    The ranges of a document may overlap; ``maximal`` joins them.
+    The ranges of a document may overlap.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     seeds = texts.mapInArrow(_seeds(window, seed_words), "seed long, doc_id long, pos int")
@@ -197,7 +207,10 @@ def _extensions(window: int, seed_words: int):
             ids = part.column("doc_id").to_numpy()
             lists = part.column("pos")
             wanted = np.repeat(words.bounds[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
-            keep = np.isin(found.place, wanted)
+            is_wanted = np.zeros(int(words.bounds[-1]) + 1, bool)
+            # A repeated doc_id brings the places of all its texts; those past the end are not this one's.
+            is_wanted[np.minimum(wanted, len(is_wanted) - 1)] = True
+            keep = is_wanted[found.place]
             low, high, row = found.low[keep], found.high[keep], found.row[keep]
             n = high - low + 1
             place, offset = _spread(low, n)

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from roadpass.llm import lm, mixing, near_dup, packing, pii, quality, substring_dedup
@@ -44,7 +45,14 @@ def test_substring_dedup_equals_brute_force(spark, clashing):
 
 
 def test_substring_dedup_joins_overlapping_ranges():
-    assert substring_dedup.maximal([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
+    bounds = np.array([0, 12, 12, 20])
+    lists = pa.array(
+        [[(5, 4), (0, 3), (3, 1), (8, 9)], None, [(0, 2), (7, 1)]],
+        pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])),
+    )
+    covered = substring_dedup.cover(bounds, lists)
+    spans = [[(x["start"], x["length"]) for x in found] for found in substring_dedup.maximal(bounds, covered).to_pylist()]
+    assert spans == [[(0, 4), (5, 7)], [], [(0, 2), (7, 1)]]
 
 
 def shingle_set(text, width):
@@ -313,11 +321,13 @@ def test_personal_data_base_spans_and_additions(spark):
     assert [(s.start, s.end) for s in got[2].added_spans] == [(5, 21), (22, 38)]
 
 
-def test_segment_probabilities_equal_enumeration():
-    region = pii.Region("12 345678901234 5", "", "")
-    field = pii.Field({f: 0.1 * (k % 5) - 0.1 for k, s in enumerate(region.segments) for f in s[3]})
-    scores = field.scores(region)
-    probability, total = field.marginals(region, scores)
+@pytest.mark.parametrize("text", ["12 345678901234 5", "a.b@c.de 1234567 89", "+1 (23) 456-7890"])
+def test_segment_probabilities_equal_enumeration(text):
+    region = pii.Region(text, "", "")
+    segments = region.segments
+    field = pii.Field({f: 0.1 * (k % 5) - 0.1 for k, s in enumerate(segments) for f in s[3]})
+    scores = [field.score(s[3]) for s in segments]
+    probability, total = field.marginals(region.length, segments)
 
     def walk(at):
         if at == region.length:
@@ -325,7 +335,7 @@ def test_segment_probabilities_equal_enumeration():
             return
         for rest, s in walk(at + 1):
             yield rest, s
-        for c, (i, j, _, _) in enumerate(region.segments):
+        for c, (i, j, _, _) in enumerate(segments):
             if i == at:
                 for rest, s in walk(j):
                     yield [c, *rest], s + scores[c]
@@ -333,9 +343,19 @@ def test_segment_probabilities_equal_enumeration():
     every = list(walk(0))
     z = sum(math.exp(s) for _, s in every)
     assert total == pytest.approx(math.log(z))
-    for c in range(len(region.segments)):
+    for c in range(len(segments)):
         assert probability[c] == pytest.approx(sum(math.exp(s) for path, s in every if c in path) / z)
-    assert field.best(region, scores) == max(every, key=lambda e: e[1])[0] or max(s for _, s in every) <= 0
+    best = field.decode(region)
+    assert sum(field.score(next(n for a, b, kk, n in segments if (a, b, kk) == (i, j, k))) for i, j, k, _ in best) == pytest.approx(
+        max(s for _, s in every)
+    )
+    for i, j, k, p in best:
+        assert p == pytest.approx(next(q for (a, b, kk, _), q in zip(segments, probability, strict=True) if (a, b, kk) == (i, j, k)))
+
+
+def test_long_tables_of_numbers_are_decoded():
+    text = " ".join(str(7 * i % 1000) for i in range(4000))
+    assert pii.Field({"card bias": -9.0, "ip bias": -9.0, "phone bias": -9.0}).add(text, []) == []
 
 
 def test_quality_classifier_on_held_out_labels(spark):
