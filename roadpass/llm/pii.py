@@ -88,42 +88,47 @@ def regions(text: str) -> Iterator[re.Match]:
 
 
 class Region:
-    """Pieces of a region and the candidate segments with their features."""
+    """Pieces of a region and its candidate segments, made on request."""
 
     def __init__(self, text: str, before: str, after: str):
         self.pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text)]
-        tokens = [text[a:b] for a, b in self.pieces]
-        n = len(tokens)
-        self.length = n
-        kind_of = ["9" if t[0] in "0123456789" else "a" if t[0].isascii() and t[0].isalpha() else t for t in tokens]
-        self.segments: list[tuple[int, int, int, list[str]]] = []
-        for i in range(n):
-            if kind_of[i].isspace():
+        self.tokens = [text[a:b] for a, b in self.pieces]
+        self.kinds = ["9" if t[0] in "0123456789" else "a" if t[0].isascii() and t[0].isalpha() else t for t in self.tokens]
+        self.before, self.after = before, after
+        self.length = len(self.tokens)
+
+    def starting(self, i: int) -> Iterator[tuple[int, int, list[str]]]:
+        """(end, kind, features) of the candidates that start at piece ``i``.
+
+        A candidate holds one @, or no letters and 7 to 19 digits; it ends in letters or
+        digits and starts neither with white space nor inside a word.
+        """
+        kinds, n = self.kinds, self.length
+        left = kinds[i - 1] if i else self.before
+        if kinds[i].isspace() or (i and kinds[i] in "9a" and left in "9a"):
+            return
+        digits, at, shape, groups = "", 0, "", []
+        for j in range(i + 1, min(n, i + LONGEST) + 1):
+            kind = kinds[j - 1]
+            shape += kind
+            if kind == "9":
+                digits += self.tokens[j - 1]
+                groups.append(self.tokens[j - 1])
+            at += kind == "@"
+            if at > 1 or (not at and len(digits) > 19 and "a" not in shape):
+                return
+            if kind not in "9a":
                 continue
-            digits, at, shape, groups = "", 0, "", []
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                token, kind = tokens[j - 1], kind_of[j - 1]
-                shape += kind
-                if kind == "9":
-                    digits += token
-                    groups.append(token)
-                at += kind == "@"
-                if kind not in "9a" or at > 1:
-                    if at > 1:
-                        break
-                    continue
-                if not at and len(digits) < 7:
-                    continue
-                if not at and "a" in shape:
-                    break
-                left = kind_of[i - 1] if i else before
-                right = kind_of[j] if j < n else after
-                for k in range(len(KINDS)):
-                    if (k == 0) == bool(at):
-                        self.segments.append((i, j, k, _features(k, shape, digits, groups, left, right)))
-
-    def spans(self, chosen: list[tuple[int, int, int]], offset: int) -> list[Span]:
-        return [(offset + self.pieces[i][0], k, offset + self.pieces[j - 1][1]) for i, j, k in chosen]
+            right = kinds[j] if j < n else self.after
+            if at:
+                yield j, 0, _features(0, shape, digits, groups, left, right)
+            elif "a" not in shape and len(digits) >= 7:
+                for k in range(1, len(KINDS)):
+                    yield j, k, _features(k, shape, digits, groups, left, right)
+
+    @property
+    def segments(self) -> list[tuple[int, int, int, list[str]]]:
+        return [(i, j, k, names) for i in range(self.length) for j, k, names in self.starting(i)]
 
 
 def _near(c: str) -> str:
@@ -157,68 +162,77 @@ class Field:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
-    def scores(self, region: Region) -> list[float]:
+    def score(self, names: list[str]) -> float:
         w = self.weights
-        return [sum(w.get(f, 0.0) for f in names) for *_, names in region.segments]
-
-    def marginals(self, region: Region, scores: list[float]) -> tuple[list[float], float]:
-        """The probability of each candidate segment, and the log of the normaliser."""
-        n = region.length
-        ending, starting = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-        for c, (i, j, _, _) in enumerate(region.segments):
-            ending[j].append(c)
-            starting[i].append(c)
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            forward[j] = _log_sum([forward[j - 1], *(forward[region.segments[c][0]] + scores[c] for c in ending[j])])
-        for i in range(n - 1, -1, -1):
-            backward[i] = _log_sum([backward[i + 1], *(backward[region.segments[c][1]] + scores[c] for c in starting[i])])
-        total = forward[n]
-        return [
-            math.exp(min(0.0, forward[i] + s + backward[j] - total))
-            for (i, j, _, _), s in zip(region.segments, scores, strict=True)
-        ], total
-
-    def best(self, region: Region, scores: list[float]) -> list[int]:
-        """The candidate segments of the best segmentation."""
+        return sum(w.get(f, 0.0) for f in names)
+
+    def marginals(self, length: int, segments: list) -> tuple[list[float], float]:
+        """The probability of each of all candidate segments, and the log of the normaliser."""
+        scored = [(i, j, self.score(names)) for i, j, _, names in segments]
+        forward, backward = [0.0] * (length + 1), [0.0] * (length + 1)
+        ending, starting = [[] for _ in range(length + 1)], [[] for _ in range(length + 1)]
+        for i, j, s in scored:
+            ending[j].append((i, s))
+            starting[i].append((j, s))
+        for j in range(1, length + 1):
+            forward[j] = _log_sum([forward[j - 1], *(forward[i] + s for i, s in ending[j])])
+        for i in range(length - 1, -1, -1):
+            backward[i] = _log_sum([backward[i + 1], *(backward[j] + s for j, s in starting[i])])
+        total = forward[length]
+        return [math.exp(min(0.0, forward[i] + s + backward[j] - total)) for i, j, s in scored], total
+
+    def decode(self, region: Region) -> list[tuple[int, int, int, float]]:
+        """(start, end, kind, probability) of the entities of the best segmentation.
+
+        Candidates are made start by start and not kept, so memory follows the region's
+        length however many candidates it has.
+        """
         n = region.length
-        ending = [[] for _ in range(n + 1)]
-        for c, (_, j, _, _) in enumerate(region.segments):
-            ending[j].append(c)
-        value, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for c in ending[j]:
-                got = value[region.segments[c][0]] + scores[c]
-                if got > value[j]:
-                    value[j], back[j] = got, c
-        out, j = [], n
+        low = -math.inf
+        forward, best, back = [0.0] + [low] * n, [0.0] + [low] * n, [None] * (n + 1)
+        for i in range(n):
+            forward[i + 1] = _log_sum([forward[i + 1], forward[i]])
+            if best[i] >= best[i + 1]:
+                best[i + 1], back[i + 1] = best[i], None
+            for j, k, names in region.starting(i):
+                s = self.score(names)
+                forward[j] = _log_sum([forward[j], forward[i] + s])
+                if best[i] + s > best[j]:
+                    best[j], back[j] = best[i] + s, (i, k, s)
+        path, j = [], n
         while j:
-            if back[j] < 0:
+            if back[j] is None:
                 j -= 1
             else:
-                out.append(back[j])
-                j = region.segments[back[j]][0]
-        return out[::-1]
+                i, k, s = back[j]
+                path.append((i, j, k, s))
+                j = i
+        if not path:
+            return []
+        backward = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            backward[i] = _log_sum([backward[i + 1], *(self.score(names) + backward[j] for j, _, names in region.starting(i))])
+        return [(i, j, k, math.exp(min(0.0, forward[i] + s + backward[j] - forward[n]))) for i, j, k, s in reversed(path)]
 
     def add(self, text: str, base: list[Span]) -> list[Span]:
         """Sure spans of a text that no base span overlaps."""
         found = []
         for m in regions(text):
             region = Region(m[0], text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1])
-            if not region.segments:
-                continue
-            scores = self.scores(region)
-            best = self.best(region, scores)
-            if best:
-                probability, _ = self.marginals(region, scores)
-                found += region.spans([region.segments[c][:3] for c in best if probability[c] >= SURE], m.start())
-        return [s for s in found if all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
+            for i, j, k, probability in self.decode(region):
+                if probability >= SURE:
+                    found.append((m.start() + region.pieces[i][0], k, m.start() + region.pieces[j - 1][1]))
+        if not found or not base:
+            return found
+        inside = np.zeros(len(text) + 1, bool)
+        for a, _, b in base:
+            inside[a:b] = True
+        return [s for s in found if not inside[s[0] : s[2]].any()]
 
 
 def _log_sum(values: list[float]) -> float:
     top = max(values)
-    return top if len(values) == 1 else top + math.log(sum(math.exp(v - top) for v in values))
+    return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
 
 
 def fit(examples: list[tuple[str, str, str, list[Span]]], rounds: int = 5, rate: float = 0.5) -> Field:
@@ -229,16 +243,14 @@ def fit(examples: list[tuple[str, str, str, list[Span]]], rounds: int = 5, rate:
     ready = []
     for text, before, after, gold in examples:
         region = Region(text, before, after)
-        places = {(a, k, b) for a, k, b in gold}
-        target = [
-            float((region.pieces[i][0], k, region.pieces[j - 1][1]) in places) for i, j, k, _ in region.segments
-        ]
-        if region.segments:
-            ready.append((region, target))
+        segments, places = region.segments, {(a, k, b) for a, k, b in gold}
+        if segments:
+            target = [float((region.pieces[i][0], k, region.pieces[j - 1][1]) in places) for i, j, k, _ in segments]
+            ready.append((region.length, segments, target))
     for _ in range(rounds):
-        for region, target in ready:
-            probability, _ = field.marginals(region, field.scores(region))
-            for (_, _, _, names), want, have in zip(region.segments, target, probability, strict=True):
+        for length, segments, target in ready:
+            probability, _ = field.marginals(length, segments)
+            for (_, _, _, names), want, have in zip(segments, target, probability, strict=True):
                 gap = want - have
                 if abs(gap) > 1e-4:
                     for f in names:
