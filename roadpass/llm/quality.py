@@ -224,7 +224,8 @@ def _word_lists(texts: DataFrame, known: DataFrame) -> list[np.ndarray]:
 
     rows = (
         texts.join(some, "doc_id")
-        .dropDuplicates(["text"])
+        .groupBy("text")
+        .agg(F.max("toxic").alias("toxic"))
         .mapInArrow(run, "word long, toxic long")
         .groupBy("word")
         .agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
@@ -284,7 +285,9 @@ def _train(table: DataFrame, posterior: dict[str, dict[int, float]]) -> Scorer:
     Words are counted on the executors; the driver gets the chosen ones, and for each
     document its measures and which chosen words it has.
     """
-    table = stored(table.dropDuplicates(["text"]), "scorer-sample")
+    # Of equal texts the one with the smallest id counts, so that reruns agree.
+    first = table.groupBy("text").agg(F.min(F.struct("doc_id", "junk", "abuse")).alias("first"))
+    table = stored(first.select("text", "first.*"), "scorer-sample")
 
     def badness(part: pa.RecordBatch) -> np.ndarray:
         clean = [1 - np.array([posterior[f].get(c, 0.0) for c in part.column(f).to_pylist()]) for f in ("junk", "abuse")]
@@ -306,11 +309,12 @@ def _train(table: DataFrame, posterior: dict[str, dict[int, float]]) -> Scorer:
                 cut = np.searchsorted(rows[hit], np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.record_batch(
                     [
+                        part.column("doc_id"),
                         pa.array(badness(part)),
                         pa.array(dense(m).tolist(), pa.list_(pa.float64())),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(at[hit].astype(np.int32))),
                     ],
-                    ["bad", "dense", "words"],
+                    ["doc_id", "bad", "dense", "words"],
                 )
 
         return run
@@ -338,7 +342,8 @@ def _train(table: DataFrame, posterior: dict[str, dict[int, float]]) -> Scorer:
         .collect()
     )
     listed = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
-    rows = table.mapInArrow(document_rows(listed), "bad double, dense array<double>, words array<int>").toArrow()
+    schema = "doc_id long, bad double, dense array<double>, words array<int>"
+    rows = table.mapInArrow(document_rows(listed), schema).toArrow().sort_by("doc_id")
     release(table)
     lists = rows.column("words").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
