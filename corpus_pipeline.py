@@ -30,7 +30,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that recur across documents; n_chars follows the text."""
-    cut = line_dedup.cut_lines(docs)
+    cut = line_dedup.cut_lines(docs, sources=True)
     length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("d.n_chars"))
     new = {"text": F.col("text"), "n_chars": length.cast(docs.schema["n_chars"].dataType)}
     return cut.select(*(new.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns))
