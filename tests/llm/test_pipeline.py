@@ -100,3 +100,14 @@ def test_run_gives_the_stages_result(spark, tables, stages):
         return collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
 
     assert pieces(corpus_pipeline.run(spark, tables)) == pieces(stages[-1])
+
+
+def test_unlike_texts_that_share_an_id_stay(spark):
+    rng = random.Random(21)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(1, one, "a"), (1, two, "a"), (1, two, "a"), (2, two + " tail", "b"), (3, one, "b"), (4, three, "c"), (None, one, "c"), (5, None, "c")]
+    docs = documents(spark, rows, clashing=True)
+    got = corpus_pipeline.near_duplicate_filter(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    want = collections.Counter([(1, one), (1, two), (4, three), (None, one), (5, None)])
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == want
