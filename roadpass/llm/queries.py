@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpass.llm import ann, exact_topk, line_dedup, lm, mixing, near_dup, packing, pii, quality, substring_dedup
+from roadpass.llm import (
+    ann,
+    exact_topk,
+    importance,
+    line_dedup,
+    lm,
+    manifest,
+    mixing,
+    near_dup,
+    packing,
+    pii,
+    quality,
+    substring_dedup,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,3 +112,36 @@ def op9_semi_markov_pii(spark, sf):
 def op5_log_template_line_dedup(spark, sf):
     cut = line_dedup.drop_recurring_lines(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_importance_resampling(spark, sf):
+    drawn = importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The rules of the query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op12_url_filter_cascade(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.ruled(table(spark, sf, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    proofs = manifest.merkle_manifest(
+        table(spark, sf, "documents"),
+        alter=F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
+        changes={"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)},
+    )
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

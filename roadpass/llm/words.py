@@ -68,15 +68,15 @@ class Words:
     """The words of a slice of texts.
 
     ``starts`` and ``ends`` are byte places in ``data``; the words of text ``r`` are
-    ``bounds[r]:bounds[r + 1]``.
+    ``bounds[r]:bounds[r + 1]``. ``outside`` tells bytes that no word holds, after lowering.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, outside: np.ndarray = _SPACE):
         self.data, self.offsets = text_bytes(column)
         if lower:
             self.data = _LOWER[self.data]
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        inside = ~outside[self.data]
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True
         begins = inside.copy()
