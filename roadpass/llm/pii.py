@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadpass.llm.scratch import release, stored
 from roadpass.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,11 +46,17 @@ PATTERNS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_FINDERS = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+# The same matches in linear time: a run of characters is entered at its start only and
+# never given back, so a long run that matches nothing costs one look.
+_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_FINDERS = {"card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"), "phone": re.compile(PATTERNS["phone"])}
 # What a text must hold for a pattern to match at all.
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _DIGIT = re.compile("[0-9]")
-_REGION = re.compile(r"\S*[0-9@]\S*(?:\x20\S*[0-9@]\S*)*")
+_DIGITS = re.compile("[0-9]++")
+_REGION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+")
 _PIECE = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -65,20 +72,51 @@ def luhn(digits: str) -> bool:
 
 def valid(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
     if kind == "email":
         return True
     digits = "".join(_DIGIT.findall(text))
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """A match for each @ with a name before it and a domain behind, unless an earlier match
+    has taken the whole name; a name that it took in part starts after it."""
+    end = 0
+    for m in _LOCAL.finditer(text):
+        start, at = max(m.start(), end), m.end()
+        if start < at - 1 and (domain := _DOMAIN.match(text, at)):
+            end = domain.end()
+            yield start, end
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Every four numbers of a run of numbers with dots between, from its start on."""
+    for m in _NUMBERS.finditer(text):
+        if m[0].count(".") >= 3:
+            ends = [n.end() for n in _DIGITS.finditer(text, *m.span())]
+            start = m.start()
+            for i in range(3, len(ends), 4):
+                yield start, ends[i]
+                start = ends[i] + 1
+
+
+def matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """The spans of the kind's pattern, leftmost and not overlapping."""
+    if kind == "email":
+        return _emails(text)
+    if kind == "ip":
+        return _ips(text)
+    return (m.span() for m in _FINDERS[kind].finditer(text))
+
+
 def base_spans(text: str) -> list[Span]:
     """The base spans of a text, ordered by start, then kind."""
     out = []
     if _DIGIT.search(text) or "@" in text:
         for k, kind in enumerate(KINDS):
             if _NEEDS[kind] in text:
-                out += [(m.start(), k, m.end()) for m in _FINDERS[kind].finditer(text) if valid(kind, m[0])]
+                out += [(a, k, b) for a, b in matches(kind, text) if valid(kind, text[a:b])]
     return sorted(out)
 
 
@@ -275,19 +313,22 @@ def examples(texts: DataFrame, sample: int) -> list[tuple[str, str, str, list[Sp
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.record_batch([pa.array(c, pa.string()) for c in columns], ["region", "before", "after", "gold"])
 
-    found = (
+    # Stored, so that the texts are scanned once for both halves of the sample.
+    found = stored(
         texts.select("text")
         .mapInArrow(run, "region string, before string, after string, gold string")
         .groupBy("region", "before", "after")
-        .agg(F.min("gold").alias("gold"))
-        # As many with spans as without, so that the sample shows every kind.
-        .withColumn("hash", F.xxhash64("region", "before", "after"))
+        .agg(F.min("gold").alias("gold")),
+        "regions",
     )
+    hashed = found.withColumn("hash", F.xxhash64("region", "before", "after"))
     out = []
-    for part in (found.where("gold <> ''"), found.where("gold = ''")):
+    # As many with spans as without, so that the sample shows every kind.
+    for part in (hashed.where("gold <> ''"), hashed.where("gold = ''")):
         for r in part.orderBy("hash", "region", "before", "after").limit(sample // 2).collect():
             spans = [tuple(map(int, s.split(":"))) for s in r["gold"].split(",") if s]
             out.append((r["hash"], r["region"], r["before"], r["after"], spans))
+    release(found)
     return [row[1:] for row in sorted(out)]
 
 
