@@ -16,7 +16,9 @@ space is then rotated at random, and
    projection, that its whole distance exceeds the query's limit. The limit is at
    first the distance within which the sample suggests 4k of all candidates, and falls
    with the candidates found;
-5. survivors get the exact inner product of the original vectors.
+5. survivors get the exact inner product of the original vectors;
+6. a query that ends with fewer than k rows, though there are more candidates, is scanned once
+   more over all lists without a limit.
 
 Edge cases: see ``vectors.usable`` for rows that take no part (zero vectors too); rows that
 share a query's ``vec_id`` are not its candidates, other repeated rows are candidates each;
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpass.llm.scratch import stored
+from roadpass.llm.scratch import release, stored
 from roadpass.llm.vectors import best, kept, matrix, queries_of, usable
 
 SAMPLE = 8192
@@ -54,14 +56,34 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     queries = queries_of(whole, every)
     if not facts["n"]:
         return best(queries.select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")), k)
-    sample = np.array([r["vec"] for r in whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    index = Index(sample, facts["norm2"], min(MAX_LISTS, int(np.ceil(np.sqrt(facts["n"])))), k)
+    chosen = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample, ids = np.array([r["vec"] for r in chosen]), np.array([r["vec_id"] for r in chosen])
+    index = Index(sample, ids, facts["norm2"], min(MAX_LISTS, int(np.ceil(np.sqrt(facts["n"])))), k)
     listed = stored(whole.mapInArrow(_assign(index), "list int, vec_id long, vec array<double>"), "listed-vectors")
     # One row per list, MAX_LISTS at most.
     sizes = listed.groupBy("list").agg(F.count("*").alias("rows"))
     counts = {r["list"]: r["rows"] for r in sizes.collect()}
     index.sizes = np.array([counts.get(i, 0) for i in range(len(index.centres))])
-    asked = stored(queries.mapInArrow(_probe(index), "list int, query_id long, vec array<double>, bound double"), "probes")
+    top = stored(best(_scanned(index, queries, listed, sizes, every_list=False), k), "nearest")
+    # Limits come from a sample, so a query may end with too few; it asks once more without them.
+    own = whole.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
+    have = top.groupBy("query_id").agg(F.count("*").alias("have"))
+    room = F.least(F.lit(k), F.lit(facts["n"]) - F.col("own"))
+    short = stored(
+        own.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < room).select("query_id"), "short-queries"
+    )
+    if short.isEmpty():
+        release(whole, listed, short)
+        return top
+    again = best(_scanned(index, queries.join(short, "query_id", "left_semi"), listed, sizes, every_list=True), k)
+    out = stored(top.join(short, "query_id", "left_anti").unionByName(again), "all-nearest")
+    release(whole, listed, short, top)
+    return out
+
+
+def _scanned(index: Index, queries: DataFrame, listed: DataFrame, sizes: DataFrame, every_list: bool) -> DataFrame:
+    """(query_id, vec_id, score): the best rows of every cell of a query block and a block of a list."""
+    asked = stored(queries.mapInArrow(_probe(index, every_list), "list int, query_id long, vec array<double>, bound double"), "probes")
     asking = asked.groupBy("list").agg(F.count("*").alias("queries"))
     blocks = F.broadcast(
         sizes.join(asking, "list").select(
@@ -83,17 +105,16 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         "vec_id", "vec",
     )
     cell = ["list", "qb", "cb"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
-        _scan(index.rotation, index.norm2, k), "query_id long, vec_id long, score double"
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
+        _scan(index.rotation, index.norm2, index.k), "query_id long, vec_id long, score double"
     )
-    return best(found, k)
 
 
 class Index:
     """Centres, rotation and calibration; a few MB, whatever the number of vectors."""
 
-    def __init__(self, sample: np.ndarray, norm2: float, lists: int, k: int):
-        self.norm2 = norm2
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, norm2: float, lists: int, k: int):
+        self.norm2, self.ids = norm2, ids
         rng = np.random.default_rng(7)
         d = sample.shape[1] + 1
         self.rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
@@ -113,7 +134,7 @@ class Index:
     def _calibrate(self, points: np.ndarray, rng: np.random.Generator) -> int:
         ask = rng.choice(len(points), min(512, len(points)), replace=False)
         score = self.sample[ask] @ self.sample.T
-        score[np.arange(len(ask)), ask] = -np.inf
+        score[self.ids[ask][:, None] == self.ids[None, :]] = -np.inf
         near = np.argsort(-score, axis=1)[:, : min(self.k, len(points) - 1)]
         if not near.size:
             return len(self.centres)
@@ -155,7 +176,7 @@ def _assign(index: Index):
     return run
 
 
-def _probe(index: Index):
+def _probe(index: Index, every_list: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = lifted(index.sample, index.norm2)
         for whole in batches:
@@ -165,18 +186,22 @@ def _probe(index: Index):
                 order = index.order(q)
                 enough = (np.cumsum(index.sizes[order], axis=1) < index.k + 1).sum(axis=1) + 1
                 count = np.minimum(np.maximum(index.probes, enough), order.shape[1])
+                if every_list:
+                    count[:] = order.shape[1]
                 probed = np.zeros(order.shape, bool)
                 np.put_along_axis(probed, order, np.arange(order.shape[1])[None, :] < count[:, None], axis=1)
                 # Lists that hold the sample's nearest are probed however far their centres are.
                 flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
                 away = distances(flat, points)
+                # Rows of the query's own id are no candidates, however many the sample holds.
+                away[batch.column("query_id").to_numpy()[:, None] == index.ids[None, :]] = np.inf
                 near = np.argpartition(away, min(index.k, len(points) - 1), axis=1)[:, : index.k + 1]
                 np.put_along_axis(probed, index.home[near], True, axis=1)
                 # A limit that about 4k of the candidates in these lists keep, so that wrong tests
-                # do not leave a query with too few; one more for the query's own row.
+                # seldom leave a query with too few.
                 bound = np.full(len(q), np.inf)
-                far = max(8, -(-4 * index.k * len(points) // int(index.sizes.sum()))) + 1
-                if len(points) > far:
+                far = max(8, -(-4 * index.k * len(points) // int(index.sizes.sum())))
+                if len(points) > far and not every_list:
                     away[~probed[:, index.home]] = np.inf
                     bound = np.partition(away, far, axis=1)[:, far]
                 row, chosen = np.nonzero(probed)

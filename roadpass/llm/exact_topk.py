@@ -48,10 +48,20 @@ def exact_topk(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     right = whole.withColumn("cb", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(nc)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
     )
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(
-        _search(k), "query_id long, vec_id long, score long"
-    )
-    return best(found, k)
+
+    def searched(asking: DataFrame, candidates: DataFrame) -> DataFrame:
+        cells = asking.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb"))
+        return best(cells.applyInArrow(_search(k), "query_id long, vec_id long, score long"), k)
+
+    floor = F.lit(None).cast("long")
+    if nc > 1:
+        # The k-th score of one block of candidates is a floor for all the others.
+        first = searched(left.where("cb = 0").withColumn("floor", floor), right.where("cb = 0"))
+        floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        left = left.join(stored(floors, "floors"), "query_id", "left")
+    else:
+        left = left.withColumn("floor", floor)
+    return searched(left, right)
 
 
 def statistics(vectors: np.ndarray, length: int) -> np.ndarray:
@@ -70,7 +80,8 @@ def _search(k: int):
         if not len(q) or not len(c):
             return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
         levels = [(statistics(q, s), statistics(c, s)) for s in SEGMENTS]
-        floor = np.full(len(q), -np.inf)
+        floor = left.column("floor").to_numpy(zero_copy_only=False).astype(float)
+        floor = np.where(np.isnan(floor), -np.inf, floor)
         got = [np.zeros(0, np.int64)] * 3
         for at in range(0, len(c), 1024):
             part = slice(at, at + 1024)
@@ -89,7 +100,7 @@ def _search(k: int):
             full = np.flatnonzero(np.bincount(got[0], minlength=len(q)) == k)
             lowest = np.full(len(q), np.iinfo(np.int64).max)
             np.minimum.at(lowest, got[0], got[2])
-            floor[full] = lowest[full]
+            floor[full] = np.maximum(floor, lowest)[full]
         return pa.table({"query_id": queries[got[0]], "vec_id": got[1], "score": got[2]})
 
     return run

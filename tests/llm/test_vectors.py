@@ -90,6 +90,33 @@ def test_ann_gives_all_when_few(spark):
     assert ranked(ann.nearest(df).collect()) == {0: [(3, 6.0), (7, 6.0)]}
 
 
+@pytest.mark.parametrize("copies", [200, 990])
+def test_ann_of_a_much_repeated_query_id(spark, copies):
+    """Rows of the query's own id crowd the sample's nearest; the query still gets its k rows."""
+    rng = np.random.default_rng(4)
+    first = rng.standard_normal(16)
+    rows = [(100, (first + 1e-3 * rng.standard_normal(16)).tolist(), 1) for _ in range(copies)]
+    rows += [(1001 + i, rng.standard_normal(16).tolist(), 1) for i in range(1000 - copies)]
+    got = ranked(ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect())
+    asking = {i for i, _, _ in rows if i % 20 == 0}
+    assert set(got) == asking and all(len(got[i]) == min(20, sum(j != i for j, _, _ in rows)) for i in asking)
+    assert 100 not in {j for j, _ in got[100]}
+
+
+def test_ann_recall_beyond_the_sample(spark, monkeypatch):
+    """The index is fitted on a part of the rows; k-means and limits must still hold for the rest."""
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    df, rows = frame(spark, n=4000, awkward=False)
+    got = ranked(ann.nearest(df).collect())
+    vectors = np.array([v for _, v in rows])
+    hit = 0
+    for i in got:
+        score = vectors @ vectors[i]
+        score[i] = -np.inf
+        hit += sum(s >= np.sort(score)[-20] - 1e-9 for _, s in got[i])
+    assert len(got) == 200 and hit / (20 * len(got)) >= 0.9
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert exact_topk.exact_topk(none).count() == 0
