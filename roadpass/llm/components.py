@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpass.llm.scratch import stored
+from roadpass.llm.scratch import release, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,20 +20,29 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     while True:
         near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            both.join(labels.select(F.col("node").alias("b"), "component"), "b")
             .groupBy("a")
             .agg(F.min("component").alias("near"))
             .withColumnRenamed("a", "node")
         )
         moved = stored(
-            labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")),
+            labels.select("node", "component").join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")),
             "moved-labels",
         )
         above = moved.select(F.col("node").alias("component"), F.col("component").alias("above"))
         jumped = stored(
-            moved.join(above, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")),
+            moved.join(above, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "was"),
             "labels",
         )
-        labels = jumped.select("node", "component")
-        if not jumped.where("component <> was").limit(1).count():
-            return labels
+        release(labels, moved)
+        labels = jumped
+        if labels.where("component <> was").isEmpty():
+            release(both)
+            return _without(labels, "was")
+
+
+def _without(table: DataFrame, column: str) -> DataFrame:
+    """A stored table without a column, still known by its folder."""
+    out = table.drop(column)
+    out.scratch_path = table.scratch_path
+    return out

@@ -5,27 +5,20 @@ from __future__ import annotations
 import string
 
 from roadpass.llm.importance import BUCKETS, SEED
-from roadpass.llm.line_dedup import CONSTANT, LEADING, MIN_DOCS, SPACE, SURROUNDING, WORD
+from roadpass.llm.line_dedup import CONSTANT, LEADING, MIN_DOCS, SPACE, WORD
 from roadpass.llm.manifest import FIELDS
 
 LINE_DEDUP = rf"""
-with texts as (select doc_id, text from documents),
-whole as (select distinct doc_id, text from texts where text is not null),
-keyed as (select row_number() over () k, doc_id, text, string_split(text, chr(10)) parts from whole),
-places as (
-  select k, unnest(parts) line, generate_subscripts(parts, 1) - 1 n, parts from keyed
-),
-flat as (
-  select k, n, regexp_replace(line, '{WORD}*[0-9]{WORD}*', '<*>', 'g') line,
-    [case when n = 0 then '' else parts[n][1:{SURROUNDING}] end, coalesce(parts[n + 2], '')[1:{SURROUNDING}]] place
-  from places
-),
+with whole as (select distinct text from documents where text is not null),
+keyed as (select row_number() over () k, text, string_split(text, chr(10)) parts from whole),
+places as (select k, unnest(parts) line, generate_subscripts(parts, 1) - 1 n from keyed),
+flat as (select k, n, regexp_replace(line, '{WORD}*[0-9]{WORD}*', '<*>', 'g') line from places),
 led as (
-  select *, regexp_extract(line, '^{SPACE}*((?:{WORD}+{SPACE}+){{{LEADING - 1}}}{WORD}+)', 1) lead,
+  select *, regexp_extract(line, '^{SPACE}*((?:{WORD}+{SPACE}+){{0,{LEADING - 1}}}{WORD}+)', 1) lead,
     list_filter(regexp_split_to_array(line, '{SPACE}+'), lambda t: t <> '') tokens
   from flat
 ),
-keys as (select k, n, line, place, tokens, [len(tokens)::varchar, lead] leaf from led where lead <> ''),
+keys as (select k, n, line, tokens, [len(tokens)::varchar, lead] leaf from led where lead <> ''),
 leaves as (select leaf from keys group by leaf having count(distinct k) >= {MIN_DOCS}),
 crowded as (select * from keys semi join leaves using (leaf)),
 variants as (select leaf, line, any_value(tokens) tokens, count(distinct k) docs from crowded group by leaf, line),
@@ -40,17 +33,13 @@ fixed as (
 templates as (
   select leaf, line, template from fixed join variants using (leaf, line) where constants >= {CONSTANT} * len(tokens)
 ),
-placed as (select k, n, place, leaf, template from crowded join templates using (leaf, line)),
-recurring as (
-  select leaf, template from placed group by leaf, template
-  having count(distinct k) >= {MIN_DOCS} and count(distinct place) >= {MIN_DOCS}
-    and 3 * count(distinct place) >= count(distinct k)
-),
+placed as (select k, n, leaf, template from crowded join templates using (leaf, line)),
+recurring as (select leaf, template from placed group by leaf, template having count(distinct k) >= {MIN_DOCS}),
 gone as (select k, list(distinct n) gone from placed semi join recurring using (leaf, template) group by k),
-cut as (select doc_id, text, parts, coalesce(gone, []) gone from keyed left join gone using (k))
-select t.doc_id, coalesce(len(parts), 0)::bigint n_lines, coalesce(len(gone), 0)::bigint n_dropped,
+cut as (select text, parts, coalesce(gone, []) gone from keyed left join gone using (k))
+select doc_id, coalesce(len(parts), 0)::bigint n_lines, coalesce(len(gone), 0)::bigint n_dropped,
   sha256(array_to_string(list_filter(parts, lambda x, i: not list_contains(gone, i - 1)), chr(10))) kept_sha256
-from texts t left join cut c on t.doc_id is not distinct from c.doc_id and t.text = c.text
+from documents left join cut using (text)
 """
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import time
 
 import duckdb
 import pyarrow as pa
@@ -45,18 +46,54 @@ def test_recurring_templates_go_and_copies_stay(spark):
         if i is None or i < 100:
             assert dropped == 2 and "Posted" not in text and "rights" not in text and len(text.split("\n")) == 3
         elif i < 201:
+            # Exact copies count as one text.
             assert dropped == 0
         else:
             assert text is None and dropped == 0
 
 
-def test_short_lines_and_columns_stay(spark):
-    rows = [(i, f"{'a' * (i + 1)} b{i} c{i} start\ntwo words\nend {i}", "s") for i in range(20)]
+def letters(i):
+    return f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
+
+
+def test_short_lines_go_and_clashing_columns_stay(spark):
+    """A line of one or two words recurs like any other; one of numbers has no constant."""
+    rows = [(i, f"{letters(i)} b{letters(i)} c{letters(i)} start\nRead more\nEnd\n{i}\n \nlast {letters(i)}", "s") for i in range(20)]
     got = line_dedup.cut_lines(documents(spark, rows, clashing=True)).collect()
-    assert all(r.n_dropped == 0 and r.text == r.d.text and r.n_lines == 3 for r in got)
+    assert all(r.n_dropped == 2 and r.n_lines == 6 for r in got)
+    assert {r.text for r in got} == {t.replace("\nRead more\nEnd", "") for _, t, _ in rows}
     assert all(r.d["n_dropped"] == "x" for r in got)
 
 
+def test_columns_named_like_results_are_replaced(spark):
+    frame = documents(spark, log_rows(), clashing=True).selectExpr("*", "'x' as n_lines", "'x' as marks", "'x' as gone")
+    cut = line_dedup.drop_recurring_lines(frame)
+    assert cut.columns == [c for c in frame.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert {r.n_lines for r in cut.collect()} == {5, 1, 0}
+
+
+def test_blocks_blank_lines_and_copies(spark):
+    """What stands around a line does not matter; exact copies count once."""
+    rows, block = [], "Sign up for our weekly letter\nRead what others say about it\nFollow the news wherever you are"
+    for i in range(6):
+        own = f"{letters(i)} alpha{letters(i)} beta{letters(i)} gamma{letters(i)}"
+        rows.append((i, f"{own}\n{block}\n\nMade available under a free licence\n\nsecond {own}", "s"))
+    rows += [(100 + i, "Only copies hold this very line\nand that one too of course", "s") for i in range(40)]
+    got = {r.d.doc_id: r for r in line_dedup.cut_lines(documents(spark, rows)).collect()}
+    assert all(got[i].n_dropped == 4 and got[i].text.count("\n") == 3 for i in range(6))
+    assert all(got[i].n_dropped == 0 for i in got if i >= 100)
+
+
+def test_a_text_of_very_many_lines_is_cut_in_linear_time(spark):
+    begin = time.monotonic()
+    lines = [f"x{k}y own{letters(k % 676)}" if k % 2 else f"The same line number of all {letters(k // 2 % 500)}" for k in range(200_000)]
+    rows = [(i, "\n".join([*lines, f"tail {letters(i)}"]), "s") for i in range(6)]
+    got = line_dedup.cut_lines(documents(spark, rows)).collect()
+    assert time.monotonic() - begin < 120
+    want = "\n".join(line for line in lines if line.startswith("x"))
+    assert all(r.n_lines == 200_001 and r.text.startswith(want[:1000]) and r.n_dropped >= 100_000 for r in got)
+
+
 def test_sql_gives_the_same_on_awkward_rows(spark):
     for rows in (texts(), log_rows()):
         con = duckdb.connect()
