@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpass.llm.scratch import release, stored
+from roadpass.llm.scratch import release, stored, without
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,11 +38,5 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped
         if labels.where("component <> was").isEmpty():
             release(both)
-            return _without(labels, "was")
+            return without(labels, "was")
 
-
-def _without(table: DataFrame, column: str) -> DataFrame:
-    """A stored table without a column, still known by its folder."""
-    out = table.drop(column)
-    out.scratch_path = table.scratch_path
-    return out

@@ -6,24 +6,29 @@ reached it. After ``bins`` rounds of random bins, round ``bins + j`` sends every
 bin j, so every coordinate fills, and most documents are done after the first rounds. Two
 documents agree in a coordinate with a probability equal to their similarity.
 
-1. Documents with equal shingle sets (128-bit fingerprint and size) form one class;
-   only its smallest ``doc_id`` goes on.
-2. Bands of four coordinates are hashed; documents that agree in a band are candidates.
+1. Documents with equal shingle sets (128-bit fingerprint and size) form one class with a
+   number of its own; one of its documents goes on, so copies cost nothing further.
+2. Bands of four coordinates are hashed; classes that agree in a band are candidates.
    The number of bands follows from the threshold, so that a pair at the threshold is
    missed with a probability below ``MISS``.
-3. In each band bucket every member is checked against the bucket's smallest member, on
-   the full shingle sets, and the links' components are formed. That settles a large
-   group of near copies with one row per member and band.
-4. Buckets that still hold members of several components are compared whole, block by
-   block: members are dealt to blocks of about ``BLOCK``, and each pair of blocks is one
-   cell that compares members of different components, first by their sketches, then the
-   plausible ones on their full sets. No bucket is cut.
+3. In each band bucket every member is checked against a hub, the bucket's smallest member, on
+   the full shingle sets, and the links' components are formed; in a second round the hub
+   is the smallest member outside the first hub's component. That settles a
+   large group of near copies with one row per member and band.
+4. In buckets that still hold several components, the members outside the largest one are
+   compared with all members, block by block: members are dealt to blocks of about
+   ``BLOCK``, and each pair of blocks is one cell, first by sketches, then the plausible
+   members on their full sets. No bucket is cut.
 5. Components of all links give the result.
 
+Rows meet their class by fingerprint and a salt of the row; a class comes once for each salt
+that its rows have, so a group of copies of any size is spread.
+
 Edge cases: a null or wordless text has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a null ``doc_id`` gives a null component and is
-kept; rows that share a ``doc_id`` share its component; equal similarity to the threshold
-links; an empty table gives an empty result; other columns are ignored.
+kept; rows that share a ``doc_id`` share its component, through all of its texts; equal
+similarity to the threshold links; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpass.llm.components import components
 from roadpass.llm.groups import runs
-from roadpass.llm.scratch import stored
+from roadpass.llm.scratch import release, stored, without
 from roadpass.llm.words import Words, mix, places, slices, window_sums
 
 ROWS = 4  # coordinates in a band
+SALTS = 32  # parts that the rows of one class are spread over
+PRINT = ["f1", "f2", "n"]
 MISS = 1e-5
 # Members and shingles of a block, about; a cell holds two blocks.
 BLOCK = 512
@@ -54,77 +61,117 @@ def near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     Texts are compared without regard to the case of A to Z. Documents are linked when
     100 * intersection >= percent * union of their sets of ``shingle`` consecutive words.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("key"))
+    rows, classes, links = _linked_classes(texts, shingle, percent)
+    # A doc_id repeated with different texts joins their classes.
+    many = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(
+        *(f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2", "n") for f in (F.min, F.max))
+    )
+    many = many.where("min_f1 <> max_f1 or min_f2 <> max_f2 or min_n <> max_n").select("doc_id")
+    held = rows.where("n > 0").join(many, "doc_id").select("doc_id", *PRINT).distinct().join(classes.select(*PRINT, "cls"), PRINT)
+    held = stored(held.select("doc_id", "cls"), "repeated-ids")
+    least = held.groupBy("doc_id").agg(F.min("cls").alias("a"))
+    same = held.join(least, "doc_id").select("a", F.col("cls").alias("b")).where("a <> b").distinct()
+    final = components(links.unionByName(same))
+    named = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    label = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    labelled = stored(named.join(label, "component").select(*PRINT, "component_id", _salts_of()), "class-components")
+    release(held, classes, links, final)
+    return (
+        rows.join(labelled.hint("merge"), [*PRINT, "salt"], "left")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        )
+        .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    )
+
+
+def first_of_groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``key`` of the rows that stay when each group of near-duplicates keeps its smallest
+    (doc_id, key), and of all rows without shingles.
+
+    ``docs`` has doc_id, text and key, a binary name of the row; rows that share a ``doc_id``
+    with unlike texts are told apart by it. Rows without doc_id are left out.
+    """
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key")
+    rows, classes, links = _linked_classes(texts, shingle, percent)
+    final = components(links)
+    named = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    first = named.groupBy("component").agg(F.min("first").alias("first")).select("first.key")
+    kept = stored(first.unionByName(rows.where("n = 0").select("key").distinct()), "kept-keys")
+    release(rows, classes, links, final)
+    return kept
+
+
+def _linked_classes(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their fingerprint; classes with their number, first row and salts; links of classes."""
     bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = stored(
-        texts.mapInArrow(_sketch(shingle, bands), "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary"),
+        texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
+        .mapInArrow(_sketch(shingle, bands), "doc_id long, key binary, salt int, n long, f1 long, f2 long, bands array<long>, sketch binary"),
         "sketches",
     )
+    live = sketched.where("n > 0 and doc_id is not null")
     classes = stored(
-        sketched.where("n > 0 and doc_id is not null")
-        .groupBy("f1", "f2", "n")
-        .agg(F.min("doc_id").alias("rep")),
+        live.groupBy(*PRINT)
+        .agg(F.min(F.struct("doc_id", "key")).alias("first"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+        .withColumn("cls", F.monotonically_increasing_id()),
         "set-classes",
     )
-    # One row per class; a doc_id that stands for two classes (a repeated id with two
-    # texts) would mix them, so a class is named by its fingerprint as well.
+    # The sketch of one row of each class.
+    chosen = stored(
+        live.join(classes.select(*PRINT, "cls", F.col("first.doc_id").alias("doc_id")), [*PRINT, "doc_id"])
+        .dropDuplicates(["cls"])
+        .select("cls", "n", "bands", "sketch"),
+        "class-sketches",
+    )
     banded = stored(
-        sketched.where("n > 0 and doc_id is not null")
-        .withColumnRenamed("doc_id", "rep")
-        .join(classes, ["f1", "f2", "n", "rep"])
-        .dropDuplicates(["f1", "f2", "n"])
-        .select("rep", "n", "f1", "f2", F.posexplode("bands").alias("band", "code"))
-        .select("rep", "n", "f1", "f2", F.xxhash64("band", "code").alias("bucket")),
+        chosen.select("cls", "n", F.posexplode("bands").alias("band", "code")).select("cls", "n", F.xxhash64("band", "code").alias("bucket")),
         "bands",
     )
-    member = F.struct("rep", "n", "f1", "f2")
-    hubs = stored(
-        banded.groupBy("bucket")
-        .agg(F.min(member).alias("hub"), F.max(member).alias("top"))
-        .where("hub <> top")
-        .select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")),
-        "hubs",
-    )
-    busy = stored(banded.join(hubs, "bucket"), "shared-buckets")
-    pairs = stored(
-        busy.where("rep <> hub")
-        .where(_sizes_fit("n", "hub_n", percent))
-        .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        .distinct(),
-        "hub-pairs",
+    shared = stored(
+        banded.groupBy("bucket").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top").select("bucket", "hub"), "hubs"
     )
+    busy = stored(banded.join(shared, "bucket").select("bucket", "cls", "n", "hub"), "shared-buckets")
+    wanted = busy.select("cls").distinct().join(classes, "cls")
     sets = stored(
-        texts.join(busy.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(
-            _sets(shingle), "doc_id long, shingles binary"
-        ),
+        texts.select("doc_id", "text")
+        .join(wanted.select("cls", *PRINT, F.col("first.doc_id").alias("doc_id")), "doc_id")
+        .mapInArrow(_sets(shingle), "cls long, n long, shingles binary")
+        .dropDuplicates(["cls"]),
         "shingle-sets",
     )
-    links = stored(_verified(pairs, sets, percent), "hub-links")
-    first = components(links)
-    rest = stored(_cross_links(busy, first, sets, sketched.select("doc_id", "sketch").dropDuplicates(["doc_id"]), bands * ROWS, percent), "block-links")
-    # A doc_id repeated with different texts joins the classes it stands for.
-    twice = (
-        sketched.where("n > 0 and doc_id is not null")
-        .join(classes, ["f1", "f2", "n"])
-        .where("doc_id <> rep")
-        .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        .distinct()
+    near = busy.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    links = stored(_verified(near, sets, percent), "hub-links")
+    comps = components(links)
+    named = stored(_named(busy, comps), "bucket-components")
+    # The second hub: the smallest member that the first one has not reached.
+    away = F.when(F.col("comp") != F.col("hub_comp"), F.col("cls"))
+    hub_comp = named.where("cls = hub").select("bucket", F.col("comp").alias("hub_comp"))
+    split = stored(named.join(hub_comp, "bucket").where(away.isNotNull()), "unreached-members")
+    second = split.groupBy("bucket").agg(F.min("cls").alias("hub2")).join(split, "bucket").where("cls <> hub2")
+    more = stored(_verified(second.select(F.col("hub2").alias("a"), F.col("cls").alias("b")).distinct(), sets, percent), "second-links")
+    release(banded, shared, comps, split)
+    both = stored(links.unionByName(more), "both-links")
+    comps = components(both)
+    rest = stored(_cross_links(_named(busy, comps), sets, chosen, bands * ROWS, percent), "block-links")
+    out = stored(both.unionByName(rest), "class-links")
+    release(busy, sets, links, more, both, comps, rest, named, chosen)
+    return without(sketched, "bands", "sketch"), classes, out
+
+
+def _salts_of() -> Column:
+    """The salts that a class's rows have, as rows."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)).alias("salt")
+
+
+def _named(busy: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of shared buckets with the component they are in so far."""
+    return busy.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "bucket", "cls", "n", "hub", F.coalesce("component", "cls").alias("comp")
     )
-    final = components(links.unionByName(rest).unionByName(twice))
-    return (
-        sketched.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    )
-
-
-def _sizes_fit(x: str, y: str, percent: int):
-    """Sizes that allow the threshold at all."""
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
 def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +211,16 @@ def fill_bins(code: np.ndarray, row: np.ndarray, n_rows: int, bins: int) -> np.n
     return sketch.reshape(n_rows, bins)
 
 
+def fingerprints(code: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two sums of scrambled shingle hashes of each row's set."""
+    out = []
+    for salt in (1, 2):
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, row, mix(code ^ np.uint64(salt * 0x9E3779B9)))
+        out.append(total)
+    return out
+
+
 def _sketch(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -174,16 +231,11 @@ def _sketch(width: int, bands: int):
             band = np.zeros((n, bands), np.uint64)
             for k in range(ROWS):
                 band = mix(band * np.uint64(31) + sketch[:, :, k])
-            prints = []
-            for salt in (1, 2):
-                total = np.zeros(n, np.uint64)
-                np.add.at(total, row, mix(code ^ np.uint64(salt * 0x9E3779B9)))
-                prints.append(pa.array(total.view(np.int64)))
             yield pa.record_batch(
                 [
-                    part.column("doc_id"),
+                    *(part.column(c) for c in ("doc_id", "key", "salt")),
                     pa.array(size.astype(np.int64)),
-                    *prints,
+                    *(pa.array(p.view(np.int64)) for p in fingerprints(code, row, n)),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)),
                         pa.array(band.reshape(-1).view(np.int64)),
@@ -191,21 +243,24 @@ def _sketch(width: int, bands: int):
                     # A byte of each coordinate, for a first comparison.
                     _binary(sketch.astype(np.uint8), np.arange(n + 1) * bands * ROWS),
                 ],
-                ["doc_id", "n", "f1", "f2", "bands", "sketch"],
+                ["doc_id", "key", "salt", "n", "f1", "f2", "bands", "sketch"],
             )
 
     return run
 
 
 def _sets(width: int):
+    """Sets of the rows that have the fingerprint of the class they came with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             code, row = _shingles(Words(part.column("text"), lower=True), width)
-            bounds = np.searchsorted(row, np.arange(part.num_rows + 1)) * 8
-            yield pa.record_batch(
-                [part.column("doc_id"), _binary(code, bounds)],
-                ["doc_id", "shingles"],
-            )
+            n = part.num_rows
+            own = [*(p.view(np.int64) for p in fingerprints(code, row, n)), np.bincount(row, minlength=n)]
+            same = np.logical_and.reduce([part.column(c).to_numpy() == v for c, v in zip(PRINT, own, strict=True)])
+            bounds = np.searchsorted(row, np.arange(n + 1)) * 8
+            out = pa.record_batch([part.column("cls"), part.column("n"), _binary(code, bounds)], ["cls", "n", "shingles"])
+            yield out.filter(pa.array(same))
 
     return run
 
@@ -217,9 +272,12 @@ def _binary(code: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) whose full sets reach the threshold; unlike sizes are told apart first."""
+    size = sets.select("cls", "n")
+    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    pairs = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,48 +299,61 @@ def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(one) + len(two) - inter)
 
 
-def _cross_links(busy: DataFrame, comps: DataFrame, sets: DataFrame, sketches: DataFrame, bins: int, percent: int) -> DataFrame:
+def _cross_links(named: DataFrame, sets: DataFrame, sketches: DataFrame, bins: int, percent: int) -> DataFrame:
     """Links between members of one bucket that are not in one component yet.
 
     Sketches come first: a member stays only if some other component's member in its bucket
     agrees with it in as many coordinates as a pair at the threshold does but for a chance
     below ``MISS``. The members that stay are compared on their full sets.
     """
-    named = busy.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")
-    )
-    named = stored(named.distinct(), "bucket-components")
+    named = stored(named.select("bucket", "cls", "n", "comp").distinct(), "open-buckets")
     least = _least_agreement(bins, percent / 100)
     near = stored(
-        _cells(named).join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
+        _cells(named).join(sketches.select("cls", "sketch"), "cls")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(_plausible(bins, least), "bucket long, rep long, n long, comp long"),
+        .mapInArrow(_plausible(bins, least), "bucket long, cls long, n long, comp long"),
         "plausible-members",
     )
-    rows = _cells(near.distinct()).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    return (
+    rows = _cells(near.distinct()).join(sets.select("cls", "shingles"), "cls")
+    found = stored(
         rows.repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
         .mapInArrow(_compare_sets(percent), "a long, b long")
-        .distinct()
+        .distinct(),
+        "cell-links",
     )
+    release(named, near)
+    return found
 
 
 def _cells(named: DataFrame) -> DataFrame:
-    """Members of buckets with several components, dealt to blocks; a row of block i goes to
-    the cells of i with every block, so a cell holds two blocks however large the bucket is."""
-    mixed = stored(
-        named.groupBy("bucket")
-        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"), F.sum("n").alias("n"))
-        .where("c0 < c1")
-        .select("bucket", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")),
-        "mixed-buckets",
+    """Members of buckets with several components, dealt to cells of two blocks each.
+
+    Members of the bucket's largest component form the blocks from 0 down, the others those
+    from 1 up; a row goes to the cells of its block with every block of the others, so a large
+    component costs one row for each block outside it, however large the bucket is.
+    """
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = named.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    total = sized.groupBy("bucket").agg(
+        F.max(F.struct("size", "comp", "shingles")).alias("major"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles")
+    )
+    outside = (F.col("size") - F.col("major.size")).alias("size"), (F.col("shingles") - F.col("major.shingles")).alias("shingles")
+    mixed = total.select("bucket", F.col("major.comp").alias("main"), F.col("major.size").alias("ms"), F.col("major.shingles").alias("mn"), *outside)
+    mixed = mixed.where("size > 0").select(
+        "bucket",
+        "main",
+        blocks.alias("minor"),
+        F.ceil(F.greatest(F.col("ms") / BLOCK, F.col("mn") / BLOCK_SHINGLES)).cast("int").alias("major"),
     )
-    dealt = named.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = named.join(mixed, "bucket")
+    block = F.when(F.col("comp") == F.col("main"), -F.pmod(F.xxhash64("cls"), "major")).otherwise(1 + F.pmod(F.xxhash64("cls"), "minor"))
+    dealt = dealt.withColumn("block", block.cast("int"))
+    others = F.when(F.col("block") > 0, F.sequence(1 - F.col("major"), "minor")).otherwise(F.sequence(F.lit(1), "minor"))
+    spread = dealt.select("*", F.explode(others).alias("other"))
     return spread.select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "comp"
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "comp"
     )
 
 
@@ -298,17 +369,17 @@ def _least_agreement(bins: int, similarity: float) -> int:
 
 def _other_pairs(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Members, components, and which pairs of a cell are its to compare."""
-    rep, comp, block = (cell.column(c).to_numpy() for c in ("rep", "comp", "block"))
+    cls, comp, block = (cell.column(c).to_numpy() for c in ("cls", "comp", "block"))
     mine = comp[:, None] != comp[None, :]
     if cell.column("i")[0] != cell.column("j")[0]:
         mine &= block[:, None] != block[None, :]
-    return rep, comp, mine
+    return cls, comp, mine
 
 
 def _plausible(bins: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, ["bucket", "i", "j"]):
-            rep, comp, mine = _other_pairs(cell)
+            cls, comp, mine = _other_pairs(cell)
             sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, bins)
             agree = np.zeros(mine.shape, np.int16)
             for k in range(0, bins, 4):
@@ -318,7 +389,7 @@ def _plausible(bins: int, least: int):
                 bucket = np.full(len(some), cell.column("bucket")[0].as_py())
                 n = cell.column("n").to_numpy()[some]
                 yield pa.record_batch(
-                    [pa.array(bucket), pa.array(rep[some]), pa.array(n), pa.array(comp[some])], ["bucket", "rep", "n", "comp"]
+                    [pa.array(bucket), pa.array(cls[some]), pa.array(n), pa.array(comp[some])], ["bucket", "cls", "n", "comp"]
                 )
 
     return run
@@ -327,13 +398,13 @@ def _plausible(bins: int, least: int):
 def _compare_sets(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, ["bucket", "i", "j"]):
-            rep, _, mine = _other_pairs(cell)
+            cls, _, mine = _other_pairs(cell)
             found = [np.frombuffer(v, np.uint64) for v in cell.column("shingles").to_pylist()]
             sizes = np.array([len(v) for v in found], np.int64)
             inter = common(found, np.concatenate(found), sizes)
             linked = mine & (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter))
             x, y = np.nonzero(np.triu(linked, 1))
-            yield pa.record_batch([pa.array(rep[x]), pa.array(rep[y])], ["a", "b"])
+            yield pa.record_batch([pa.array(cls[x]), pa.array(cls[y])], ["a", "b"])
 
     return run
 

@@ -37,3 +37,10 @@ def release(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without(table: DataFrame, *columns: str) -> DataFrame:
+    """A stored table without some columns, still known by its folder."""
+    out = table.drop(*columns)
+    out.scratch_path = table.scratch_path
+    return out

@@ -129,6 +129,36 @@ def test_blocks_of_a_hot_bucket_find_every_link(spark, monkeypatch):
     assert got == comp
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_ids_with_unlike_texts_keep_every_link(spark, monkeypatch, parts):
+    """Ids stand for several texts of the same buckets; links go through all of them."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = random.Random(6)
+    rows = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(80)]
+        for k in range(18):
+            w = list(base)
+            for at in rng.sample(range(80), rng.choice([1, 2, 3, 5])):
+                w[at] = f"x{rng.randrange(5)}"
+            # Every ninth id holds texts of several groups.
+            rows.append((9 * group + k % 9 if k % 9 else 500 + k, " ".join(w), "s"))
+    rows += rows[:5]
+    docs = documents(spark, rows).repartition(parts)
+    got = {}
+    for r in near_dup.near_duplicates(docs, 3, 85).collect():
+        assert got.setdefault(r.doc_id, r.component_id) == r.component_id
+        assert r.kept == (r.doc_id == r.component_id)
+    sets = [(i, shingle_set(t, 3)) for i, t, _ in rows]
+    comp = {i: i for i, _ in sets}
+    for _ in range(20):
+        for i, x in sets:
+            for j, y in sets:
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert got == comp and len(set(comp.values())) > 3
+
+
 def test_mix_meets_targets(spark):
     rows = mixing.mix_sources(documents(spark, clashing=True)).collect()
     size = counted((i, len(words(t))) for i, t, _ in texts())
