@@ -42,21 +42,10 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Documents are told apart by id and text, so unlike texts that share a doc_id all stay; of
     rows that repeat both one stays; rows without a doc_id stay.
     """
-    named = docs.where("doc_id is not null")
     key = line_dedup.row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
-    found = near_dup.near_duplicates(named.select(key.alias("doc_id"), "text"), SHINGLE, PERCENT)
-    ids = named.select(key.alias("key"), F.col("doc_id").alias("id")).distinct()
-    members = stored(
-        ids.join(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key"), "near-duplicate-groups"
-    )
-    member = F.struct("id", "key")
-    groups = members.groupBy("component_id").agg(F.min(member).alias("first"), F.max(member).alias("last")).where("first <> last")
-    removed = stored(
-        members.join(groups.select("component_id", "first"), "component_id").where(F.col("key") != F.col("first.key")).select("key"),
-        "near-duplicates",
-    )
-    rows = named.select(F.struct("*").alias("d"), key.alias("key"))
-    kept = rows.join(removed, "key", "left_anti").dropDuplicates(["key"])
+    rows = docs.where("doc_id is not null").select(F.struct("*").alias("d"), key.alias("key"))
+    stay = near_dup.first_of_groups(rows.select("d.doc_id", "d.text", "key"), SHINGLE, PERCENT)
+    kept = rows.join(stay.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     return kept.select(*(F.col("d").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
