@@ -11,10 +11,9 @@ documents agree in a coordinate with a probability equal to their similarity.
 2. Bands of four coordinates are hashed; classes that agree in a band are candidates.
    The number of bands follows from the threshold, so that a pair at the threshold is
    missed with a probability below ``MISS``.
-3. In each band bucket every member is checked against a hub, the bucket's smallest member, on
-   the full shingle sets, and the links' components are formed; in a second round the hub
-   is the smallest member outside the first hub's component. That settles a
-   large group of near copies with one row per member and band.
+3. In each band bucket every member is checked against the bucket's smallest member, on
+   the full shingle sets, and the links' components are formed. That settles a large
+   group of near copies with one row per member and band.
 4. In buckets that still hold several components, the members outside the largest one are
    compared with all members, block by block: members are dealt to blocks of about
    ``BLOCK``, and each pair of blocks is one cell, first by sketches, then the plausible
@@ -131,8 +130,9 @@ def _linked_classes(texts: DataFrame, shingle: int, percent: int) -> tuple[DataF
         chosen.select("cls", "n", F.posexplode("bands").alias("band", "code")).select("cls", "n", F.xxhash64("band", "code").alias("bucket")),
         "bands",
     )
+    member = F.struct("cls", "n")
     shared = stored(
-        banded.groupBy("bucket").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top").select("bucket", "hub"), "hubs"
+        banded.groupBy("bucket").agg(F.min(member).alias("hub"), F.max(member).alias("top")).where("hub <> top").select("bucket", "hub"), "hubs"
     )
     busy = stored(banded.join(shared, "bucket").select("bucket", "cls", "n", "hub"), "shared-buckets")
     wanted = busy.select("cls").distinct().join(classes, "cls")
@@ -143,22 +143,17 @@ def _linked_classes(texts: DataFrame, shingle: int, percent: int) -> tuple[DataF
         .dropDuplicates(["cls"]),
         "shingle-sets",
     )
-    near = busy.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    # Sizes must allow the threshold at all.
+    fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    near = busy.where(fits & (F.col("cls") != F.col("hub.cls"))).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
     links = stored(_verified(near, sets, percent), "hub-links")
     comps = components(links)
-    named = stored(_named(busy, comps), "bucket-components")
-    # The second hub: the smallest member that the first one has not reached.
-    away = F.when(F.col("comp") != F.col("hub_comp"), F.col("cls"))
-    hub_comp = named.where("cls = hub").select("bucket", F.col("comp").alias("hub_comp"))
-    split = stored(named.join(hub_comp, "bucket").where(away.isNotNull()), "unreached-members")
-    second = split.groupBy("bucket").agg(F.min("cls").alias("hub2")).join(split, "bucket").where("cls <> hub2")
-    more = stored(_verified(second.select(F.col("hub2").alias("a"), F.col("cls").alias("b")).distinct(), sets, percent), "second-links")
-    release(banded, shared, comps, split)
-    both = stored(links.unionByName(more), "both-links")
-    comps = components(both)
-    rest = stored(_cross_links(_named(busy, comps), sets, chosen, bands * ROWS, percent), "block-links")
-    out = stored(both.unionByName(rest), "class-links")
-    release(busy, sets, links, more, both, comps, rest, named, chosen)
+    named = busy.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "bucket", "cls", "n", F.coalesce("component", "cls").alias("comp")
+    )
+    rest = _cross_links(named, sets, chosen, bands * ROWS, percent)
+    out = stored(links.unionByName(rest), "class-links")
+    release(banded, shared, busy, sets, links, comps, rest, chosen)
     return without(sketched, "bands", "sketch"), classes, out
 
 
@@ -167,13 +162,6 @@ def _salts_of() -> Column:
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)).alias("salt")
 
 
-def _named(busy: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of shared buckets with the component they are in so far."""
-    return busy.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "bucket", "cls", "n", "hub", F.coalesce("component", "cls").alias("comp")
-    )
-
-
 def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text and their row, ordered by row and hash."""
     hashes = words.hashes()
@@ -272,10 +260,7 @@ def _binary(code: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; unlike sizes are told apart first."""
-    size = sets.select("cls", "n")
-    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    pairs = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    """The pairs (a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
 
@@ -306,7 +291,7 @@ def _cross_links(named: DataFrame, sets: DataFrame, sketches: DataFrame, bins: i
     agrees with it in as many coordinates as a pair at the threshold does but for a chance
     below ``MISS``. The members that stay are compared on their full sets.
     """
-    named = stored(named.select("bucket", "cls", "n", "comp").distinct(), "open-buckets")
+    named = stored(named, "open-buckets")
     least = _least_agreement(bins, percent / 100)
     near = stored(
         _cells(named).join(sketches.select("cls", "sketch"), "cls")
