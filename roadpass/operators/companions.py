@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roadpass.functions import timekeys as K
+from roadpass.operators.filters import readable_plates
+from roadpass.session import stored
 
 GAP_SECONDS = 300
 DAY_SECONDS = 86_400
@@ -72,6 +74,66 @@ def meetings(passes: DataFrame, suspects: DataFrame, gap: int = GAP_SECONDS) ->
     )
 
 
+def network_companions(
+    passes: DataFrame, least: int = 3, monitors: int = 2, slot_seconds: int = GAP_SECONDS
+) -> DataFrame:
+    """(car, companion, shared, monitors, first_start, last_start): all pairs of cars that have
+    at least ``least`` entries (monitor, time slot) in common, at ``monitors`` or more monitors.
+
+    A set-similarity join with prefix filtering. A car's entries are ordered from rare to
+    frequent. Two cars with ``least`` common entries have one among the entries that are
+    left when each car's ``least - 1`` most frequent ones are taken away, so only
+    those meet: the slots of a jam, where thousands of cars pass, form no pairs with the
+    cars that have rarer entries. Candidates are verified on their whole sets, the smaller set
+    looked up in the larger one. Unread plates are left out.
+    """
+    if least < 1:
+        raise ValueError("least must be positive")
+    entry = ["monitor_id", "slot"]
+    timed = readable_plates(passes).where(F.col("ts").isNotNull() & F.col("monitor_id").isNotNull())
+    slot = F.floor(K.clock(F.col("ts")) / slot_seconds).alias("slot")
+    sets = stored(timed.select("car", "monitor_id", slot).distinct(), "car-entries")
+    pairs = candidate_pairs(sets, least)
+    # Only sizes of cars that are candidates are needed, and the smaller set is the one read.
+    size = sets.groupBy("car").agg(F.count("*").alias("size"))
+    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    small, large = F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a"))
+    asked = sized.select("a", "b", small.alias("car"), large.alias("other"))
+    looked = asked.join(sets, "car").join(sets.withColumnRenamed("car", "other"), ["other", *entry])
+    start = F.col("slot") * slot_seconds
+    found = (
+        looked.groupBy("a", "b", "monitor_id")
+        .agg(F.count("*").alias("n"), F.min(start).alias("first"), F.max(start).alias("last"))
+        .groupBy("a", "b")
+        .agg(F.sum("n").alias("shared"), F.count("*").alias("monitors"), F.min("first").alias("first"), F.max("last").alias("last"))
+    )
+    return found.where((F.col("shared") >= least) & (F.col("monitors") >= monitors)).select(
+        F.col("a").alias("car"),
+        F.col("b").alias("companion"),
+        "shared",
+        "monitors",
+        K.clock_text(F.col("first")).alias("first_start"),
+        K.clock_text(F.col("last")).alias("last_start"),
+    )
+
+
+def candidate_pairs(sets: DataFrame, least: int) -> DataFrame:
+    """(a, b), a < b: cars of ``sets`` (car, monitor_id, slot) that share an entry which is not
+    among the ``least - 1`` most frequent ones of either."""
+    entry = ["monitor_id", "slot"]
+    often = sets.groupBy(*entry).agg(F.count("*").alias("cars"))
+    # An entry of one car is shared by nobody, but it counts towards the set's order.
+    counted = stored(sets.join(often, entry), "counted-entries")
+    kept = counted
+    if least > 1:
+        order = Window.partitionBy("car").orderBy(F.desc("cars"), F.desc("slot"), F.desc("monitor_id"))
+        frequent = counted.withColumn("i", F.row_number().over(order)).where(F.col("i") < least).select("car", *entry)
+        kept = counted.join(frequent, ["car", *entry], "left_anti")
+    rare = stored(kept.where("cars > 1").select("car", *entry), "rare-entries")
+    pairs = rare.withColumnRenamed("car", "a").join(rare.withColumnRenamed("car", "b"), entry).where("a < b")
+    return stored(pairs.select("a", "b").distinct(), "companion-candidates")
+
+
 def _within(n: str, window: WindowSpec, gap: int) -> Column:
     """Sum over the rows at most ``gap`` seconds away, as a difference of running sums: a
     sliding frame would add up all its rows again for every row."""

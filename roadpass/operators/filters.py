@@ -24,6 +24,22 @@ def date_range(passes: DataFrame, start: str | None, end: str | None) -> DataFra
     return passes
 
 
+# Texts that cameras log when they could not read a plate.
+UNREAD_PLATES = ("", "-", "0", "00000000", "unknown", "UNKNOWN", "null", "NULL")
+
+
+def readable_plates(passes: DataFrame) -> DataFrame:
+    """Passes whose plate was read. All unread ones would look like a single car that is
+    everywhere, and would meet in one group; ``unread_passes`` counts them."""
+    return passes.where(F.col("car").isNotNull() & ~F.trim("car").isin(*UNREAD_PLATES))
+
+
+def unread_passes(passes: DataFrame) -> DataFrame:
+    """(date, unread): passes without a readable plate per day, days without one left out."""
+    unread = F.col("car").isNull() | F.trim("car").isin(*UNREAD_PLATES)
+    return passes.where(unread).groupBy("date").agg(F.count("*").alias("unread"))
+
+
 def for_cars(passes: DataFrame, cars: Sequence[str]) -> DataFrame:
     """Passes of the listed cars. Short lists become a pushed IN filter, longer ones a semi join."""
     if len(cars) <= IN_LIST_LIMIT:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roadpass.operators.filters import at_monitors
@@ -99,6 +99,29 @@ def network_state(status: DataFrame, skip_missing: bool = False, infos: bool = F
     )
 
 
+STATE_COUNTS = ("normal_monitor_count", "normal_camera_count", "abnormal_monitor_count", "abnormal_camera_count")
+
+
+def observed_state(status: DataFrame, skip_missing: bool = False) -> tuple[DataFrame, Observation]:
+    """The status rows, and the totals of ``network_state`` gathered while they are written.
+
+    The totals are there once an action has run over the returned frame, so that writing the
+    rows and summing them up is one pass over the data.
+    """
+    if skip_missing:
+        status = status.where(F.col("status") != "missing")
+    normal = F.col("status") == "normal"
+    unseen = F.when(normal, F.lit(0)).otherwise(F.col("unseen_count"))
+    values = (
+        F.count_if(normal),
+        F.coalesce(F.sum(F.col("camera_count") - unseen), F.lit(0)),
+        F.count_if(~normal),
+        F.coalesce(F.sum(unseen), F.lit(0)),
+    )
+    totals = Observation("network state")
+    return status.observe(totals, *(v.alias(n) for n, v in zip(STATE_COUNTS, values, strict=True))), totals
+
+
 def busiest_monitors(passes: DataFrame, top_num: int, registry: DataFrame | None = None) -> DataFrame:
     """The ``top_num`` monitors with most passes; with a registry, only registered ones."""
     counts = passes.groupBy("monitor_id").agg(F.count("*").alias("car_count"))

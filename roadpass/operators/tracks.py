@@ -79,6 +79,11 @@ def range_cars(
     if last_visit_only:
         visits = visits.groupBy("monitor_id", "car").agg(F.max("clock").alias("clock"))
         tie = "car"
+    return range_lists(visits, tie).drop("start")
+
+
+def range_lists(visits: DataFrame, tie: str = "car") -> DataFrame:
+    """(monitor_id, start, range_time, cars) of visits (car, monitor_id, clock)."""
     lists = (
         visits.withColumn("start", K.range_start(F.col("clock"), RANGE_SECONDS))
         .groupBy("monitor_id", "start")
@@ -86,6 +91,7 @@ def range_cars(
     )
     return lists.select(
         "monitor_id",
+        "start",
         K.range_label(F.col("start"), RANGE_SECONDS).alias("range_time"),
         joined_text("points", lambda p: _entry(p["car"], p["clock"]), "|").alias("cars"),
     )

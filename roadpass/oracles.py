@@ -217,13 +217,58 @@ GROUP BY l.camera_id, l.day, l.hhmm"""
     )
 
 
+def _companions(least: int) -> str:
+    return (
+        _with(FLOW, " entries AS (SELECT DISTINCT car, monitor_id, clock // 300 AS slot FROM flow)")
+        + f"""
+SELECT a.car, b.car AS companion, CAST(count(*) AS BIGINT) AS shared, CAST(count(DISTINCT a.monitor_id) AS BIGINT) AS monitors,
+  {_text('min(a.slot) * 300')} AS first_start, {_text('max(a.slot) * 300')} AS last_start
+FROM entries a JOIN entries b ON a.monitor_id = b.monitor_id AND a.slot = b.slot AND a.car < b.car
+GROUP BY a.car, b.car HAVING count(*) >= {least} AND count(DISTINCT a.monitor_id) >= 2"""
+    )
+
+
+SPLIT = """
+halves AS (
+  SELECT camera_id, CAST(camera_id AS INTEGER) AS c,
+    count(*) FILTER (substr(md5('1000|' || camera_id || '|' || day || '|' || hhmm), 1, 8) < '99999999') AS n_train,
+    count(*) FILTER (substr(md5('1000|' || camera_id || '|' || day || '|' || hhmm), 1, 8) >= '99999999') AS n_test
+  FROM minutes GROUP BY camera_id
+),
+gates AS (
+  SELECT *, c % 5 <> 0 AND n_train >= 30 AND n_test > 0 AS accepted FROM halves
+)"""
+
+
 def sql() -> dict[str, str]:
     flow = _with(FLOW) + "\n"
     sample = _with(FLOW, SAMPLE) + "\n"
     cars = ", ".join(f"'{c}'" for c in Q.CARS)
     monitors = ", ".join(f"'{m}'" for m in Q.MONITORS.split(","))
+    all_flow = FLOW.replace("flow AS (", "all_flow AS (")
     in_days = f"date BETWEEN '{Q.FIRST_DAY}' AND '{Q.LAST_DAY}'"
+    task_only = f" flow AS (SELECT * FROM all_flow WHERE {in_days})"
+    congestion = (
+        _with(FLOW, _windows("monitor_id", 6))
+        + f"""
+SELECT {_text('start')} AS window_start, {_text('stop')} AS window_end, monitor_id, n AS car_count,
+  speed_sum, speed_sum::DOUBLE / n AS mean_speed FROM windows"""
+    )
+    top3 = (
+        _with(FLOW, AREAS, ROADS)
+        + """
+SELECT area_id, road_id, car_count, monitor_infos,
+  CASE WHEN car_count > 170 THEN 'A LEVEL' WHEN car_count > 160 THEN 'B LEVEL'
+       WHEN car_count > 150 THEN 'C LEVEL' ELSE 'D LEVEL' END AS flow_level
+FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY car_count DESC, road_id) AS rn FROM roads)
+WHERE rn <= 3"""
+    )
     return {
+        "stream_congestion": congestion,
+        "stream_congestion_panes": congestion,
+        "stream_congestion_restarted": congestion,
+        "area_top3": top3,
+        "area_top3_sql": top3,
         "passes": flow + f"SELECT {DETAIL}, area_id FROM flow",
         "pass_count": "SELECT CAST(count(*) AS BIGINT) AS pass_count FROM events",
         "date_range_passes": flow + f"SELECT monitor_id, car, road_id, area_id, pass_id FROM flow WHERE {in_days}",
@@ -245,13 +290,6 @@ AND speed BETWEEN {Q.SPEED_RANGE[0]} AND {Q.SPEED_RANGE[1]} AND monitor_id IN ({
         "area_passes": _with(FLOW, AREAS)
         + "\nSELECT area_id, area_name, road_id, monitor_id, car, pass_id FROM flow JOIN areas USING (area_id)",
         "area_road_flow": _with(FLOW, AREAS, ROADS) + "\nSELECT * FROM roads",
-        "area_top3": _with(FLOW, AREAS, ROADS)
-        + """
-SELECT area_id, road_id, car_count, monitor_infos,
-  CASE WHEN car_count > 170 THEN 'A LEVEL' WHEN car_count > 160 THEN 'B LEVEL'
-       WHEN car_count > 150 THEN 'C LEVEL' ELSE 'D LEVEL' END AS flow_level
-FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY car_count DESC, road_id) AS rn FROM roads)
-WHERE rn <= 3""",
         "salted_area_road": _with(FLOW, AREAS, ROADS) + "\nSELECT * FROM roads",
         "merged_histogram": flow
         + """SELECT area_id, CAST(sum(n) AS BIGINT) AS car_count,
@@ -331,6 +369,60 @@ WHERE a.car IN ({cars})""",
 FROM flow a LEFT JOIN flow b
   ON a.monitor_id = b.monitor_id AND b.clock BETWEEN a.clock - 300 AND a.clock + 300 AND a.car <> b.car
 GROUP BY a.car""",
+        "network_companions": _companions(3),
+        "network_companions_twice": _companions(2),
+        "readable_car_track": flow
+        + """SELECT car, date, string_agg(monitor_id || '=' || action_time, '|' ORDER BY clock, pass_id) AS track
+FROM flow WHERE pass_id % 7 <> 0 GROUP BY car, date""",
+        "unread_passes": flow
+        + "SELECT date, CAST(count(*) AS BIGINT) AS unread FROM flow WHERE pass_id % 7 = 0 GROUP BY date",
+        "range_cars_incremental": _with(FLOW, LAST_VISITS) + _range("visits", "car"),
+        "sketch_salted_areas": flow
+        + """SELECT area_id, CAST(count(*) AS BIGINT) AS pass_count, max(speed) AS max_speed,
+  string_agg(DISTINCT car, ',' ORDER BY car) AS cars FROM flow GROUP BY area_id""",
+        "flow_prefixes_sql": "\nUNION ALL ".join(
+            f"SELECT n_nationkey AS task_id, '{','.join(Q.ROAD_FLOW[:k])}' AS flow, CAST({k} AS INTEGER) AS step FROM nation"
+            for k in range(1, len(Q.ROAD_FLOW) + 1)
+        ),
+        "monitor_search": flow
+        + f"""SELECT monitor_id, string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) AS camera_ids,
+  CAST(count(*) AS BIGINT) AS car_count FROM flow WHERE date = '{Q.FIRST_DAY}'
+GROUP BY monitor_id HAVING bool_or(camera_id IN ({", ".join(f"'{c}'" for c in Q.CAMERAS.split(","))}))""",
+        "minute_log_versions": _with(FLOW, MINUTES)
+        + """
+SELECT day, camera_id, hhmm, speed_sum, n, 'last' AS at FROM minutes
+UNION ALL
+SELECT day, camera_id, hhmm, speed_sum, n + CASE WHEN hhmm >= '1200' THEN 1 ELSE 0 END, 'second' FROM minutes""",
+        "plate_lookup": flow + f"SELECT {DETAIL}, area_id FROM flow WHERE car IN ({cars})",
+        "camera_model_gates": _with(FLOW, MINUTES, SPLIT)
+        + """
+SELECT camera_id, CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test,
+  CASE WHEN accepted THEN CAST(n_test AS BIGINT) END AS hits, accepted,
+  CASE WHEN accepted THEN CAST(n_train + n_test AS BIGINT) END AS "right" FROM gates""",
+        "job_monitor_state": _with(FLOW, REGISTRY, TASK_FLOW, f" status AS ({STATUS_OF_TASK})")
+        + f"""
+SELECT CAST({Q.TASK_ID} AS BIGINT) AS task_id, monitor_id, camera_count, observed_count, car_count, unseen_count, status,
+  (SELECT CAST(count(*) FILTER (status = 'normal') AS BIGINT) FROM status) AS normal_monitor_count,
+  (SELECT CAST(sum(camera_count - CASE WHEN status = 'normal' THEN 0 ELSE unseen_count END) AS BIGINT) FROM status) AS normal_camera_count,
+  (SELECT CAST(count(*) FILTER (status <> 'normal') AS BIGINT) FROM status) AS abnormal_monitor_count,
+  (SELECT CAST(sum(CASE WHEN status = 'normal' THEN 0 ELSE unseen_count END) AS BIGINT) FROM status) AS abnormal_camera_count
+FROM status""",
+        "job_topn_detail": _with(FLOW, REGISTRY, TASK_FLOW)
+        + f"""
+SELECT {DETAIL.removesuffix(", pass_id")} FROM task_flow WHERE monitor_id IN (SELECT monitor_id FROM (
+  SELECT monitor_id, count(*) AS n FROM task_flow SEMI JOIN registry USING (monitor_id)
+  GROUP BY 1 ORDER BY n DESC, monitor_id LIMIT {Q.TASK_ID}))""",
+        "job_top10_speed": _with(all_flow, task_only, SPEEDS)
+        + f"""
+SELECT {DETAIL.removesuffix(", pass_id")} FROM (
+  SELECT *, row_number() OVER (PARTITION BY monitor_id
+           ORDER BY speed DESC, action_time, car, camera_id, pass_id) AS rank
+  FROM flow WHERE monitor_id IN (SELECT monitor_id FROM ranked))
+WHERE rank <= 10""",
+        "job_extract_detail": _with(all_flow, task_only, SAMPLE)
+        + f"""
+SELECT {DETAIL.removesuffix(", pass_id")} FROM flow WHERE car IN (SELECT car FROM sample)""",
+        "job_range_cars": _with(all_flow, task_only, LAST_VISITS) + _range("visits", "car"),
         "hour_counts": sample
         + "SELECT date, hour, CAST(hour_cars AS BIGINT) AS hour_cars, day_cars FROM quotas",
         "hour_quotas": sample
@@ -345,10 +437,6 @@ FROM flow f JOIN sample s ON s.car = f.car""",
         "hour_sample_track": sample
         + """SELECT car, date, string_agg(monitor_id, ',' ORDER BY clock, pass_id) AS track
 FROM flow WHERE car IN (SELECT car FROM sample) GROUP BY car, date""",
-        "stream_congestion": _with(FLOW, _windows("monitor_id", 6))
-        + f"""
-SELECT {_text('start')} AS window_start, {_text('stop')} AS window_end, monitor_id, n AS car_count,
-  speed_sum, speed_sum::DOUBLE / n AS mean_speed FROM windows""",
         "stream_minute_store": _with(FLOW, _windows("camera_id", 2))
         + """
 SELECT day, camera_id, hhmm, arg_max(speed_sum, stop) AS speed_sum, arg_max(n, stop) AS n

@@ -83,3 +83,20 @@ def run_job(spark: SparkSession, job: Callable[[], Mapping[str, DataFrame]], bas
     """Run ``job``, write its tables and remove what it kept in the scratch folder."""
     with job_scratch(spark):
         write_all(job(), base, task_id)
+
+
+def write_monitor_state(
+    passes: DataFrame, registry: DataFrame, params: JobParams, base: str, skip_missing: bool = False
+) -> dict[str, int]:
+    """Write the status of every monitor and the network's totals, reading the passes once.
+
+    Tables ``monitor_status`` and ``network_state``. The unseen cameras are named in their
+    monitor's row, so no row grows with the registry. Returns the totals.
+    """
+    status = monitors.monitor_status(registry, _passes(passes, params))
+    rows, totals = monitors.observed_state(status, skip_missing)
+    write_result(rows, base, "monitor_status", params.task_id)
+    found = totals.get
+    state = passes.sparkSession.createDataFrame([found], ", ".join(f"{n} bigint" for n in monitors.STATE_COUNTS))
+    write_result(state, base, "network_state", params.task_id)
+    return found

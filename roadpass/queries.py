@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from roadpass import params
 from roadpass.functions import text as X
 from roadpass.functions import timekeys as K
-from roadpass.ml import features, model
+from roadpass.functions.sql import register
+from roadpass.ml import camera_models, features, model
 from roadpass.operators import (
     area,
     companions,
@@ -22,12 +23,14 @@ from roadpass.operators import (
     speed,
     tracks,
 )
+from roadpass.operators.skew import salted_aggregate
 from roadpass.plans import jobs
 from roadpass.schemas import DETAIL
 from roadpass.session import scratch_dir, stored
 from roadpass.sinks import tables as sinks
 from roadpass.sources import events, tables
 from roadpass.streaming import minute_store, parse, run, windows
+from roadpass.streaming.range_lists import RangeLists
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +41,7 @@ CARS = ("C00003", "C00007", "C00011")
 FIRST_DAY, LAST_DAY = "2024-01-05", "2024-01-20"
 SPEED_RANGE = (60, 120)
 MONITORS = "0001,0003,0005"
+CAMERAS = "00007,00021,00042"
 AREA_ID = "03"
 PREDICT_AT = ("20240115", "1230")
 # Streams arrive in one file for each period between these days.
@@ -156,9 +160,60 @@ def merged_histogram(spark, sf):
     return histogram.group_concat_counts(partial, ["area_id"], "infos", "monitor_infos", "car_count")
 
 
+@query
+def sketch_salted_areas(spark, sf):
+    """Counts, a maximum and a set of cars per area, salted where a sketch finds many rows."""
+    merged = {
+        "pass_count": (F.count("*"), F.sum),
+        "max_speed": (F.max("speed"), F.max),
+        "cars": (F.collect_set("car"), lambda name: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))), ",")),
+    }
+    return salted_aggregate(events.passes(spark, sf), ["area_id"], ["pass_id"], merged, target_rows=200)
+
+
+AREA_TOP3_SQL = """
+WITH counts AS (
+  SELECT area_id, road_id, monitor_id, count(*) AS n FROM roadpass_passes GROUP BY area_id, road_id, monitor_id
+),
+roads AS (
+  SELECT area_id, road_id, sum(n) AS car_count,
+         counted_histogram(collect_list(named_struct('value', monitor_id, 'n', n))) AS monitor_infos
+  FROM counts JOIN roadpass_areas USING (area_id) GROUP BY area_id, road_id
+)
+SELECT area_id, road_id, car_count, monitor_infos, flow_level(car_count) AS flow_level FROM (
+  SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY car_count DESC, road_id) AS place FROM roads
+) WHERE place <= 3
+"""
+
+
+@query
+def area_top3_sql(spark, sf):
+    """The busiest roads as one SQL text."""
+    register(spark)
+    events.passes(spark, sf).createOrReplaceTempView("roadpass_passes")
+    events.areas(spark, sf).createOrReplaceTempView("roadpass_areas")
+    return spark.sql(AREA_TOP3_SQL)
+
+
+@query
+def flow_prefixes_sql(spark, sf):
+    """The beginnings of each task's monitor sequence, by a table function."""
+    register(spark)
+    found = F.get_json_object("task_param", "$.roadFlow[0]").alias("road_flow")
+    _tasks(spark, sf).select("task_id", found).createOrReplaceTempView("roadpass_task_flows")
+    return spark.sql("SELECT task_id, p.prefix AS flow, p.step FROM roadpass_task_flows, LATERAL prefix_rows(road_flow) p")
+
+
 # Monitors
 
 
+@query
+def monitor_search(spark, sf):
+    """Monitors that have one of the wanted cameras in their list of cameras."""
+    found = filters.search(monitors.monitor_rollup(events.passes(spark, sf, FIRST_DAY, FIRST_DAY)), shared={"camera_ids": CAMERAS})
+    return found.select("monitor_id", "camera_ids", "car_count")
+
+
 @query
 def monitor_rollup(spark, sf):
     return monitors.monitor_rollup(events.passes(spark, sf))
@@ -286,6 +341,48 @@ def companion_encounters(spark, sf):
     return companions.encounters(events.passes(spark, sf))
 
 
+@query
+def network_companions(spark, sf):
+    """Pairs of cars with at least three common entries at two or more monitors."""
+    return companions.network_companions(events.passes(spark, sf))
+
+
+@query
+def network_companions_twice(spark, sf):
+    return companions.network_companions(events.passes(spark, sf), least=2, monitors=2)
+
+
+def _with_unread(spark: SparkSession, sf: str) -> DataFrame:
+    """Passes, every seventh of which lost its plate."""
+    lost = F.col("pass_id") % 7 == 0
+    text = F.when(F.col("pass_id") % 2 == 0, "unknown").when(F.col("pass_id") % 3 == 0, " ")
+    return events.passes(spark, sf).withColumn("car", F.when(lost, text).otherwise(F.col("car")))
+
+
+@query
+def readable_car_track(spark, sf):
+    return tracks.car_tracks(filters.readable_plates(_with_unread(spark, sf)))
+
+
+@query
+def unread_passes(spark, sf):
+    return filters.unread_passes(_with_unread(spark, sf))
+
+
+@query
+def range_cars_incremental(spark, sf):
+    """Range lists kept up to date over four increments, the last one repeated."""
+    lists = RangeLists(spark, scratch_dir(spark, "range-lists"))
+    rows = events.passes(spark, sf)
+    starts, ends = (None, *STREAM_DAYS), (*STREAM_DAYS, None)
+    # The third period comes after the fourth, so that passes arrive out of order too.
+    for k, at in enumerate((0, 1, 3, 2, 2)):
+        part = rows if starts[at] is None else rows.where(F.col("date") >= starts[at])
+        part = part if ends[at] is None else part.where(F.col("date") < ends[at])
+        lists.add(part, min(k, 3))
+    return lists.read()
+
+
 # Sampling
 
 
@@ -347,6 +444,28 @@ def stream_congestion(spark, sf):
     return run.latest(batches, ["window_start", "window_end", "monitor_id"])
 
 
+@query
+def stream_congestion_panes(spark, sf):
+    """The same windows, from ten-second panes."""
+    base = scratch_dir(spark, "congestion-panes")
+    readings = parse.parse_readings(_lines(spark, sf, base), key_at=1, speed_at=5, time_at=4)
+    run.finish(windows.start_congestion_panes(readings, base, f"{base}/checkpoint"))
+    schema = windows.congestion(readings).schema
+    return run.latest(run.read_batches(spark, f"{base}/out", schema), ["window_start", "window_end", "monitor_id"])
+
+
+@query
+def stream_congestion_restarted(spark, sf):
+    """The same windows by a query that is stopped between batches and started again."""
+    base = scratch_dir(spark, "congestion-restarted")
+    readings = parse.parse_readings(_lines(spark, sf, base), key_at=1, speed_at=5, time_at=4)
+    stream = windows.congestion(readings)
+    place = f"{base}/out", f"{base}/checkpoint"
+    run.stop_after(run.start_updates(stream, *place, trigger={"processingTime": "0 seconds"}), 2)
+    run.finish(run.start_updates(stream, *place))
+    return run.latest(run.read_batches(spark, f"{base}/out", stream.schema), ["window_start", "window_end", "monitor_id"])
+
+
 @query
 def stream_minute_store(spark, sf):
     """Camera windows merged into the minute store batch by batch, and read back."""
@@ -354,7 +473,25 @@ def stream_minute_store(spark, sf):
     readings = parse.parse_readings(_lines(spark, sf, base), key_at=2, speed_at=5, time_at=4)
     stream = windows.camera_windows(readings)
     run.finish(minute_store.start_minute_store(stream, f"{base}/store", f"{base}/checkpoint"))
-    return tables.read_minute_speed(spark, f"{base}/store")
+    return minute_store.read_minute_log(spark, f"{base}/store")
+
+
+@query
+def minute_log_versions(spark, sf):
+    """The minute store as a log: three batches, a replay of the second, a merge of all
+    deltas; rows of the last version and of the one before the third batch."""
+    log = minute_store.minute_log(spark, scratch_dir(spark, "minute-log"))
+    minutes = minute_speed(spark, sf).withColumn("window_end", F.concat("day", "hhmm"))
+    late = F.col("hhmm") >= "1200"
+    stale = minutes.where(late).withColumn("n", F.col("n") + 1)
+    minute_store.add_windows(log, minutes.where(~late), 0)
+    second = minute_store.add_windows(log, stale, 1)
+    minute_store.add_windows(log, minutes.where(late), 2)
+    minute_store.add_windows(log, stale, 1)
+    log.compact(fan_in=3)
+    keys = [*minute_store.KEYS, "speed_sum", "n"]
+    now = log.read().select(*keys, F.lit("last").alias("at"))
+    return now.unionByName(log.read(second).select(*keys, F.lit("second").alias("at")))
 
 
 @query
@@ -438,9 +575,51 @@ def speed_class_predictions(spark, sf):
     )
 
 
+PLANTED_CLASSES, NOISY = 2, 5
+
+
+def _planted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature rows with a class that can be learnt from one of two features, which of them
+    depends on the camera; every fifth camera's classes come from nowhere."""
+
+    def drawn(word: str):
+        digit = F.substring(F.md5(F.concat_ws("|", F.lit(word), "camera_id", "day", "hhmm")), 1, 1)
+        return F.pmod(F.conv(digit, 16, 10).cast("int"), F.lit(PLANTED_CLASSES))
+
+    camera = F.col("camera_id").cast("int")
+    shown = F.pmod(drawn("plant") + camera, F.lit(PLANTED_CLASSES))
+    label = F.when(camera % NOISY == 0, drawn("noise")).otherwise(drawn("plant"))
+    marked = F.transform("features", lambda v, j: v / 10 + F.when(j == shown, 200.0).otherwise(0.0))
+    rows = _feature_rows(spark, sf).withColumn("marked", marked)
+    return rows.select("camera_id", "day", "hhmm", F.col("marked").alias("features"), label.cast("double").alias("label"))
+
+
+@query
+def camera_model_gates(spark, sf):
+    """One model for each camera, trained at once: test rows and the gate; for accepted models
+    the test rows classified right, and those of all rows by the models stored and loaded."""
+    base = scratch_dir(spark, "camera-models")
+    rows = stored(_planted_rows(spark, sf), "planted")
+    trained = stored(camera_models.train_all(rows, FEATURES, PLANTED_CLASSES), "trained")
+    camera_models.save_accepted(trained, base, "v1")
+    loaded = camera_models.load_accepted(spark, base, "v1")
+    scored = camera_models.predicted(loaded, rows, FEATURES, PLANTED_CLASSES).where("prediction is not null")
+    right = scored.groupBy("camera_id").agg(F.count_if(F.col("prediction") == F.col("label")).alias("right"))
+    hits = F.when(F.col("accepted"), F.col("hits")).alias("hits")
+    return trained.join(right, "camera_id", "left").select("camera_id", "n_train", "n_test", hits, "accepted", "right")
+
+
 # Sources and sinks: written, and read back
 
 
+@query
+def plate_lookup(spark, sf):
+    """Three plates looked up in stored passes that are clustered by plate."""
+    path = scratch_dir(spark, "plates")
+    sinks.write_passes(events.passes(spark, sf), path, by_car=True)
+    return filters.for_cars(tables.read_passes(spark, path), CARS).select(*DETAIL, "area_id", "pass_id")
+
+
 @query
 def pass_log_round_trip(spark, sf):
     """A text log with quote marks in plates and empty fields."""
@@ -529,6 +708,50 @@ def job_monitor_flow(spark, sf):
     )
 
 
+@query
+def job_monitor_state(spark, sf):
+    """Status rows and totals, written in one pass over the task's passes and read back."""
+    found = params.from_task(_tasks(spark, sf), TASK_ID)
+    base = scratch_dir(spark, "results")
+    jobs.write_monitor_state(events.passes(spark, sf), events.registry(spark, sf), found, base)
+    status, state = (spark.read.parquet(f"{base}/{t}") for t in ("monitor_status", "network_state"))
+    return status.drop("unseen_cameras").join(state, "task_id").withColumn("task_id", F.col("task_id").cast("bigint"))
+
+
+@query
+def job_topn_detail(spark, sf):
+    def job(rows, found):
+        return jobs.monitor_flow(rows, events.registry(spark, sf), found)
+
+    (detail,) = _job_tables(spark, sf, job, "topn_monitor_detail_info")
+    return _dated(detail).select(*DETAIL)
+
+
+@query
+def job_top10_speed(spark, sf):
+    def job(rows, found):
+        return jobs.monitor_flow(rows, events.registry(spark, sf), found)
+
+    (detail,) = _job_tables(spark, sf, job, "top10_speed_detail")
+    return _dated(detail).select(*DETAIL)
+
+
+@query
+def job_extract_detail(spark, sf):
+    (detail,) = _job_tables(spark, sf, jobs.random_extract, "random_extract_car_detail_info")
+    return _dated(detail).select(*DETAIL)
+
+
+@query
+def job_range_cars(spark, sf):
+    (found,) = _job_tables(spark, sf, jobs.with_the_car, "monitor_range_time_car")
+    return found.select("monitor_id", "range_time", "cars")
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("date", F.col("date").cast("string"))
+
+
 @query
 def job_random_extract(spark, sf):
     (cars,) = _job_tables(spark, sf, jobs.random_extract, "random_extract_car")

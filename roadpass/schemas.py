@@ -58,6 +58,23 @@ OUTPUTS = {
         "abnormal_camera_count",
         "abnormal_monitor_camera_infos",
     ),
+    "monitor_status": (
+        "task_id",
+        "monitor_id",
+        "camera_count",
+        "observed_count",
+        "car_count",
+        "unseen_count",
+        "unseen_cameras",
+        "status",
+    ),
+    "network_state": (
+        "task_id",
+        "normal_monitor_count",
+        "normal_camera_count",
+        "abnormal_monitor_count",
+        "abnormal_camera_count",
+    ),
     "abnormal_camera": ("task_id", "monitor_id", "camera_id"),
     "top10_speed_detail": ("task_id", *DETAIL),
     "random_extract_car": ("task_id", "car", "date", "date_hour"),

@@ -37,11 +37,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     For results that several later steps use: the work is done once, later plans know
-    the real size, and a lost executor costs a re-read.
+    the real size, and a lost executor costs a re-read. ``scratch_path`` of the result names
+    the folder, for ``release``.
     """
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
 def release(spark: SparkSession, *paths: str) -> None:

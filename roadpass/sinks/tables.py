@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadpass import schemas
 from roadpass.schemas import OUTPUTS
-from roadpass.session import stored
+from roadpass.session import release, stored
 
 
 def shaped(df: DataFrame, table: str, task_id: int) -> DataFrame:
@@ -35,26 +35,36 @@ def _stored_at(spark: SparkSession, path: str, schema, column: str, values: Data
     return table.join(values.select(column).distinct(), column, "left_semi").select(*table.columns)
 
 
-def write_passes(passes: DataFrame, path: str, replace: bool = False) -> None:
+# Rows of a row group that plate lookups skip or read as a whole, about, and its plates.
+PLATES_A_GROUP = 50_000
+
+
+def write_passes(passes: DataFrame, path: str, replace: bool = False, by_car: bool = False, group_bytes: int | None = None) -> None:
     """Store typed passes by ``date``.
 
     Dates that are stored already are refused, since a part of a date would erase the
     rest; ``replace`` says that the frame holds its dates whole, ``add_passes`` is for late
     ones. Date ranges prune folders. The rebalance lets adaptive execution split the files
     of a crowded date and merge those of a quiet one.
+
+    ``by_car`` serves plate lookups: files of a date hold ranges of plates, so a lookup opens
+    few of them, and row groups (of ``group_bytes``, Parquet's own default if None) carry a Bloom
+    filter of their plates, which rules out those whose range covers a plate without holding it.
     """
     spark = passes.sparkSession
     if not replace:
         old = _stored_at(spark, path, schemas.PASSES, "date", passes).select("date").first()
         if old is not None:
             raise ValueError(f"passes of {old.date} are stored already; use replace=True or add_passes")
-    (
-        passes.hint("rebalance", "date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("date")
-        .parquet(path)
-    )
+    dealt = passes.hint("rebalance", "date")
+    if by_car:
+        dealt = passes.repartitionByRange("date", "car").sortWithinPartitions("date", "car")
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date")
+    if by_car:
+        writer.option("parquet.bloom.filter.enabled#car", "true").option("parquet.bloom.filter.expected.ndv#car", str(PLATES_A_GROUP))
+        if group_bytes:
+            writer.option("parquet.block.size", str(group_bytes))
+    writer.parquet(path)
 
 
 def add_passes(passes: DataFrame, path: str) -> None:
@@ -65,6 +75,7 @@ def add_passes(passes: DataFrame, path: str) -> None:
     # Written elsewhere first: a table cannot be read and overwritten by one query.
     whole = stored(old.select(*schemas.PASSES.names).unionByName(new.select(*schemas.PASSES.names)), "passes")
     write_passes(whole, path, replace=True)
+    release(passes.sparkSession, whole.scratch_path)
 
 
 def jdbc_write_options(
@@ -117,6 +128,7 @@ def upsert_minute_speed(minutes: DataFrame, path: str) -> None:
         .partitionBy("day")
         .parquet(path)
     )
+    release(minutes.sparkSession, merged.scratch_path)
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpass.functions import timekeys as K
-from roadpass.schemas import MINUTE_KEYS
-from roadpass.sinks.tables import upsert_minute_speed
+from roadpass.schemas import MINUTE_KEYS, MINUTE_SPEED
+from roadpass.sinks.keyed_log import KeyedLog
 from roadpass.streaming.run import latest, start
 
 KEYS = MINUTE_KEYS
@@ -21,17 +21,34 @@ def minute_store(batches: DataFrame) -> DataFrame:
     return rows.where(F.col("n") > 0).select(*KEYS, "speed_sum", "n")
 
 
+def minute_log(spark: SparkSession, path: str) -> KeyedLog:
+    """The store as a log: each micro-batch adds its own rows, ``read_minute_log`` merges."""
+    return KeyedLog(spark, path, MINUTE_SPEED, KEYS, ["window_end", "batch_id"], partition=["day"])
+
+
+def read_minute_log(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(day, camera_id, hhmm, speed_sum, n) at a version of the log, the last one by default."""
+    return minute_log(spark, path).read(version).select(*KEYS, "speed_sum", "n")
+
+
+def add_windows(log: KeyedLog, batch: DataFrame, batch_id: int, writer: str = "stream") -> int:
+    """Add the camera windows of a micro-batch; returns the version that holds them."""
+    numbered = batch.where(F.col("n") > 0).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    return log.append(numbered.hint("rebalance", "day"), writer, batch_id)
+
+
 def start_minute_store(
     windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Merge the camera windows of every micro-batch into the store. A batch that is
-    replayed after a failure changes nothing."""
+    """Add the camera windows of every micro-batch to the log below ``path`` and merge its
+    small deltas. A batch that is replayed after a failure changes nothing."""
+    log = minute_log(windows.sparkSession, path)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.where(F.col("n") > 0).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        upsert_minute_speed(numbered, path)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        add_windows(log, batch, batch_id)
+        log.compact()
 
-    return start(windows, merge, checkpoint, "update", trigger or {"availableNow": True})
+    return start(windows, add, checkpoint, "update", trigger or {"availableNow": True})
 
 
 def minute_speed(passes: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from roadpass import schemas
 from roadpass.session import ROCKSDB_PROVIDER, scratch_dir
 from roadpass.sinks import tables as sinks
 from roadpass.sources import tables
@@ -132,15 +131,28 @@ def test_minute_store_is_merged_batch_by_batch(spark, feed, tmp_path):
         last[(end[:10].replace("-", ""), camera, end[11:13] + end[14:16])] = value
 
     def stored():
-        rows = tables.read_minute_speed(spark, path).collect()
+        rows = minute_store.read_minute_log(spark, path).collect()
         assert len(rows) == len(last)
         return {(r.day, r.camera_id, r.hhmm): (r.speed_sum, r.n) for r in rows}
 
     assert stored() == last
-    # A replayed batch of stale windows changes nothing.
-    stale = spark.read.schema(schemas.MINUTE_SPEED).parquet(path).withColumn("n", F.lit(99)).withColumn("window_end", F.lit("2000"))
-    sinks.upsert_minute_speed(stale, path)
-    assert stored() == last
+    # Neither stale windows nor a replayed batch change anything.
+    log = minute_store.minute_log(spark, path)
+    stale = log.read().withColumn("n", F.lit(99))
+    minute_store.add_windows(log, stale.withColumn("window_end", F.lit("2000")), 50)
+    versions = log.versions()
+    minute_store.add_windows(log, stale, 2)
+    assert stored() == last and log.versions() == versions
+
+
+def test_upsert_keeps_the_latest_window(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [("20240101", "k1", "0101", 5, 1, "2024-01-01 01:01:20"), ("20240101", "k2", "0101", 7, 2, "2024-01-01 01:01:20")]
+    fresh = spark.createDataFrame(rows, "day string, camera_id string, hhmm string, speed_sum bigint, n bigint, window_end string")
+    sinks.upsert_minute_speed(fresh, path)
+    sinks.upsert_minute_speed(fresh.withColumn("n", F.lit(99).cast("bigint")).withColumn("window_end", F.lit("2000")), path)
+    got = {(r.day, r.camera_id, r.hhmm, r.speed_sum, r.n) for r in tables.read_minute_speed(spark, path).collect()}
+    assert got == {r[:5] for r in rows}
 
 
 def test_dropped_rows_are_reported(spark, feed, tmp_path):
@@ -156,6 +168,65 @@ def test_dropped_rows_are_reported(spark, feed, tmp_path):
         run.finish(run.start_updates(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
 
 
+def test_early_drops_are_remembered(spark, feed, tmp_path):
+    """The query itself keeps two reports here; the late row falls into the third of eight batches."""
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        folder, add = feed
+        for k, seconds in enumerate([5000, 6000, 1, *range(7000, 12000, 1000)]):
+            add([line("c", "m", "k", seconds, 50)])
+            os.utime(f"{folder}/{k:04d}.txt", (1_700_000_000 + 60 * k,) * 2)
+        stream = windows.camera_windows(readings(spark, folder, 2))
+        with pytest.raises(RuntimeError, match="2 late rows|late rows"):
+            run.finish(run.start_updates(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_panes_equal_windows_and_hold_a_sixth_of_the_state(spark, feed, tmp_path):
+    folder, add = feed
+    # One pass a minute and monitor at most, so that windows share no panes.
+    everything = [line("c", f"m{k % 2}", "k", 60 * k, 10 + k) for k in range(40)]
+    for i in range(3):
+        add(everything[i::3])
+    keys = ["window_start", "window_end", "monitor_id"]
+    found, state = {}, {}
+    for kind in ("windows", "panes"):
+        base = str(tmp_path / kind)
+        rows = readings(spark, folder, 1)
+        if kind == "windows":
+            query = run.start_updates(windows.congestion(rows, "2 hours"), f"{base}/out", f"{base}/checkpoint")
+        else:
+            query = windows.start_congestion_panes(rows, base, f"{base}/checkpoint", "2 hours")
+        run.finish(query)
+        batches = run.read_batches(spark, f"{base}/out", windows.congestion(rows).schema)
+        found[kind] = sorted(map(tuple, run.latest(batches, keys).collect()))
+        state[kind] = run.state_table(spark, f"{base}/checkpoint").count()
+    assert found["panes"] == found["windows"] and len(found["panes"]) == 240
+    assert state == {"windows": 240, "panes": 40}
+
+
+def test_a_stopped_query_goes_on_from_its_checkpoint(spark, feed, tmp_path):
+    folder, add = feed
+    everything = lines_of(80, seed=5)
+    for i in range(4):
+        add(everything[i::4])
+    base = str(tmp_path)
+    stream = windows.congestion(readings(spark, folder, 1), watermark="20 minutes")
+    query = run.start_updates(stream, f"{base}/out", f"{base}/checkpoint", {"processingTime": "0 seconds"})
+    run.stop_after(query, 2)
+    assert not query.isActive
+    kept = run.state_table(spark, f"{base}/checkpoint").count()
+    first = run.read_batches(spark, f"{base}/out", stream.schema).select("batch_id").distinct().count()
+    assert kept > 0 and first >= 2
+    run.finish(run.start_updates(stream, f"{base}/out", f"{base}/checkpoint"))
+    batches = run.read_batches(spark, f"{base}/out", stream.schema)
+    got = {(r.window_start, r.monitor_id): (r.speed_sum, r.car_count) for r in run.latest(batches, ["window_start", "window_end", "monitor_id"]).collect()}
+    assert got == {(stamp(s), m): v for (s, m), v in expected(everything, 1, 60).items()}
+
+
 def test_malformed_lines_give_no_reading(spark):
     rows = [("a\tm\tk\tc\tnot a time\t5",), ("short",), ("d\tm\tk\tc\t2024-01-01 24:00:01\tx",)]
     lines = spark.createDataFrame(rows + [("d\tm\tk\tc\t2024-01-01 24:00:01\t7",)], "value string")
@@ -193,7 +264,7 @@ def test_watch_list_is_read_again_for_every_batch(spark, feed, tmp_path):
 
 def test_replayed_batch_replaces_its_output(spark):
     base = scratch_dir(spark, "replay")
-    write = run._write_batch(base)
+    write = run.write_batch(base)
     df = spark.range(3)
     write(df, 0)
     write(df, 0)
