@@ -1,23 +1,27 @@
 """Language-model scores of texts by online logistic context mixing.
 
-Texts are lower-cased (A to Z) and read as words and one end each. The model
-(``context_mixing``) spells words bit by bit; all its contexts lie in the word, so a word's
-probability does not depend on where it stands and is computed once per different word.
-
-1. Texts are cut into blocks. A block stores its texts as numbers of its own words, and its
-   words with their training counts. Word counts of all blocks are summed up: this
-   vocabulary grows with the corpus.
-2. Different words, sorted and dealt by range, give the counts of every context's next
-   bytes; the counts of all decisions are summed into tables of a fixed width.
-3. Every range of words trains mixing weights online, weighted by training counts; the
+Texts are lower-cased (A to Z) and read as words and one end each. Three models meet in every
+token: the two words before (``word_contexts``), whose tables grow with the corpus; the
+word's frequency; and its spelling, bit by bit (``context_mixing``), computed once per
+different word, since its contexts lie in the word.
+
+1. Texts are cut into blocks. A block stores its texts as numbers of its own words, its
+   words with their training counts, and its different pairs of context and word. Word
+   counts of all blocks are summed up: this vocabulary grows with the corpus.
+2. Pairs meet in parts by their context; parts learn gated weights online and send each
+   block its predictions.
+3. Different words, sorted and dealt by range, give the counts of every spelling context's
+   next bytes; the counts of all decisions are summed into hashed tables.
+4. Every range of words trains mixing weights online, weighted by training counts; the
    ranges' weights are averaged by the occurrences they saw.
-4. Every different word is scored; blocks fetch counts and scores of their own words and
-   add them up per text.
+5. Every different word is scored; blocks fetch counts, spellings and predictions, mix them
+   token by token and add them up per text.
 
 ``score`` uses the alphabet of ``base_score``: training words, the end, and one symbol for
 all other words. The share of other words is what the training words that occur once show
 (removing one such occurrence makes it an unknown word); the spelled probabilities of
-training words are divided by their sum. ``bits_per_byte`` spells unknown words instead.
+training words are divided by their sum and averaged with the words' frequencies
+(``PLAIN`` is the latter's share). ``bits_per_byte`` spells unknown words instead.
 
 Edge cases: a null text is empty and scores its end; a null ``doc_id`` is not held out;
 repeated rows count each; without training texts every token is unknown; an empty table
@@ -32,22 +36,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpass.llm import context_mixing as M
+from roadpass.llm import word_contexts as C
 from roadpass.llm.scratch import release, stored
 from roadpass.llm.words import Words, slices
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 12 << 20
+PLAIN = 0.7
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 
 _BLOCK = (
     "block long, place int, hash long, word binary, count long,"
-    " doc_id array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary"
+    " doc_id array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary,"
+    " order binary, part int, pairs binary, counts binary"
 )
 
 
@@ -55,8 +61,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    blocks = stored(texts.mapInArrow(_blocks, _BLOCK), "text-blocks")
-    # Words of a block have a place from 0; the row of its texts has place -1.
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = stored(texts.mapInArrow(_blocks(max(8, -(-size // C.PART_BYTES))), _BLOCK), "text-blocks")
+    pairs = blocks.where("place = -2").select(*(f.split()[0] for f in C.PAIRS.split(", ")))
+    predicted = stored(C.predictions(pairs), "word-predictions")
+    # Words of a block have a place from 0; the row of its texts has place -1, pairs have -2.
     words = blocks.where("place >= 0")
     vocabulary = stored(
         words.select("hash", "word", "count")
@@ -86,9 +95,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
         words.select("block", "place", "hash").join(scored, "hash").select("block", "place", "count", "spelled"), "block-scores"
     )
     release(scored)
-    parts = blocks.where("place < 0").select("block", "doc_id", "held_out", "sizes", "bytes", "tokens")
-    finish = _finish(facts["tokens"], facts["words"], math.log10(unknown), math.log10(max(1e-300, 1 - unknown)) - math.log10(total))
-    return parts.groupBy("block").cogroup(lookup.groupBy("block")).applyInArrow(
+    parts = blocks.where("place = -1").select("block", "doc_id", "held_out", "sizes", "bytes", "tokens", "order")
+    learnt = predicted.where("block is null").groupBy("place").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    # As many rows as the gates have weights.
+    gated = C.blank().ravel()
+    for r in learnt.collect():
+        gated[r["place"]] = r["value"] / r["seen"]
+    finish = _finish(
+        facts["tokens"], facts["words"], unknown, math.log10(max(1e-300, 1 - unknown)) - math.log10(total), gated.reshape(C.GATES, C.INPUTS)
+    )
+    fetched = lookup.unionByName(
+        predicted.where("block is not null").select("block", "part", "gate", "evidence", "frequency"), allowMissingColumns=True
+    )
+    return parts.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(
         finish,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
         " base_score double, score double, bits_per_byte double",
@@ -99,55 +118,58 @@ def spark_broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(parts: int):
     names = [f.split()[0] for f in _BLOCK.split(", ")]
-    number = TaskContext.get().partitionId() << 24
-    for part in slices(batches, limit=BLOCK_BYTES):
-        texts = Words(part.column("text"), lower=True)
-        hashes = texts.hashes()
-        unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        # Frequent words get small numbers, which pack well.
-        order = np.argsort(-often, kind="stable")
-        unique, first = unique[order], first[order]
-        number_of = np.empty(len(order), np.int32)
-        number_of[order] = np.arange(len(order))
-        tokens = number_of[tokens]
-        held = part.column("held_out").to_numpy(zero_copy_only=False)
-        training = np.bincount(tokens, ~held[texts.rows], len(unique)).astype(np.int64)
-        view = texts.data.tobytes()
-        words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
-        # The end of a text is a word without bytes.
-        words.append(b"")
-        unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
-        n = len(words)
-        empty = [pa.nulls(n, t) for t in (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())]
-        yield pa.record_batch(
-            [
-                pa.array(np.full(n, number)),
-                pa.array(np.arange(n, dtype=np.int32)),
-                pa.array(unique.view(np.int64)),
-                pa.array(words, pa.binary()),
-                pa.array(training),
-                *empty,
-            ],
-            names,
-        )
-        yield pa.record_batch(
-            [
-                pa.array([number]),
-                pa.array([-1], pa.int32()),
-                pa.nulls(1, pa.int64()),
-                pa.nulls(1, pa.binary()),
-                pa.nulls(1, pa.int64()),
-                pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([held.tolist()], pa.list_(pa.bool_())),
-                pa.array([texts.counts.tolist()], pa.list_(pa.int32())),
-                pa.array([np.diff(texts.offsets).tolist()], pa.list_(pa.int64())),
-                pa.array([zstandard.compress(tokens.tobytes(), 1)], pa.binary()),
-            ],
+    kinds = dict(
+        zip(
             names,
+            [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
+             pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()],
+            strict=True,
         )
-        number += 1
+    )
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(n, kinds[c]) for c in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        for part in slices(batches, limit=BLOCK_BYTES):
+            texts = Words(part.column("text"), lower=True)
+            hashes = texts.hashes()
+            unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            # Frequent words get small numbers, which pack well.
+            order = np.argsort(-often, kind="stable")
+            unique, first = unique[order], first[order]
+            number_of = np.empty(len(order), np.int32)
+            number_of[order] = np.arange(len(order))
+            tokens = number_of[tokens]
+            held = part.column("held_out").to_numpy(zero_copy_only=False)
+            training = np.bincount(tokens, ~held[texts.rows], len(unique)).astype(np.int64)
+            view = texts.data.tobytes()
+            words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
+            # The end of a text is a word without bytes.
+            words.append(b"")
+            unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
+            n = len(words)
+            yield rows(n, block=np.full(n, number), place=np.arange(n, dtype=np.int32), hash=unique.view(np.int64), word=words, count=training)
+            pairs, place = C.block_pairs(number, *C.sequence(texts, hashes, END_HASH), (~held).astype(float), parts)
+            yield rows(
+                1,
+                block=[number],
+                place=[-1],
+                doc_id=[part.column("doc_id").to_pylist()],
+                held_out=[held.tolist()],
+                sizes=[texts.counts.tolist()],
+                bytes=[np.diff(texts.offsets).tolist()],
+                tokens=[C.pack(tokens)],
+                order=[C.pack(place)],
+            )
+            blocks, dealt, packed, counts = zip(*pairs, strict=True)
+            yield rows(len(pairs), block=blocks, place=[-2] * len(pairs), part=dealt, pairs=packed, counts=counts)
+            number += 1
+
+    return run
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, pa.RecordBatch]]:
@@ -262,21 +284,33 @@ def _score_words(table, weights: np.ndarray, refine: np.ndarray):
     return run
 
 
-def _finish(tokens: int, distinct: int, unknown: float, scale: float):
-    def run(texts, lookup):
-        place = lookup.column("place").to_numpy()
-        count, spelled = np.zeros(len(place), np.int64), np.zeros(len(place))
-        count[place], spelled[place] = lookup.column("count").to_numpy(), lookup.column("spelled").to_numpy()
+def _finish(tokens: int, distinct: int, unknown: float, scale: float, gated: np.ndarray):
+    def run(texts, fetched):
+        fetched = fetched.to_pylist()
+        lookup = [r for r in fetched if r["place"] is not None]
+        count, spelled = np.zeros(len(lookup), np.int64), np.zeros(len(lookup))
+        for r in lookup:
+            count[r["place"]], spelled[r["place"]] = r["count"], r["spelled"]
         known = count > 0
         base = np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        closed = np.where(known, spelled + scale, unknown)
+        mixed = PLAIN * (1 - unknown) * count / max(tokens, 1) + (1 - PLAIN) * 10.0 ** np.where(known, spelled + scale, -np.inf)
+        closed, letters = np.where(known, mixed, unknown), 10.0**spelled
+        follows, frequency = C.shares([r for r in fetched if r["place"] is None], gated)
         out = []
         for row in texts.to_pylist():
-            number = np.frombuffer(zstandard.decompress(row["tokens"]), np.int32)
             sizes = np.array(row["sizes"], np.int64)
-            owner, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
-            # The end is the block's last word.
-            sums = [np.bincount(owner, v[number], n) + v[-1] for v in (known, base, closed, spelled)]
+            n = len(sizes)
+            owner = np.repeat(np.arange(n), sizes + 1)
+            # An end, the block's last word, stands after the words of each text.
+            number = np.full(len(owner), len(lookup) - 1, np.int64)
+            inside = np.ones(len(owner), bool)
+            inside[np.cumsum(sizes + 1) - 1] = False
+            number[inside] = C.unpack(row["tokens"], np.int32)
+            at = C.unpack(row["order"], np.int32)
+            p, seen = follows[at], follows[at] * frequency[at]
+            score = np.log10(seen + (1 - p) * closed[number])
+            bits = np.log10(seen + (1 - p) * letters[number])
+            sums = [np.bincount(owner, v, n) for v in (known[number], base[number], score, bits)]
             # A space or the end follows each word in the spelling.
             length = np.array(row["bytes"], np.int64) + 1
             out.append(
