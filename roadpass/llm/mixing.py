@@ -207,4 +207,6 @@ def solve(summary: DataFrame) -> DataFrame:
         worst = moved.agg(F.max(F.abs("gap") / F.greatest("target", F.lit(1.0)))).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"targets missed by {worst} of their size after {MAX_ITERATIONS} steps")
     return state.select("source_no", "tilt", "unit", "full")

@@ -15,7 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from roadpass.llm import lm, mixing, near_dup, packing, pii, quality, substring_dedup
+from roadpass.llm import lm, mixing, near_dup, packing, pii, quality, substring_dedup, word_contexts
 from tests.llm.samples import documents, texts, words
 
 
@@ -306,6 +306,74 @@ def test_language_model_counts_and_beats_single_words(spark):
     assert all(r.score < 0 and r.bits_per_byte > 0 for r in rows)
 
 
+def held_out_ids(held, n):
+    return [i for i in range(10_000) if (zlib.crc32(str(i).encode()) % 5 == 1) == held][:n]
+
+
+def test_word_order_matters_to_the_language_model(spark):
+    """Texts of the same words in their usual and in another order."""
+    rng = random.Random(3)
+    phrases = [[f"w{rng.randrange(60)}" for _ in range(6)] for _ in range(12)]
+
+    def text():
+        return [w for _ in range(8) for w in rng.choice(phrases)]
+
+    rows = [(i, " ".join(text()), "s") for i in held_out_ids(False, 60)]
+    usual = [text() for _ in range(5)]
+    ids = held_out_ids(True, 10)
+    rows += [(i, " ".join(w), "s") for i, w in zip(ids, usual, strict=False)]
+    rows += [(i, " ".join(rng.sample(w, len(w))), "s") for i, w in zip(ids[5:], usual, strict=True)]
+    got = {r.doc_id: r for r in lm.score_texts(documents(spark, rows)).collect()}
+    for a, b in zip(ids[:5], ids[5:], strict=True):
+        assert got[a].base_score == pytest.approx(got[b].base_score) and got[a].score > got[b].score + 20
+        assert got[a].bits_per_byte < got[b].bits_per_byte
+
+
+def test_language_model_beats_word_frequencies_by_half_a_digit(spark):
+    """Held-out texts of a whole table, against c / N with the same mass for unknown words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train, held = collections.Counter(), []
+    for r in docs.select("doc_id", "text").collect():
+        w = words(r.text, lower=True) + [b""]
+        if zlib.crc32(str(r.doc_id).encode()) % 5 == 1:
+            held.append(w)
+        else:
+            train.update(w)
+    n, once = sum(train.values()), sum(c == 1 for c in train.values())
+    unknown, tokens = once / n, sum(map(len, held))
+    plain = sum(math.log10((1 - unknown) * train[x] / n if train[x] else unknown) for w in held for x in w) / tokens
+    got = lm.score_texts(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens)").first()[0]
+    assert plain == pytest.approx(-3.309, abs=0.001) and got > plain + 0.5
+
+
+def test_predictions_after_two_words_equal_counts(spark):
+    """Frequencies come back to every token whatever the parts, and add up to one."""
+    rng = np.random.default_rng(5)
+    blocks, want = [], collections.Counter()
+    for b in range(3):
+        rows = np.repeat(np.arange(4), 50)
+        tokens = rng.integers(101, 106, 200).astype(np.uint64)
+        training = np.array([1.0, 1.0, 0.0, 1.0])
+        blocks.append((b, tokens, rows, training))
+    for _, tokens, rows, training in blocks:
+        for i in range(200):
+            before = [int(tokens[i - k]) if i >= k and rows[i - k] == rows[i] else -k for k in (1, 2)]
+            if training[rows[i]]:
+                want[(*before, int(tokens[i]))] += 1
+                want[tuple(before)] += 1
+    for parts in (1, 5):
+        packed = [word_contexts.block_pairs(b, t, r, tr, parts) for b, t, r, tr in blocks]
+        pairs = spark.createDataFrame([row for rows, _ in packed for row in rows], word_contexts.PAIRS)
+        found = [r.asDict() for r in word_contexts.predictions(pairs).collect()]
+        for (b, tokens, rows, _), (_, place) in zip(blocks, packed, strict=True):
+            p, frequency = word_contexts.shares([r for r in found if r["block"] == b], word_contexts.blank())
+            for i in range(200):
+                before = tuple(int(tokens[i - k]) if i >= k and rows[i - k] == rows[i] else -k for k in (1, 2))
+                seen = want[before]
+                assert frequency[place[i]] == pytest.approx(want[(*before, int(tokens[i]))] / seen if seen else 0, rel=1e-3)
+                assert (p[place[i]] > 0) == (seen > 0)
+
+
 def test_spelled_probabilities_add_up_to_one_at_most():
     from roadpass.llm import context_mixing as M
 
