@@ -164,6 +164,7 @@ def test_all_jobs_write_their_tables(spark, passes, registry_path):
     ):
         jobs.write_all(results, base, params.task_id)
     jobs.write_all(jobs.with_the_car(passes, params), base, 2)
+    jobs.write_monitor_state(passes, registry, params, base)
 
     def read(table):
         return spark.read.parquet(f"{base}/{table}")
