@@ -123,14 +123,17 @@ def _linked_classes(texts: DataFrame, shingle: int, percent: int) -> tuple[DataF
     chosen = stored(
         live.join(classes.select(*PRINT, "cls", F.col("first.doc_id").alias("doc_id")), [*PRINT, "doc_id"])
         .dropDuplicates(["cls"])
-        .select("cls", "n", "bands", "sketch"),
+        .select("cls", "n", "doc_id", "bands", "sketch"),
         "class-sketches",
     )
     banded = stored(
-        chosen.select("cls", "n", F.posexplode("bands").alias("band", "code")).select("cls", "n", F.xxhash64("band", "code").alias("bucket")),
+        chosen.select("cls", "n", "doc_id", F.posexplode("bands").alias("band", "code")).select(
+            "cls", "n", "doc_id", F.xxhash64("band", "code").alias("bucket")
+        ),
         "bands",
     )
-    member = F.struct("cls", "n")
+    # The hub is the member whose document has the smallest id, often what the others were copied from.
+    member = F.struct("doc_id", "cls", "n")
     shared = stored(
         banded.groupBy("bucket").agg(F.min(member).alias("hub"), F.max(member).alias("top")).where("hub <> top").select("bucket", "hub"), "hubs"
     )
@@ -387,13 +390,29 @@ def _compare_sets(percent: int):
             found = [np.frombuffer(v, np.uint64) for v in cell.column("shingles").to_pylist()]
             sizes = np.array([len(v) for v in found], np.int64)
             inter = common(found, np.concatenate(found), sizes)
-            linked = mine & (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter))
-            x, y = np.nonzero(np.triu(linked, 1))
-            yield pa.record_batch([pa.array(cls[x]), pa.array(cls[y])], ["a", "b"])
+            first = first_linked(mine & (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)))
+            moved = np.flatnonzero(first != np.arange(len(first)))
+            yield pa.record_batch([pa.array(cls[first[moved]]), pa.array(cls[moved])], ["a", "b"])
 
     return run
 
 
+def first_linked(linked: np.ndarray) -> np.ndarray:
+    """For every member the first one that it reaches over links: a row a member says what a
+    row a link would, and links of a cell grow with the square of its members."""
+    n = len(linked)
+    first = np.arange(n)
+    while n:
+        near = np.where(linked, first[None, :], n).min(axis=1)
+        new = np.minimum(first, near)
+        np.minimum.at(new, first, near)
+        new = new[new]
+        if (new == first).all():
+            break
+        first = new
+    return first
+
+
 def common(found: list[np.ndarray], merged: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of all given sets, by slices of a 0/1 matrix."""
     n = len(found)

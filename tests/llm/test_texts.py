@@ -129,6 +129,19 @@ def test_blocks_of_a_hot_bucket_find_every_link(spark, monkeypatch):
     assert got == comp
 
 
+def test_links_of_a_cell_are_told_by_a_row_a_member():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 30):
+        for _ in range(30):
+            half = np.triu(rng.random((n, n)) < 1.5 / max(n, 1), 1)
+            linked = half | half.T
+            want = np.arange(n)
+            for _ in range(n):
+                for x, y in zip(*np.nonzero(linked), strict=True):
+                    want[x] = min(want[x], want[y])
+            assert near_dup.first_linked(linked).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_repeated_ids_with_unlike_texts_keep_every_link(spark, monkeypatch, parts):
     """Ids stand for several texts of the same buckets; links go through all of them."""
