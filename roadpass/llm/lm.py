@@ -53,7 +53,7 @@ END_HASH = np.uint64(0x2545F4914F6CDD1D)
 _BLOCK = (
     "block long, place int, hash long, word binary, count long,"
     " doc_id array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary,"
-    " order binary, part int, pairs binary, counts binary"
+    " hashes binary"
 )
 
 
@@ -62,10 +62,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = stored(texts.mapInArrow(_blocks(max(8, -(-size // C.PART_BYTES))), _BLOCK), "text-blocks")
-    pairs = blocks.where("place = -2").select(*(f.split()[0] for f in C.PAIRS.split(", ")))
-    predicted = stored(C.predictions(pairs), "word-predictions")
-    # Words of a block have a place from 0; the row of its texts has place -1, pairs have -2.
+    blocks = stored(texts.mapInArrow(_blocks, _BLOCK), "text-blocks")
+    # Words of a block have a place from 0; the row of its texts has place -1.
+    parts = max(8, -(-size // C.PART_BYTES))
+    held = blocks.where("place = -1").select("block", "held_out", "sizes", "tokens", "hashes")
+    predicted = stored(C.predictions(held.mapInArrow(_pairs(parts), C.PAIRS)), "word-predictions")
     words = blocks.where("place >= 0")
     vocabulary = stored(
         words.select("hash", "word", "count")
@@ -95,19 +96,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
         words.select("block", "place", "hash").join(scored, "hash").select("block", "place", "count", "spelled"), "block-scores"
     )
     release(scored)
-    parts = blocks.where("place = -1").select("block", "doc_id", "held_out", "sizes", "bytes", "tokens", "order")
+    whole = blocks.where("place = -1").select("block", "doc_id", "held_out", "sizes", "bytes", "tokens", "hashes")
     learnt = predicted.where("block is null").groupBy("place").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     # As many rows as the gates have weights.
     gated = C.blank().ravel()
     for r in learnt.collect():
         gated[r["place"]] = r["value"] / r["seen"]
     finish = _finish(
-        facts["tokens"], facts["words"], unknown, math.log10(max(1e-300, 1 - unknown)) - math.log10(total), gated.reshape(C.GATES, C.INPUTS)
+        parts, facts["tokens"], facts["words"], unknown, math.log10(max(1e-300, 1 - unknown)) - math.log10(total), gated.reshape(C.GATES, C.INPUTS)
     )
     fetched = lookup.unionByName(
         predicted.where("block is not null").select("block", "part", "gate", "evidence", "frequency"), allowMissingColumns=True
     )
-    return parts.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(
+    return whole.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(
         finish,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
         " base_score double, score double, bits_per_byte double",
@@ -118,13 +119,13 @@ def spark_broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def _blocks(parts: int):
+def _block_rows():
     names = [f.split()[0] for f in _BLOCK.split(", ")]
     kinds = dict(
         zip(
             names,
             [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
-             pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()],
+             pa.list_(pa.int64()), pa.binary(), pa.binary()],
             strict=True,
         )
     )
@@ -132,42 +133,62 @@ def _blocks(parts: int):
     def rows(n: int, **columns) -> pa.RecordBatch:
         return pa.record_batch([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(n, kinds[c]) for c in names], names)
 
+    return rows
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = _block_rows()
+    number = TaskContext.get().partitionId() << 24
+    for part in slices(batches, limit=BLOCK_BYTES):
+        texts = Words(part.column("text"), lower=True)
+        hashes = texts.hashes()
+        unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-often, kind="stable")
+        unique, first = unique[order], first[order]
+        number_of = np.empty(len(order), np.int32)
+        number_of[order] = np.arange(len(order))
+        tokens = number_of[tokens]
+        held = part.column("held_out").to_numpy(zero_copy_only=False)
+        training = np.bincount(tokens, ~held[texts.rows], len(unique)).astype(np.int64)
+        view = texts.data.tobytes()
+        words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
+        # The end of a text is a word without bytes.
+        words.append(b"")
+        unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
+        n = len(words)
+        yield rows(n, block=np.full(n, number), place=np.arange(n, dtype=np.int32), hash=unique.view(np.int64), word=words, count=training)
+        yield rows(
+            1,
+            block=[number],
+            place=[-1],
+            doc_id=[part.column("doc_id").to_pylist()],
+            held_out=[held.tolist()],
+            sizes=[texts.counts.tolist()],
+            bytes=[np.diff(texts.offsets).tolist()],
+            tokens=[C.pack(tokens)],
+            hashes=[unique.tobytes()],
+        )
+        number += 1
+
+
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of a block's tokens, the texts they stand in, and the tokens' hashes."""
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    number, owner = C.sequence(C.unpack(row["tokens"], np.int32), np.array(row["sizes"], np.int64), len(hashes) - 1)
+    return number, owner, hashes[number]
+
+
+def _pairs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
-        for part in slices(batches, limit=BLOCK_BYTES):
-            texts = Words(part.column("text"), lower=True)
-            hashes = texts.hashes()
-            unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            # Frequent words get small numbers, which pack well.
-            order = np.argsort(-often, kind="stable")
-            unique, first = unique[order], first[order]
-            number_of = np.empty(len(order), np.int32)
-            number_of[order] = np.arange(len(order))
-            tokens = number_of[tokens]
-            held = part.column("held_out").to_numpy(zero_copy_only=False)
-            training = np.bincount(tokens, ~held[texts.rows], len(unique)).astype(np.int64)
-            view = texts.data.tobytes()
-            words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
-            # The end of a text is a word without bytes.
-            words.append(b"")
-            unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
-            n = len(words)
-            yield rows(n, block=np.full(n, number), place=np.arange(n, dtype=np.int32), hash=unique.view(np.int64), word=words, count=training)
-            pairs, place = C.block_pairs(number, *C.sequence(texts, hashes, END_HASH), (~held).astype(float), parts)
-            yield rows(
-                1,
-                block=[number],
-                place=[-1],
-                doc_id=[part.column("doc_id").to_pylist()],
-                held_out=[held.tolist()],
-                sizes=[texts.counts.tolist()],
-                bytes=[np.diff(texts.offsets).tolist()],
-                tokens=[C.pack(tokens)],
-                order=[C.pack(place)],
-            )
-            blocks, dealt, packed, counts = zip(*pairs, strict=True)
-            yield rows(len(pairs), block=blocks, place=[-2] * len(pairs), part=dealt, pairs=packed, counts=counts)
-            number += 1
+        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                _, owner, tokens = _tokens(row)
+                out = C.block_pairs(row["block"], tokens, owner, (~np.array(row["held_out"], bool)).astype(float), parts)
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.record_batch(columns, [f.split()[0] for f in C.PAIRS.split(", ")])
 
     return run
 
@@ -284,7 +305,7 @@ def _score_words(table, weights: np.ndarray, refine: np.ndarray):
     return run
 
 
-def _finish(tokens: int, distinct: int, unknown: float, scale: float, gated: np.ndarray):
+def _finish(parts: int, tokens: int, distinct: int, unknown: float, scale: float, gated: np.ndarray):
     def run(texts, fetched):
         fetched = fetched.to_pylist()
         lookup = [r for r in fetched if r["place"] is not None]
@@ -300,13 +321,8 @@ def _finish(tokens: int, distinct: int, unknown: float, scale: float, gated: np.
         for row in texts.to_pylist():
             sizes = np.array(row["sizes"], np.int64)
             n = len(sizes)
-            owner = np.repeat(np.arange(n), sizes + 1)
-            # An end, the block's last word, stands after the words of each text.
-            number = np.full(len(owner), len(lookup) - 1, np.int64)
-            inside = np.ones(len(owner), bool)
-            inside[np.cumsum(sizes + 1) - 1] = False
-            number[inside] = C.unpack(row["tokens"], np.int32)
-            at = C.unpack(row["order"], np.int32)
+            number, owner, hashes = _tokens(row)
+            at = C.placed(hashes, owner, parts)[2]
             p, seen = follows[at], follows[at] * frequency[at]
             score = np.log10(seen + (1 - p) * closed[number])
             bits = np.log10(seen + (1 - p) * letters[number])

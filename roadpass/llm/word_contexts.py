@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from roadpass.llm.words import Words, mix
+from roadpass.llm.words import mix
 
 PART_BYTES = 16 << 20
 # Bits of a context and of a word in a packed pair.
@@ -51,15 +51,13 @@ def unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw), kind)
 
 
-def sequence(texts: Words, hashes: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of all texts, an end after each text, and the texts they stand in."""
-    counts = texts.counts
-    rows = np.repeat(np.arange(len(counts)), counts + 1)
-    tokens = np.full(len(rows), end, np.uint64)
-    last = np.cumsum(counts + 1) - 1
+def sequence(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts of so many words, number ``end`` after each text, and their texts."""
+    rows = np.repeat(np.arange(len(sizes)), sizes + 1)
+    tokens = np.full(len(rows), end, np.int64)
     inside = np.ones(len(rows), bool)
-    inside[last] = False
-    tokens[inside] = hashes
+    inside[np.cumsum(sizes + 1) - 1] = False
+    tokens[inside] = numbers
     return tokens, rows
 
 
@@ -76,26 +74,25 @@ def pairs_of(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair, (context & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def block_pairs(block: int, tokens: np.ndarray, rows: np.ndarray, training: np.ndarray, parts: int) -> tuple[list[tuple], np.ndarray]:
-    """Rows of a block's different pairs by part, and each token's place among them in that order."""
+def placed(tokens: np.ndarray, rows: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's different pairs, ordered by part, the parts they go to, and each token's place among them."""
     pair, deal = pairs_of(tokens, rows)
     part = deal % parts
     order = np.lexsort((pair, part))
     pair, part = pair[order], part[order]
     new = np.ones(len(pair), bool)
     new[1:] = (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])
-    number = np.cumsum(new) - 1
-    place = np.empty(len(order), np.int32)
-    place[order] = number
-    count = np.bincount(number, training[rows[order]], int(new.sum())).astype(np.int64)
-    pair, part = pair[new], part[new]
-    cut = np.searchsorted(part, np.arange(parts + 1))
-    out = [
-        (block, p, pair[a:b].tobytes(), pack(np.minimum(count[a:b], 2**31 - 1).astype(np.int32)))
-        for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        if a < b
-    ]
-    return out, place
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return pair[new], part[new], place
+
+
+def block_pairs(block: int, tokens: np.ndarray, rows: np.ndarray, training: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of a block's different pairs, one a part; ``training`` tells how often a text counts."""
+    pair, part, place = placed(tokens, rows, parts)
+    count = np.minimum(np.bincount(place, training[rows], len(pair)), 2**31 - 1).astype(np.int32)
+    cut = np.searchsorted(part, np.arange(parts + 1)).tolist()
+    return [(block, p, pair[a:b].tobytes(), pack(count[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
 
 
 def gates(seen: np.ndarray, kinds: np.ndarray) -> np.ndarray:

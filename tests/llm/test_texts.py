@@ -376,9 +376,10 @@ def test_predictions_after_two_words_equal_counts(spark):
                 want[tuple(before)] += 1
     for parts in (1, 5):
         packed = [word_contexts.block_pairs(b, t, r, tr, parts) for b, t, r, tr in blocks]
-        pairs = spark.createDataFrame([row for rows, _ in packed for row in rows], word_contexts.PAIRS)
+        pairs = spark.createDataFrame([row for rows in packed for row in rows], word_contexts.PAIRS)
         found = [r.asDict() for r in word_contexts.predictions(pairs).collect()]
-        for (b, tokens, rows, _), (_, place) in zip(blocks, packed, strict=True):
+        for b, tokens, rows, _ in blocks:
+            place = word_contexts.placed(tokens, rows, parts)[2]
             p, frequency = word_contexts.shares([r for r in found if r["block"] == b], word_contexts.blank())
             for i in range(200):
                 before = tuple(int(tokens[i - k]) if i >= k and rows[i - k] == rows[i] else -k for k in (1, 2))
