@@ -96,7 +96,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
         words.select("block", "place", "hash").join(scored, "hash").select("block", "place", "count", "spelled"), "block-scores"
     )
     release(scored)
-    whole = blocks.where("place = -1").select("block", "doc_id", "held_out", "sizes", "bytes", "tokens", "hashes")
+    # The blocks' words are spent; without them there is room for the last shuffle.
+    texts_of = ("block", "doc_id", "held_out", "sizes", "bytes", "tokens", "hashes")
+    whole = stored(blocks.where("place = -1").select(*texts_of), "block-texts")
+    release(blocks)
     learnt = predicted.where("block is null").groupBy("place").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     # As many rows as the gates have weights.
     gated = C.blank().ravel()

@@ -27,7 +27,7 @@ from roadpass.llm.words import mix
 
 PART_BYTES = 16 << 20
 # Bits of a context and of a word in a packed pair.
-CONTEXT_BITS, WORD_BITS = 40, 24
+CONTEXT_BITS, WORD_BITS = 40, 16
 SEEN_LEVELS, KIND_LEVELS = 12, 5
 GATES = SEEN_LEVELS * KIND_LEVELS
 INPUTS = 2
@@ -51,6 +51,17 @@ def unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw), kind)
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Different sorted numbers as their gaps, byte by byte, so that the empty high bytes pack away."""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    return pack(gaps.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    planes = unpack(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def sequence(numbers: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of texts of so many words, number ``end`` after each text, and their texts."""
     rows = np.repeat(np.arange(len(sizes)), sizes + 1)
@@ -92,7 +103,7 @@ def block_pairs(block: int, tokens: np.ndarray, rows: np.ndarray, training: np.n
     pair, part, place = placed(tokens, rows, parts)
     count = np.minimum(np.bincount(place, training[rows], len(pair)), 2**31 - 1).astype(np.int32)
     cut = np.searchsorted(part, np.arange(parts + 1)).tolist()
-    return [(block, p, pair[a:b].tobytes(), pack(count[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+    return [(block, p, pack_sorted(pair[a:b]), pack(count[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
 
 
 def gates(seen: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -125,8 +136,8 @@ def blank() -> np.ndarray:
 
 def _part(rows: list[dict]) -> tuple[list[tuple], np.ndarray, float]:
     """Predictions for every block's pairs of one part, the learnt weights and their occurrences."""
-    sizes = [len(r["pairs"]) // 8 for r in rows]
-    pair = np.concatenate([np.frombuffer(r["pairs"], np.uint64) for r in rows])
+    sent = [unpack_sorted(r["pairs"]) for r in rows]
+    sizes, pair = [len(v) for v in sent], np.concatenate(sent)
     count = np.concatenate([unpack(r["counts"], np.int32) for r in rows]).astype(np.float64)
     order = np.argsort(pair, kind="stable")
     pair, mine = pair[order], count[order]
