@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -310,16 +311,16 @@ def _score_words(table, weights: np.ndarray, refine: np.ndarray):
 
 def _finish(parts: int, tokens: int, distinct: int, unknown: float, scale: float, gated: np.ndarray):
     def run(texts, fetched):
-        fetched = fetched.to_pylist()
-        lookup = [r for r in fetched if r["place"] is not None]
-        count, spelled = np.zeros(len(lookup), np.int64), np.zeros(len(lookup))
-        for r in lookup:
-            count[r["place"]], spelled[r["place"]] = r["count"], r["spelled"]
+        words = pc.is_valid(fetched.column("place"))
+        lookup = fetched.filter(words)
+        place = lookup.column("place").to_numpy()
+        count, spelled = np.zeros(len(place), np.int64), np.zeros(len(place))
+        count[place], spelled[place] = lookup.column("count").to_numpy(), lookup.column("spelled").to_numpy()
         known = count > 0
         base = np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
         mixed = PLAIN * (1 - unknown) * count / max(tokens, 1) + (1 - PLAIN) * 10.0 ** np.where(known, spelled + scale, -np.inf)
         closed, letters = np.where(known, mixed, unknown), 10.0**spelled
-        follows, frequency = C.shares([r for r in fetched if r["place"] is None], gated)
+        follows, frequency = C.shares(fetched.filter(pc.invert(words)).to_pylist(), gated)
         out = []
         for row in texts.to_pylist():
             sizes = np.array(row["sizes"], np.int64)

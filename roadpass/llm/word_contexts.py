@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from roadpass.llm.words import mix
 
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 # Bits of a context and of a word in a packed pair.
 CONTEXT_BITS, WORD_BITS = 40, 16
 SEEN_LEVELS, KIND_LEVELS = 12, 5
@@ -138,13 +138,15 @@ def _part(rows: list[dict]) -> tuple[list[tuple], np.ndarray, float]:
     """Predictions for every block's pairs of one part, the learnt weights and their occurrences."""
     sent = [unpack_sorted(r["pairs"]) for r in rows]
     sizes, pair = [len(v) for v in sent], np.concatenate(sent)
-    count = np.concatenate([unpack(r["counts"], np.int32) for r in rows]).astype(np.float64)
+    del sent
     order = np.argsort(pair, kind="stable")
-    pair, mine = pair[order], count[order]
+    pair = pair[order]
     new = np.ones(len(pair), bool)
     new[1:] = pair[1:] != pair[:-1]
-    number = np.cumsum(new) - 1
-    total = np.bincount(number, mine)
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order
+    total = np.bincount(at, np.concatenate([unpack(r["counts"], np.int32) for r in rows]))
     context = pair[new] >> np.uint64(WORD_BITS)
     first = np.ones(len(context), bool)
     first[1:] = context[1:] != context[:-1]
@@ -164,8 +166,6 @@ def _part(rows: list[dict]) -> tuple[list[tuple], np.ndarray, float]:
         np.clip(np.round(STRETCH * evidence(seen, kinds)), -127, 127).astype(np.int8),
         frequency.astype(np.uint16),
     )
-    at = np.empty(len(order), np.int64)
-    at[order] = number
     out, start = [], 0
     for r, n in zip(rows, sizes, strict=True):
         here = at[start : start + n]
