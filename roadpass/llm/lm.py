@@ -5,17 +5,17 @@ token: the two words before (``word_contexts``), whose tables grow with the corp
 word's frequency; and its spelling, bit by bit (``context_mixing``), computed once per
 different word, since its contexts lie in the word.
 
-1. Texts are cut into blocks. A block stores its texts as numbers of its own words, its
-   words with their training counts, and its different pairs of context and word. Word
-   counts of all blocks are summed up: this vocabulary grows with the corpus.
+1. Texts are cut into blocks. A block stores its texts as numbers of its own words, and its
+   words with their training counts, packed and dealt to parts by hash. Parts sum up the
+   counts of all blocks: this vocabulary grows with the corpus, and so do the parts.
 2. Pairs meet in parts by their context; parts learn gated weights online and send each
    block its predictions.
 3. Different words, sorted and dealt by range, give the counts of every spelling context's
    next bytes; the counts of all decisions are summed into hashed tables.
 4. Every range of words trains mixing weights online, weighted by training counts; the
    ranges' weights are averaged by the occurrences they saw.
-5. Every different word is scored; blocks fetch counts, spellings and predictions, mix them
-   token by token and add them up per text.
+5. Every different word is scored; parts send each block its words' counts and spellings,
+   and blocks mix these with the predictions token by token and add them up per text.
 
 ``score`` uses the alphabet of ``base_score``: training words, the end, and one symbol for
 all other words. The share of other words is what the training words that occur once show
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +48,13 @@ from roadpass.llm.scratch import release, stored
 from roadpass.llm.words import Words, slices
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 PLAIN = 0.7
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 
 _BLOCK = (
-    "block long, place int, hash long, word binary, count long,"
-    " doc_id array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary,"
-    " hashes binary"
+    "block long, part int, hashes binary, words binary, counts binary,"
+    " doc_id array<long>, held_out array<boolean>, sizes array<int>, bytes array<long>, tokens binary"
 )
 
 
@@ -63,19 +63,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = stored(texts.mapInArrow(_blocks, _BLOCK), "text-blocks")
-    # Words of a block have a place from 0; the row of its texts has place -1.
     parts = max(8, -(-size // C.PART_BYTES))
-    held = blocks.where("place = -1").select("block", "held_out", "sizes", "tokens", "hashes")
+    # A block's words have parts from 0; the row of its texts has part -1.
+    blocks = stored(texts.mapInArrow(_blocks(parts), _BLOCK), "text-blocks")
+    held = blocks.where("part = -1").select("block", "held_out", "sizes", "tokens", "hashes")
     predicted = stored(C.predictions(held.mapInArrow(_pairs(parts), C.PAIRS)), "word-predictions")
-    words = blocks.where("place >= 0")
-    vocabulary = stored(
-        words.select("hash", "word", "count")
-        .repartition("hash")
-        .groupBy("hash")
-        .agg(F.sum("count").alias("count"), F.first("word").alias("word")),
-        "vocabulary",
-    )
+    words = blocks.where("part >= 0")
+    dealt = words.select("block", "part", "hashes", "words", "counts").repartition("part").sortWithinPartitions("part", "block")
+    vocabulary = stored(dealt.mapInArrow(_vocabulary, "hash long, word binary, count long"), "vocabulary")
     facts = vocabulary.where("count > 0").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"),
         F.count("*").alias("words"),
@@ -93,13 +88,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     release(ordered)
     total = scored.where("count > 0").agg(F.sum(F.pow(F.lit(10.0), "spelled"))).first()[0] or 1.0
     unknown = min(0.5, max(facts["once"], 1) / max(facts["tokens"], 1)) if facts["words"] else 1.0
+    by_part = scored.withColumn("part", F.pmod("hash", F.lit(parts)).cast("int")).groupBy("part")
     lookup = stored(
-        words.select("block", "place", "hash").join(scored, "hash").select("block", "place", "count", "spelled"), "block-scores"
+        words.select("block", "part", "hashes").groupBy("part").cogroup(by_part).applyInArrow(
+            _look_up, "block long, part int, counts binary, spelled binary"
+        ),
+        "block-scores",
     )
     release(scored)
     # The blocks' words are spent; without them there is room for the last shuffle.
     texts_of = ("block", "doc_id", "held_out", "sizes", "bytes", "tokens", "hashes")
-    whole = stored(blocks.where("place = -1").select(*texts_of), "block-texts")
+    whole = stored(blocks.where("part = -1").select(*texts_of), "block-texts")
     release(blocks)
     learnt = predicted.where("block is null").groupBy("place").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     # As many rows as the gates have weights.
@@ -128,8 +127,8 @@ def _block_rows():
     kinds = dict(
         zip(
             names,
-            [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
-             pa.list_(pa.int64()), pa.binary(), pa.binary()],
+            [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
+             pa.list_(pa.int64()), pa.binary()],
             strict=True,
         )
     )
@@ -140,40 +139,85 @@ def _block_rows():
     return rows
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = _block_rows()
-    number = TaskContext.get().partitionId() << 24
-    for part in slices(batches, limit=BLOCK_BYTES):
-        texts = Words(part.column("text"), lower=True)
-        hashes = texts.hashes()
-        unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        # Frequent words get small numbers, which pack well.
-        order = np.argsort(-often, kind="stable")
-        unique, first = unique[order], first[order]
-        number_of = np.empty(len(order), np.int32)
-        number_of[order] = np.arange(len(order))
-        tokens = number_of[tokens]
-        held = part.column("held_out").to_numpy(zero_copy_only=False)
-        training = np.bincount(tokens, ~held[texts.rows], len(unique)).astype(np.int64)
-        view = texts.data.tobytes()
-        words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
-        # The end of a text is a word without bytes.
-        words.append(b"")
-        unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
-        n = len(words)
-        yield rows(n, block=np.full(n, number), place=np.arange(n, dtype=np.int32), hash=unique.view(np.int64), word=words, count=training)
-        yield rows(
-            1,
-            block=[number],
-            place=[-1],
-            doc_id=[part.column("doc_id").to_pylist()],
-            held_out=[held.tolist()],
-            sizes=[texts.counts.tolist()],
-            bytes=[np.diff(texts.offsets).tolist()],
-            tokens=[C.pack(tokens)],
-            hashes=[unique.tobytes()],
+def _blocks(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _block_rows()
+        number = TaskContext.get().partitionId() << 24
+        for part in slices(batches, limit=BLOCK_BYTES):
+            texts = Words(part.column("text"), lower=True)
+            hashes = texts.hashes()
+            unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            # Frequent words get small numbers, which pack well.
+            order = np.argsort(-often, kind="stable")
+            unique, first = unique[order], first[order]
+            number_of = np.empty(len(order), np.int32)
+            number_of[order] = np.arange(len(order))
+            tokens = number_of[tokens]
+            held = part.column("held_out").to_numpy(zero_copy_only=False)
+            training = np.bincount(tokens, ~held[texts.rows], len(unique)).astype(np.int64)
+            view = texts.data.tobytes()
+            words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
+            # The end of a text is a word without bytes.
+            words.append(b"")
+            unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
+            order, cut = _dealt(unique, parts)
+            packed = [
+                (p, C.pack_sorted(unique[at]), zstandard.compress(b"\n".join([words[i] for i in at.tolist()]), 1), C.pack(training[at]))
+                for p, at in ((p, order[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b)
+            ]
+            places, *columns = zip(*packed, strict=True)
+            n = len(places)
+            yield rows(n, block=[number] * n, part=places, hashes=columns[0], words=columns[1], counts=columns[2])
+            yield rows(
+                1,
+                block=[number],
+                part=[-1],
+                hashes=[unique.tobytes()],
+                doc_id=[part.column("doc_id").to_pylist()],
+                held_out=[held.tolist()],
+                sizes=[texts.counts.tolist()],
+                bytes=[np.diff(texts.offsets).tolist()],
+                tokens=[C.pack(tokens)],
+            )
+            number += 1
+
+    return run
+
+
+def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[int]]:
+    """The order of a block's words by part and hash, and where each part begins in it."""
+    part = hashes.view(np.int64) % parts
+    order = np.lexsort((hashes, part))
+    return order, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every part's different words and their training counts over all blocks."""
+    for rows in C.parts_of(batches):
+        hashes = np.concatenate([C.unpack_sorted(r["hashes"]) for r in rows])
+        counts = np.concatenate([C.unpack(r["counts"], np.int64) for r in rows])
+        words = [w for r in rows for w in zstandard.decompress(r["words"]).split(b"\n")]
+        unique, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+        total = np.bincount(same, counts, len(unique)).astype(np.int64)
+        yield pa.record_batch(
+            [pa.array(unique.view(np.int64)), pa.array([words[i] for i in first.tolist()], pa.binary()), pa.array(total)],
+            ["hash", "word", "count"],
         )
-        number += 1
+
+
+def _look_up(words: pa.Table, scored: pa.Table) -> pa.Table:
+    """Counts and spellings of every block's words of one part, in the order of their hashes."""
+    hashes = scored.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    count, spelled = scored.column("count").to_numpy()[order], scored.column("spelled").to_numpy()[order].astype(np.float32)
+    out = []
+    for row in words.to_pylist():
+        at = np.searchsorted(hashes, C.unpack_sorted(row["hashes"]))
+        out.append((row["block"], row["part"], C.pack(count[at]), C.pack(spelled[at])))
+    kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary()
+    columns = zip(*out, strict=True) if out else [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "part", "counts", "spelled"])
 
 
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,42 +355,39 @@ def _score_words(table, weights: np.ndarray, refine: np.ndarray):
 
 def _finish(parts: int, tokens: int, distinct: int, unknown: float, scale: float, gated: np.ndarray):
     def run(texts, fetched):
-        words = pc.is_valid(fetched.column("place"))
-        lookup = fetched.filter(words)
-        place = lookup.column("place").to_numpy()
-        count, spelled = np.zeros(len(place), np.int64), np.zeros(len(place))
-        count[place], spelled[place] = lookup.column("count").to_numpy(), lookup.column("spelled").to_numpy()
+        words = pc.is_valid(fetched.column("counts"))
+        lookup = sorted(fetched.filter(words).select(["part", "counts", "spelled"]).to_pylist(), key=lambda r: r["part"])
+        (row,) = texts.to_pylist()
+        order, _ = _dealt(np.frombuffer(row["hashes"], np.uint64), parts)
+        count, spelled = np.zeros(len(order), np.int64), np.zeros(len(order))
+        count[order] = np.concatenate([C.unpack(r["counts"], np.int64) for r in lookup])
+        spelled[order] = np.concatenate([C.unpack(r["spelled"], np.float32) for r in lookup])
         known = count > 0
         base = np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
         mixed = PLAIN * (1 - unknown) * count / max(tokens, 1) + (1 - PLAIN) * 10.0 ** np.where(known, spelled + scale, -np.inf)
         closed, letters = np.where(known, mixed, unknown), 10.0**spelled
         follows, frequency = C.shares(fetched.filter(pc.invert(words)).to_pylist(), gated)
-        out = []
-        for row in texts.to_pylist():
-            sizes = np.array(row["sizes"], np.int64)
-            n = len(sizes)
-            number, owner, hashes = _tokens(row)
-            at = C.placed(hashes, owner, parts)[2]
-            p, seen = follows[at], follows[at] * frequency[at]
-            score = np.log10(seen + (1 - p) * closed[number])
-            bits = np.log10(seen + (1 - p) * letters[number])
-            sums = [np.bincount(owner, v, n) for v in (known[number], base[number], score, bits)]
-            # A space or the end follows each word in the spelling.
-            length = np.array(row["bytes"], np.int64) + 1
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": pa.array(row["doc_id"], pa.int64()),
-                        "held_out": pa.array(row["held_out"], pa.bool_()),
-                        "n_tokens": sizes + 1,
-                        "n_known": sums[0].astype(np.int64),
-                        "train_tokens": np.full(n, tokens),
-                        "base_score": sums[1],
-                        "score": sums[2],
-                        "bits_per_byte": -sums[3] * np.log2(10) / length,
-                    }
-                )
-            )
-        return pa.concat_tables(out)
+        sizes = np.array(row["sizes"], np.int64)
+        n = len(sizes)
+        number, owner, hashes = _tokens(row)
+        at = C.placed(hashes, owner, parts)[2]
+        del hashes
+        p, seen = follows[at], follows[at] * frequency[at]
+        del at
+        # A space or the end follows each word in the spelling.
+        length = np.array(row["bytes"], np.int64) + 1
+        bits = np.bincount(owner, np.log10(seen + (1 - p) * letters[number]), n)
+        return pa.table(
+            {
+                "doc_id": pa.array(row["doc_id"], pa.int64()),
+                "held_out": pa.array(row["held_out"], pa.bool_()),
+                "n_tokens": sizes + 1,
+                "n_known": np.bincount(owner, known[number], n).astype(np.int64),
+                "train_tokens": np.full(n, tokens),
+                "base_score": np.bincount(owner, base[number], n),
+                "score": np.bincount(owner, np.log10(seen + (1 - p) * closed[number]), n),
+                "bits_per_byte": -bits * np.log2(10) / length,
+            }
+        )
 
     return run

@@ -179,7 +179,7 @@ def predictions(pairs: DataFrame) -> DataFrame:
     each part's weights times the occurrences they saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in parts_of(batches):
             out, weights, seen = _part(part)
             kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
             n, w = len(out), weights.size if seen else 0
@@ -192,7 +192,8 @@ def predictions(pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, PREDICTED)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of a partition sorted by part, part by part."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
