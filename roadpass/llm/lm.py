@@ -141,49 +141,55 @@ def _block_rows():
 
 def _blocks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _block_rows()
         number = TaskContext.get().partitionId() << 24
-        for part in slices(batches, limit=BLOCK_BYTES):
-            texts = Words(part.column("text"), lower=True)
-            hashes = texts.hashes()
-            unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            # Frequent words get small numbers, which pack well.
-            order = np.argsort(-often, kind="stable")
-            unique, first = unique[order], first[order]
-            number_of = np.empty(len(order), np.int32)
-            number_of[order] = np.arange(len(order))
-            tokens = number_of[tokens]
-            held = part.column("held_out").to_numpy(zero_copy_only=False)
-            training = np.bincount(tokens, ~held[texts.rows], len(unique)).astype(np.int64)
-            view = texts.data.tobytes()
-            words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
-            # The end of a text is a word without bytes.
-            words.append(b"")
-            unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
-            order, cut = _dealt(unique, parts)
-            packed = [
-                (p, C.pack_sorted(unique[at]), zstandard.compress(b"\n".join([words[i] for i in at.tolist()]), 1), C.pack(training[at]))
-                for p, at in ((p, order[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b)
-            ]
-            places, *columns = zip(*packed, strict=True)
-            n = len(places)
-            yield rows(n, block=[number] * n, part=places, hashes=columns[0], words=columns[1], counts=columns[2])
-            yield rows(
-                1,
-                block=[number],
-                part=[-1],
-                hashes=[unique.tobytes()],
-                doc_id=[part.column("doc_id").to_pylist()],
-                held_out=[held.tolist()],
-                sizes=[texts.counts.tolist()],
-                bytes=[np.diff(texts.offsets).tolist()],
-                tokens=[C.pack(tokens)],
-            )
+        for texts in slices(batches, limit=BLOCK_BYTES):
+            yield from _block(texts, number, parts)
             number += 1
 
     return run
 
 
+def _block(part: pa.RecordBatch, number: int, parts: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The rows of a block's words and of its texts; what they are made of is freed on return."""
+    rows = _block_rows()
+    texts = Words(part.column("text"), lower=True)
+    unique, first, tokens, often = np.unique(texts.hashes(), return_index=True, return_inverse=True, return_counts=True)
+    # Frequent words get small numbers, which pack well.
+    order = np.argsort(-often, kind="stable")
+    unique, first = unique[order], first[order]
+    number_of = np.empty(len(order), np.int32)
+    number_of[order] = np.arange(len(order))
+    tokens = number_of[tokens]
+    held = part.column("held_out").to_numpy(zero_copy_only=False)
+    training = np.bincount(tokens[np.repeat(~held, texts.counts)], minlength=len(unique))
+    view = texts.data.tobytes()
+    words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
+    # The end of a text is a word without bytes.
+    words.append(b"")
+    unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
+    order, cut = _dealt(unique, parts)
+    packed = [
+        (p, C.pack_sorted(unique[at]), zstandard.compress(b"\n".join([words[i] for i in at.tolist()]), 1), C.pack(training[at]))
+        for p, at in ((p, order[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b)
+    ]
+    places, *columns = zip(*packed, strict=True)
+    n = len(places)
+    return (
+        rows(n, block=[number] * n, part=places, hashes=columns[0], words=columns[1], counts=columns[2]),
+        rows(
+            1,
+            block=[number],
+            part=[-1],
+            hashes=[unique.tobytes()],
+            doc_id=[part.column("doc_id").to_pylist()],
+            held_out=[held.tolist()],
+            sizes=[texts.counts.tolist()],
+            bytes=[np.diff(texts.offsets).tolist()],
+            tokens=[C.pack(tokens)],
+        ),
+    )
+
+
 def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[int]]:
     """The order of a block's words by part and hash, and where each part begins in it."""
     part = hashes.view(np.int64) % parts
@@ -228,15 +234,18 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pairs(parts: int):
+    kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary()
+
+    def pairs(row: dict) -> pa.RecordBatch:
+        _, owner, tokens = _tokens(row)
+        out = C.block_pairs(row["block"], tokens, owner, (~np.array(row["held_out"], bool)).astype(float), parts)
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.record_batch(columns, [f.split()[0] for f in C.PAIRS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary()
         for batch in batches:
             for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pylist()
-                _, owner, tokens = _tokens(row)
-                out = C.block_pairs(row["block"], tokens, owner, (~np.array(row["held_out"], bool)).astype(float), parts)
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.record_batch(columns, [f.split()[0] for f in C.PAIRS.split(", ")])
+                yield pairs(batch.slice(i, 1).to_pylist()[0])
 
     return run
 
