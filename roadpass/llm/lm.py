@@ -48,7 +48,7 @@ from roadpass.llm.scratch import release, stored
 from roadpass.llm.words import Words, slices
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 PLAIN = 0.7
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 

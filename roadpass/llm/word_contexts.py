@@ -88,13 +88,14 @@ def pairs_of(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def placed(tokens: np.ndarray, rows: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's different pairs, ordered by part, the parts they go to, and each token's place among them."""
     pair, deal = pairs_of(tokens, rows)
-    part = deal % parts
+    part = (deal % parts).astype(np.int32)
+    del deal
     order = np.lexsort((pair, part))
     pair, part = pair[order], part[order]
     new = np.ones(len(pair), bool)
     new[1:] = (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return pair[new], part[new], place
 
 
