@@ -47,6 +47,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return table
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what is written or counted inside the block as soon as
+    that is done, rather than when the driver forgets them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Remove scratch folders."""
     for text in paths:

@@ -81,6 +81,35 @@ def test_a_jam_forms_no_candidates(spark, make_passes):
     assert companions.candidate_pairs(sets, 2).count() == 0
 
 
+def jammed(seed):
+    rng = random.Random(seed)
+    rows = [(f"c{rng.randrange(25)}", f"m{rng.randrange(4)}", f"2024-01-01 {rng.randrange(8):02d}:{rng.randrange(60):02d}:00") for _ in range(400)]
+    return rows + [(f"c{i}", f"m{j}", f"2024-01-01 12:{j:02d}:00") for i in range(25) for j in range(3) if rng.random() < 0.8]
+
+
+@pytest.mark.parametrize(("least", "crowd"), [(1, 1), (2, 1), (3, 10), (3, 1000)])
+def test_network_companions_are_the_same_with_entries_held_back_and_in_passes(spark, make_passes, monkeypatch, least, crowd):
+    passes = make_passes(jammed(least))
+    want = sorted(map(tuple, companions.network_companions(passes, least).collect()))
+    monkeypatch.setattr(companions, "PASS_PAIRS", 2000)
+    monkeypatch.setattr(companions, "TASK_PAIRS", 500)
+    entries = passes.selectExpr("car", "monitor_id", "unix_seconds(cast(ts as timestamp)) div 300 as slot").distinct()
+    other = entries.toDF("other", "monitor_id", "slot")
+    met = entries.join(other, ["monitor_id", "slot"]).where("car < other").groupBy("car", "other")
+    met = met.agg(F.count("*").alias("n"), F.count_distinct("monitor_id").alias("m")).where(f"n >= {least} and m >= 2")
+    got = companions.network_companions(passes, least, crowd=crowd).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(map(tuple, met.collect())) and got
+    assert sorted(map(tuple, got)) == want
+
+
+def test_companions_never_shuffle_or_store_pairs_that_meet_once(spark, make_passes):
+    """200 cars meet in 19,900 pairs, none of which meets twice."""
+    rows = [(f"c{i:03d}", "m0", "2024-01-01 12:00:00") for i in range(200)]
+    rows += [(f"c{i:03d}", f"m{1 + i % 3}", f"2024-01-02 {i // 10:02d}:{i % 10 * 5:02d}:00") for i in range(200)]
+    sets = make_passes(rows).selectExpr("car", "monitor_id", "unix_seconds(cast(ts as timestamp)) div 300 as slot").distinct()
+    assert companions.candidate_pairs(sets, 2, crowd=1000).count() == 0
+
+
 def test_unread_plates_are_counted(spark, make_passes):
     rows = make_passes([("a", "m", "2024-01-01 01:00:00"), (" ", "m", "2024-01-01 01:00:00"), (None, "m", "2024-01-02 01:00:00"), ("unknown", "m", "2024-01-02 01:00:00")])
     assert [r.car for r in filters.readable_plates(rows).collect()] == ["a"]
