@@ -33,13 +33,14 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpass.llm import context_mixing as M
@@ -48,7 +49,11 @@ from roadpass.llm.scratch import release, stored
 from roadpass.llm.words import Words, slices
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
+# Words are found in pieces of a block, and few rows are sent to Python at once: both
+# take many times their bytes.
+PIECE_BYTES = 1 << 20
+TEXT_ROWS, PACKED_ROWS = 64, 4
 PLAIN = 0.7
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 
@@ -65,12 +70,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // C.PART_BYTES))
     # A block's words have parts from 0; the row of its texts has part -1.
-    blocks = stored(texts.mapInArrow(_blocks(parts), _BLOCK), "text-blocks")
+    spark = docs.sparkSession
+    with _arrow_rows(spark, TEXT_ROWS):
+        blocks = stored(texts.mapInArrow(_blocks(parts), _BLOCK), "text-blocks")
     held = blocks.where("part = -1").select("block", "held_out", "sizes", "tokens", "hashes")
-    predicted = stored(C.predictions(held.mapInArrow(_pairs(parts), C.PAIRS)), "word-predictions")
+    with _arrow_rows(spark, PACKED_ROWS):
+        predicted = stored(C.predictions(held.mapInArrow(_pairs(parts), C.PAIRS)), "word-predictions")
     words = blocks.where("part >= 0")
     dealt = words.select("block", "part", "hashes", "words", "counts").repartition("part").sortWithinPartitions("part", "block")
-    vocabulary = stored(dealt.mapInArrow(_vocabulary, "hash long, word binary, count long"), "vocabulary")
+    with _arrow_rows(spark, PACKED_ROWS):
+        vocabulary = stored(dealt.mapInArrow(_vocabulary, "hash long, word binary, count long"), "vocabulary")
     facts = vocabulary.where("count > 0").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"),
         F.count("*").alias("words"),
@@ -118,6 +127,18 @@ def score_texts(docs: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables stored inside the block send at most so many rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spark_broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
@@ -142,28 +163,55 @@ def _block_rows():
 def _blocks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        for texts in slices(batches, limit=BLOCK_BYTES):
-            yield from _block(texts, number, parts)
+        for pieces in _gathered(batches):
+            yield from _block(pieces, number, parts)
             number += 1
 
     return run
 
 
-def _block(part: pa.RecordBatch, number: int, parts: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The pieces of one block after the other."""
+    held, size = [], 0
+    for piece in slices(batches, limit=PIECE_BYTES):
+        n = pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+        if held and size + n > BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(piece)
+        size += n
+    if held:
+        yield held
+
+
+def _words_of(pieces: list[pa.RecordBatch]) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a block's words, its bytes and the words' places in them, the words of each
+    text and the texts' lengths."""
+    columns, base = [], 0
+    for piece in pieces:
+        texts = Words(piece.column("text"), lower=True)
+        columns.append((texts.hashes(), texts.data, texts.starts + base, texts.ends + base, texts.counts, np.diff(texts.offsets)))
+        base += len(texts.data)
+    hashes, data, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
+    return hashes, data.tobytes(), *rest
+
+
+def _block(pieces: list[pa.RecordBatch], number: int, parts: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     """The rows of a block's words and of its texts; what they are made of is freed on return."""
     rows = _block_rows()
-    texts = Words(part.column("text"), lower=True)
-    unique, first, tokens, often = np.unique(texts.hashes(), return_index=True, return_inverse=True, return_counts=True)
+    hashes, view, starts, ends, sizes, lengths = _words_of(pieces)
+    unique, first, tokens, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    del hashes
     # Frequent words get small numbers, which pack well.
     order = np.argsort(-often, kind="stable")
     unique, first = unique[order], first[order]
     number_of = np.empty(len(order), np.int32)
     number_of[order] = np.arange(len(order))
     tokens = number_of[tokens]
-    held = part.column("held_out").to_numpy(zero_copy_only=False)
-    training = np.bincount(tokens[np.repeat(~held, texts.counts)], minlength=len(unique))
-    view = texts.data.tobytes()
-    words = [view[a:b] for a, b in zip(texts.starts[first].tolist(), texts.ends[first].tolist(), strict=True)]
+    held = np.concatenate([p.column("held_out").to_numpy(zero_copy_only=False) for p in pieces])
+    training = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(unique))
+    words = [view[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    del view, starts, ends
     # The end of a text is a word without bytes.
     words.append(b"")
     unique, training = np.append(unique, END_HASH), np.append(training, np.count_nonzero(~held))
@@ -181,10 +229,10 @@ def _block(part: pa.RecordBatch, number: int, parts: int) -> tuple[pa.RecordBatc
             block=[number],
             part=[-1],
             hashes=[unique.tobytes()],
-            doc_id=[part.column("doc_id").to_pylist()],
+            doc_id=[[i for p in pieces for i in p.column("doc_id").to_pylist()]],
             held_out=[held.tolist()],
-            sizes=[texts.counts.tolist()],
-            bytes=[np.diff(texts.offsets).tolist()],
+            sizes=[sizes.tolist()],
+            bytes=[lengths.tolist()],
             tokens=[C.pack(tokens)],
         ),
     )
@@ -375,14 +423,15 @@ def _finish(parts: int, tokens: int, distinct: int, unknown: float, scale: float
         base = np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
         mixed = PLAIN * (1 - unknown) * count / max(tokens, 1) + (1 - PLAIN) * 10.0 ** np.where(known, spelled + scale, -np.inf)
         closed, letters = np.where(known, mixed, unknown), 10.0**spelled
-        follows, frequency = C.shares(fetched.filter(pc.invert(words)).to_pylist(), gated)
+        del lookup, order, mixed, spelled
         sizes = np.array(row["sizes"], np.int64)
         n = len(sizes)
         number, owner, hashes = _tokens(row)
         at = C.placed(hashes, owner, parts)[2]
         del hashes
+        follows, frequency = C.shares(fetched.filter(pc.invert(words)).to_pylist(), gated)
         p, seen = follows[at], follows[at] * frequency[at]
-        del at
+        del at, follows, frequency
         # A space or the end follows each word in the spelling.
         length = np.array(row["bytes"], np.int64) + 1
         bits = np.bincount(owner, np.log10(seen + (1 - p) * letters[number]), n)

@@ -80,6 +80,7 @@ def pairs_of(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
         same = (at >= 0) & (rows[np.maximum(at, 0)] == rows)
         before.append(np.where(same, tokens[np.maximum(at, 0)], np.uint64(back)))
     context = mix(before[0] * _TURNS[0] + mix(before[1] + _TURNS[1]))
+    del before
     word = mix(tokens ^ context) >> np.uint64(64 - WORD_BITS)
     pair = context >> np.uint64(64 - CONTEXT_BITS) << np.uint64(WORD_BITS) | word
     return pair, (context & np.uint64((1 << 24) - 1)).astype(np.int64)

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import types
 import re
 import time
 import zlib
@@ -319,6 +320,25 @@ def test_language_model_counts_and_beats_single_words(spark):
     assert all(r.score < 0 and r.bits_per_byte > 0 for r in rows)
 
 
+def test_blocks_of_the_language_model_do_not_follow_the_batches(monkeypatch):
+    """Many small batches make few blocks, as a large one does, so batches may be small."""
+    monkeypatch.setattr(lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(lm, "PIECE_BYTES", 300)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    rng = random.Random(5)
+    rows = [(i, i % 3 == 0, None if i % 10 == 0 else " ".join(rng.choice(["Aa", "b", "çd", "e"]) for _ in range(i))) for i in range(100)]
+    whole = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.string()), strict=True)], ["doc_id", "held_out", "text"])
+    small = [whole.slice(i, 1) for i in range(100)]
+    cut = [[r for b in lm._blocks(8)(iter(batches)) for r in b.to_pylist()] for batches in ([whole], small)]
+    texts = [[r for r in c if r["part"] == -1] for c in cut]
+    assert 1 < len(texts[0]) < 30 and 1 < len(texts[1]) < 30
+    for name in ("doc_id", "held_out", "sizes", "bytes"):
+        one, many = ([x for r in t for x in r[name]] for t in texts)
+        assert one == many and len(one) == 100
+    hashes = [{h for r in t for h in np.frombuffer(r["hashes"], np.uint64).tolist()} for t in texts]
+    assert hashes[0] == hashes[1] and len(hashes[0]) == 5
+
+
 def held_out_ids(held, n):
     return [i for i in range(10_000) if (zlib.crc32(str(i).encode()) % 5 == 1) == held][:n]
 
